@@ -47,8 +47,9 @@ def parse_season(text: Column) -> Column:
 
 
 def parse_utc(text: Column) -> Column:
-    """Tolerant ISO timestamp; empty or malformed text is NULL."""
-    return F.try_to_timestamp(F.when(F.trim(text) != "", F.trim(text)))
+    """Tolerant ISO timestamp, seconds optional; empty or malformed text is NULL."""
+    full = F.regexp_replace(F.trim(text), r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$", "$1:00$2")
+    return F.try_to_timestamp(F.when(full != "", full))
 
 
 def eastern_date(instant: Column) -> Column:

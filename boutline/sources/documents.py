@@ -33,15 +33,14 @@ def rejected(docs: DataFrame, required: str) -> DataFrame:
     return docs.where(F.col(CORRUPT).isNotNull() | F.col(required).isNull()).select("document", reason.alias("error"))
 
 
-def outcomes(docs: DataFrame, loaded: DataFrame, required: str) -> DataFrame:
+def outcomes(docs: DataFrame, required: str, task_key: F.Column, rows: F.Column) -> DataFrame:
     """One ledger mark per document: rows loaded, or why it failed."""
-    counts = loaded.groupBy("document").agg(F.count(F.lit(1)).alias("rows"))
-    bad = rejected(docs, required).withColumn("status", F.lit("failed"))
-    good = (
-        readable(docs, required)
-        .select("document")
-        .join(counts, "document", "left")
-        .select("document", F.lit(None).cast("string").alias("error"), F.lit("success").alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    reason = F.when(F.col(CORRUPT).isNotNull(), "malformed JSON").when(
+        F.col(required).isNull(), F.lit(f"missing {required}")
+    )
+    return docs.select(
+        task_key.alias("task_key"),
+        F.when(reason.isNull(), "success").otherwise("failed").alias("status"),
+        F.when(reason.isNull(), rows).cast("long").alias("rows"),
+        reason.alias("error"),
     )
-    marks = good.unionByName(bad, allowMissingColumns=True)
-    return marks.select(F.col("document").alias("task_key"), "status", "rows", "error")
