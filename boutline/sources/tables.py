@@ -96,41 +96,82 @@ TABLES: dict[str, tuple[str, list[str], list[str]]] = {
 
 
 class Tables:
-    """Tables under one root folder. Every full rewrite goes to a new version folder; readers
-    take the newest folder whose commit marker exists, so they never see a half-written table."""
+    """Tables under one root folder, each a list of immutable Parquet commits.
+
+    A commit is a folder `commit=<n>-<kind>`: `full` is the whole table, `part` replaces the
+    partitions it holds, `add` adds rows. Readers resolve the commits whose marker exists when
+    they plan, so they never see a half-written table, and files a running job reads are never
+    rewritten under it. `vacuum` removes what the newest full commit replaced."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # ------------------------------------------------------------ versions
+    def schema(self, name: str) -> StructType:
+        return StructType.fromDDL(TABLES[name][0])
+
+    # ------------------------------------------------------------ commits
 
     def _folder(self, name: str) -> str:
         return f"{self.root}/{name.replace('.', '/')}"
 
+    def _list(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _commits(self, name: str) -> list[tuple[int, str]]:
+        """Committed (number, kind), oldest first, from the newest full commit on."""
+        out = []
+        for entry in self._list(self._folder(name)):
+            if entry.startswith("commit=") and self._fs.exists(self._path(f"{self._folder(name)}/{entry}/_SUCCESS")):
+                number, kind = entry.removeprefix("commit=").split("-")
+                out = [(int(number), kind)] if kind == "full" else [*out, (int(number), kind)]
+        return out
+
     def version(self, name: str) -> int:
-        """Newest committed version, 0 if the table was never written."""
-        folder = self._path(self._folder(name))
-        if not self._fs.exists(folder):
-            return 0
-        found = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        numbers = sorted((int(n[2:]) for n in found if n.startswith("v=")), reverse=True)
-        for n in numbers:
-            if self._fs.exists(self._path(f"{self._folder(name)}/v={n}/_SUCCESS")):
-                return n
-        return 0
+        """Number of the newest commit, 0 if the table was never written."""
+        commits = self._commits(name)
+        return commits[-1][0] if commits else 0
+
+    def _commit_folder(self, name: str, number: int, kind: str) -> str:
+        return f"{self._folder(name)}/commit={number:08d}-{kind}"
+
+    def _current_paths(self, name: str) -> list[str]:
+        """Folders that make up the table now; per partition value when it is partitioned."""
+        folders = [(kind, self._commit_folder(name, number, kind)) for number, kind in self._commits(name)]
+        if not TABLES[name][2]:
+            return [folder for _, folder in folders]
+        current: dict[str, list[str]] = {}
+        for kind, folder in folders:
+            for value in (v for v in self._list(folder) if "=" in v):
+                kept = current.get(value, []) if kind == "add" else []
+                current[value] = [*kept, f"{folder}/{value}"]
+        return [path for paths in current.values() for path in paths]
+
+    def _commit(self, name: str, df: DataFrame, kind: str) -> None:
+        taken = [int(e[7:].split("-")[0]) for e in self._list(self._folder(name)) if e.startswith("commit=")]
+        writer = self.conform(name, df).write.mode("errorifexists")
+        if TABLES[name][2]:
+            writer = writer.partitionBy(*TABLES[name][2])
+        writer.parquet(self._commit_folder(name, max([0, *taken]) + 1, kind))
 
-    def schema(self, name: str) -> StructType:
-        return StructType.fromDDL(TABLES[name][0])
+    def vacuum(self, name: str) -> None:
+        """Delete commits older than the newest full one (run it while no older reader is active)."""
+        commits = self._commits(name)
+        if commits and commits[0][1] == "full":
+            for entry in self._list(self._folder(name)):
+                if entry.startswith("commit=") and int(entry[7:].split("-")[0]) < commits[0][0]:
+                    self._fs.delete(self._path(f"{self._folder(name)}/{entry}"), True)
+
+    # ------------------------------------------------------------ reads and writes
 
     def read(self, name: str) -> DataFrame:
-        schema, version = self.schema(name), self.version(name)
-        if version == 0:
+        schema, paths = self.schema(name), self._current_paths(name)
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(f"{self._folder(name)}/v={version}")
-        return df.select(*schema.fieldNames())
+        reader = self.spark.read.schema(schema).option("basePath", self._folder(name))
+        return reader.parquet(*paths).select(*schema.fieldNames())
 
     def conform(self, name: str, df: DataFrame) -> DataFrame:
         """Cast to the table's columns; columns the rows lack become NULL."""
@@ -142,43 +183,26 @@ class Tables:
             ]
         )
 
-    # ------------------------------------------------------------ writes
-
     def replace(self, name: str, df: DataFrame) -> None:
         """Replace the whole table in one commit."""
-        version = self.version(name) + 1
-        writer = self.conform(name, df).write.mode("overwrite")
-        if TABLES[name][2]:
-            writer = writer.partitionBy(*TABLES[name][2])
-        writer.parquet(f"{self._folder(name)}/v={version}")
+        self._commit(name, df, "full")
 
     def append(self, name: str, df: DataFrame) -> None:
-        version = self.version(name)
-        if version == 0:
-            return self.replace(name, df)
-        writer = self.conform(name, df).write.mode("append")
-        if TABLES[name][2]:
-            writer = writer.partitionBy(*TABLES[name][2])
-        writer.parquet(f"{self._folder(name)}/v={version}")
+        self._commit(name, df, "add")
 
     def upsert(self, name: str, new: DataFrame, guard: Callable | None = None, update: dict | None = None) -> None:
         """Merge rows by key. A partitioned table rewrites only the partitions the rows fall in
-        (a row's partition must not change); any other table gets a new version."""
+        (a row's partition must not change); any other table is replaced."""
         _, keys, partitions = TABLES[name]
-        kept = {f.name: f.dataType for f in self.schema(name).fields}
-        new = new.select(*[F.col(c).cast(kept[c]).alias(c) for c in new.columns if c in kept])
+        types = {f.name: f.dataType for f in self.schema(name).fields}
+        new = new.select(*[F.col(c).cast(types[c]).alias(c) for c in new.columns if c in types])
         old = self.read(name)
-        if not partitions or not set(partitions) <= set(new.columns) or self.version(name) == 0:
+        if not partitions:
             return self.replace(name, upsert(old, new, keys, guard, update))
         # The touched partitions (seasons): bounded by the number of partitions.
-        touched = [r[0] for r in new.select(partitions[0]).distinct().collect()]
+        touched = [r[0] for r in new.select(*partitions).distinct().collect()]
         old = old.where(F.col(partitions[0]).isin(touched))
-        merged = self.conform(name, upsert(old, new, keys + partitions, guard, update))
-        self._rewrite_partitions(name, merged)
-
-    def _rewrite_partitions(self, name: str, df: DataFrame) -> None:
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*TABLES[name][2]).parquet(f"{self._folder(name)}/v={self.version(name)}")
+        self._commit(name, upsert(old, new, keys + partitions, guard, update), "part")
 
     def rewrite(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
         """Replace the table by a function of itself (deletes, thinning)."""
