@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from boutline.fixtures import League, league
 from boutline.oracle import with_views
@@ -22,13 +21,13 @@ def settled(df: DataFrame) -> DataFrame:
     """Doubles to six digits and integers to long, so results compare across engines."""
     out = []
     for name, kind in df.dtypes:
-        column = F.col(f"`{name}`")
         if kind in ("double", "float"):
-            column = (F.round(column + NUDGE, DIGITS) + F.lit(0.0)).alias(name)
+            out.append(f"round(`{name}` + CAST({NUDGE} AS DOUBLE), {DIGITS}) + 0D AS `{name}`")
         elif kind in WHOLE:
-            column = column.cast("long").alias(name)
-        out.append(column)
-    return df.select(*out)
+            out.append(f"CAST(`{name}` AS BIGINT) AS `{name}`")
+        else:
+            out.append(f"`{name}`")
+    return df.selectExpr(*out)
 
 
 def query(name: str, sql: str | None = None, doubles: str = ""):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.catalog.base import query
+from boutline.catalog.base import DIGITS, NUDGE, query
 from boutline.fixtures import League
 from boutline.functions import box, calendar, clock, display, elo, prob
 from boutline.operators import upsert as merge
@@ -487,7 +487,7 @@ _COMPARED = [
 def p30_comparison(L: League) -> DataFrame:
     # Ratings agree across engines to six digits, so ties are judged on six digits here.
     names = [f"{s}_{k}" for s in ("home", "away") for k, _ in _COMPARED]
-    rounded = L.features().select("game_id", *[F.round(n, 6).alias(n) for n in names])
+    rounded = L.features().select("game_id", *[F.round(F.col(n) + NUDGE, DIGITS).alias(n) for n in names])
     return serving.comparison(rounded).drop("label")
 
 

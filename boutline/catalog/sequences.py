@@ -12,7 +12,7 @@ from boutline.functions.box import COMPONENTS, rates
 from boutline.operators import ratings as rate
 from boutline.operators.asof import asof_backward
 from boutline.operators.features import DIFF_FEATURES, MODEL_FEATURES, build_features, team_features
-from boutline.operators.form import attach_state, post_game_state, schedule_load, with_day
+from boutline.operators.form import attach_state, by_team, post_game_state, previous_season, schedule_load
 from boutline.operators.retention import drop_old, thin
 from boutline.operators.running import running
 from boutline.operators.states import forward_fill_scores, states_with_tip_off, training_states
@@ -28,7 +28,7 @@ def _rows(L: League) -> DataFrame:
         "game_id", "season", "game_date", "status", "site_lat", "site_lon", "home_team_id", "away_team_id",
         "home_score", "away_score",
     )
-    return with_day(team_games_with_box(narrow, L.stats())).repartition("team_id")
+    return by_team(team_games_with_box(narrow, L.stats()))
 
 
 def _state(L: League, wanted: dict[str, list[str]] | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def j3_asof_general(L: League) -> DataFrame:
     "prev_net",
 )
 def j4_previous_season(L: League) -> DataFrame:
-    return attach_state(post_game_state(_rows(L), {"std": ["net"]}), ["std_net"]).select("game_id", "team_id", "prev_net")
+    return previous_season(post_game_state(_rows(L), {"std": ["net"]})).select("game_id", "team_id", "prev_net")
 
 
 @query(
@@ -142,17 +142,17 @@ def a15_season_end(L: League) -> DataFrame:
 
 @query("w5_rest", "SELECT game_id, team_id, rest_days, b2b FROM load", "rest_days b2b")
 def w5_rest(L: League) -> DataFrame:
-    return schedule_load(with_day(team_games(L.prepared()))).select("game_id", "team_id", "rest_days", "b2b")
+    return schedule_load(by_team(team_games(L.prepared()))).select("game_id", "team_id", "rest_days", "b2b")
 
 
 @query("w6_games_last7", "SELECT game_id, team_id, games_last7 FROM load7", "games_last7")
 def w6_games_last7(L: League) -> DataFrame:
-    return schedule_load(with_day(team_games(L.prepared()))).select("game_id", "team_id", "games_last7")
+    return schedule_load(by_team(team_games(L.prepared()))).select("game_id", "team_id", "games_last7")
 
 
 @query("w7_travel", "SELECT game_id, team_id, travel_km FROM load", "travel_km")
 def w7_travel(L: League) -> DataFrame:
-    return schedule_load(with_day(team_games(L.prepared()))).select("game_id", "team_id", "travel_km")
+    return schedule_load(by_team(team_games(L.prepared()))).select("game_id", "team_id", "travel_km")
 
 
 @query(

@@ -12,6 +12,23 @@ COMPONENTS = OWN + [f"opp_{c}" for c in OPPONENT]
 
 EARTH_RADIUS_KM = 6371.0
 
+_POSSESSION = ["fga", "fta", "oreb", "tov", "opp_fga", "opp_fta", "opp_oreb", "opp_tov"]
+# The summed components each rate is made of.
+RATE_INPUTS = {
+    "ortg": ["pts", *_POSSESSION],
+    "drtg": ["opp_pts", *_POSSESSION],
+    "net": ["pts", "opp_pts", *_POSSESSION],
+    "pace": ["minutes", *_POSSESSION],
+    "efg": ["fgm", "fg3m", "fga"],
+    "tov_pct": ["tov", "fga", "fta"],
+    "orb_pct": ["oreb", "opp_dreb"],
+    "ftr": ["ftm", "fga"],
+    "opp_efg": ["opp_fgm", "opp_fg3m", "opp_fga"],
+    "opp_tov_pct": ["opp_tov", "opp_fga", "opp_fta"],
+    "drb_pct": ["dreb", "opp_oreb"],
+    "opp_ftr": ["opp_ftm", "opp_fga"],
+}
+
 
 def made_attempted(text: Column) -> tuple[Column, Column]:
     """'38-85' -> (38, 85)."""
@@ -32,30 +49,44 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(half))
 
 
-def possessions(col=F.col) -> Column:
+# The rates below are written as SQL expressions: they are generated by the dozen, and one
+# parsed text is far cheaper to build than a tree of column calls.
+
+
+def possessions_sql(prefix: str = "") -> str:
     """Mean of both teams' estimates, from integer sums (so any summation order is exact)."""
-    fga, fta = col("fga") + col("opp_fga"), col("fta") + col("opp_fta")
-    oreb, tov = col("oreb") + col("opp_oreb"), col("tov") + col("opp_tov")
-    return (fga - oreb + tov + 0.44 * fta) / 2
-
-
-def rates(col=F.col) -> dict[str, Column]:
-    """Ratio-of-sums rates over the summed components that `col(name)` returns."""
-    c = {name: col(name).cast("double") for name in COMPONENTS}
-    poss = possessions(lambda name: c[name])
-    div = F.try_divide
-    out = {
-        "ortg": div(100 * c["pts"], poss),
-        "drtg": div(100 * c["opp_pts"], poss),
-        "pace": div(240 * poss, c["minutes"]),
-        "efg": div(c["fgm"] + 0.5 * c["fg3m"], c["fga"]),
-        "tov_pct": div(c["tov"], c["fga"] + 0.44 * c["fta"] + c["tov"]),
-        "orb_pct": div(c["oreb"], c["oreb"] + c["opp_dreb"]),
-        "ftr": div(c["ftm"], c["fga"]),
-        "opp_efg": div(c["opp_fgm"] + 0.5 * c["opp_fg3m"], c["opp_fga"]),
-        "opp_tov_pct": div(c["opp_tov"], c["opp_fga"] + 0.44 * c["opp_fta"] + c["opp_tov"]),
-        "drb_pct": div(c["dreb"], c["dreb"] + c["opp_oreb"]),
-        "opp_ftr": div(c["opp_ftm"], c["opp_fga"]),
-    }
-    out["net"] = out["ortg"] - out["drtg"]
-    return out
+    p = prefix
+    return (
+        f"(({p}fga + {p}opp_fga - {p}oreb - {p}opp_oreb + {p}tov + {p}opp_tov"
+        f" + 0.44D * ({p}fta + {p}opp_fta)) / 2D)"
+    )
+
+
+def rate_sql(name: str, prefix: str = "") -> str:
+    """One ratio-of-sums rate over summed components named `<prefix><component>`."""
+    p = prefix
+    if name == "net":
+        return f"({rate_sql('ortg', p)} - {rate_sql('drtg', p)})"
+    if name in ("orb_pct", "drb_pct"):
+        own, theirs = ("oreb", "opp_dreb") if name == "orb_pct" else ("dreb", "opp_oreb")
+        parts = f"{p}{own}", f"{p}{own} + {p}{theirs}"
+    elif name in ("ortg", "drtg"):
+        parts = f"100D * {p}{'pts' if name == 'ortg' else 'opp_pts'}", possessions_sql(p)
+    elif name == "pace":
+        parts = f"240D * {possessions_sql(p)}", f"{p}minutes"
+    else:
+        s = f"{p}opp_" if name.startswith("opp_") else p
+        parts = {
+            "efg": (f"{s}fgm + 0.5D * {s}fg3m", f"{s}fga"),
+            "tov_pct": (f"{s}tov", f"{s}fga + 0.44D * {s}fta + {s}tov"),
+            "ftr": (f"{s}ftm", f"{s}fga"),
+        }[name.removeprefix("opp_")]
+    return f"try_divide(CAST({parts[0]} AS DOUBLE), CAST({parts[1]} AS DOUBLE))"
+
+
+def possessions() -> Column:
+    return F.expr(possessions_sql())
+
+
+def rates(prefix: str = "") -> dict[str, Column]:
+    return {name: F.expr(rate_sql(name, prefix)) for name in RATE_INPUTS}

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.operators.form import STATE, attach_state, post_game_state, schedule_load, with_day
+from boutline.operators.form import (
+    STATE,
+    attach_state,
+    by_team,
+    post_game_state,
+    previous_season,
+    schedule_load,
+)
 from boutline.operators.ratings import rate_games
 from boutline.operators.teamgames import SharedSite, prepare_games, team_games_with_box
 
@@ -32,8 +39,8 @@ GAME_COLUMNS = [
 def team_features(games: DataFrame, stats: DataFrame) -> DataFrame:
     """One row per (game, team): form before the game and schedule load. Three shuffles: games
     and box scores by game, team rows by team (shared by every window)."""
-    rows = with_day(team_games_with_box(games, stats)).repartition("team_id")
-    return schedule_load(attach_state(post_game_state(rows)))
+    rows = by_team(team_games_with_box(games, stats))
+    return attach_state(schedule_load(previous_season(post_game_state(rows))))
 
 
 def build_features(
@@ -55,8 +62,8 @@ def build_features(
     sides = team_features(narrow, stats).select("game_id", "is_home", *per_team)
     wide = sides.groupBy("game_id").agg(
         *[
-            F.max(F.when(F.col("is_home") == F.lit(side == "home"), F.col(f))).alias(f"{side}_{f}")
-            for side in ("home", "away")
+            F.expr(f"max(CASE WHEN is_home = {home} THEN {f} END) AS {side}_{f}")
+            for side, home in (("home", "true"), ("away", "false"))
             for f in per_team
         ]
     )
@@ -66,15 +73,14 @@ def build_features(
         .join(rated, "game_id")
         .join(wide, "game_id", "left")
     )
-    final = F.col("status") == "final"
-    return out.select(
+    return out.selectExpr(
         *GAME_COLUMNS,
         *MODEL_FEATURES[: 2 * len(TEAM_FEATURES)],
-        *[(F.col(f"home_{f}") - F.col(f"away_{f}")).alias(f"diff_{f}") for f in DIFF_FEATURES],
+        *[f"home_{f} - away_{f} AS diff_{f}" for f in DIFF_FEATURES],
         *GAME_FEATURES,
         "home_elo_post",
         "away_elo_post",
-        F.when(final, (F.col("home_score") > F.col("away_score")).cast("double")).alias("home_win"),
+        "CASE WHEN status = 'final' THEN CAST(home_score > away_score AS DOUBLE) END AS home_win",
     )
 
 

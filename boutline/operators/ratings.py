@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutline.functions import elo
+from boutline.functions.elo import HOME_ADVANTAGE, INITIAL, SEASON_CARRYOVER, SEASON_MEAN, K
 from boutline.session import scratch_path, shared_dir
 
 RATED = "game_id string, home_elo_pre double, away_elo_pre double, home_elo_post double, away_elo_post double"
@@ -40,19 +41,19 @@ def _fold_pools(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif start == start and start is not None:
                     value, season = start, start_season
                 else:
-                    value, season = elo.INITIAL, row.season
+                    value, season = INITIAL, row.season
                 if season != row.season:
-                    value = elo.SEASON_CARRYOVER * value + (1 - elo.SEASON_CARRYOVER) * elo.SEASON_MEAN
+                    value = SEASON_CARRYOVER * value + (1 - SEASON_CARRYOVER) * SEASON_MEAN
                 pre.append(value)
             home, away = pre
             if row.status != "final":
                 out.append((row.game_id, home, away, None, None))
                 continue
-            diff = home - away + (0.0 if row.is_neutral else elo.HOME_ADVANTAGE)
+            diff = home - away + (0.0 if row.is_neutral else HOME_ADVANTAGE)
             won = row.margin > 0
             expected = 1.0 / (1.0 + 10.0 ** (-diff / 400.0))
             damping = 7.5 + 0.006 * (diff if won else -diff)
-            shift = elo.K * (abs(row.margin) + 3.0) ** 0.8 / damping * (won - expected)
+            shift = K * (abs(row.margin) + 3.0) ** 0.8 / damping * (won - expected)
             ratings[row.home_team_id] = (home + shift, row.season)
             ratings[row.away_team_id] = (away - shift, row.season)
             out.append((row.game_id, home, away, home + shift, away - shift))

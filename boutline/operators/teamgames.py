@@ -89,33 +89,36 @@ def team_games_with_box(games: DataFrame, stats: DataFrame) -> DataFrame:
     Box rows are brought to their game with one shuffle by game and folded into the game row;
     opponent columns are then just the other half of that row, so no self-join is needed."""
     box = stats.select("game_id", F.col("team_id").alias("__team"), *OWN)
-    joined = games.join(box, "game_id", "left")
-    at_home = F.col("__team") == F.col("home_team_id")
-    at_away = F.col("__team") == F.col("away_team_id")
-    wide = joined.groupBy(*games.columns).agg(
-        *[F.max(F.when(at_home, F.col(c))).alias(f"__h_{c}") for c in OWN],
-        *[F.max(F.when(at_away, F.col(c))).alias(f"__a_{c}") for c in OWN],
+    wide = (
+        games.join(box, "game_id", "left")
+        .groupBy(*games.columns)
+        .agg(
+            *[
+                F.expr(f"max(CASE WHEN __team = {side}_team_id THEN {c} END) AS __{side}_{c}")
+                for side in ("home", "away")
+                for c in OWN
+            ]
+        )
     )
 
-    def side(own: str, other: str) -> F.Column:
-        mine, theirs = f"__{own[0]}_", f"__{other[0]}_"
-        return F.struct(
-            F.col(f"{own}_team_id").alias("team_id"),
-            F.col(f"{other}_team_id").alias("opp_id"),
-            F.col(f"{own}_score").alias("score"),
-            F.col(f"{other}_score").alias("opp_score"),
-            F.lit(own == "home").alias("is_home"),
-            (F.col("__h_minutes").isNotNull() & F.col("__a_minutes").isNotNull()).alias("has_box"),
-            *[F.col(mine + c).alias(c) for c in OWN],
-            *[F.col(theirs + c).alias(f"opp_{c}") for c in OPPONENT],
-        )
+    def side(own: str, other: str) -> str:
+        fields = {
+            "team_id": f"{own}_team_id",
+            "opp_id": f"{other}_team_id",
+            "score": f"{own}_score",
+            "opp_score": f"{other}_score",
+            "is_home": str(own == "home").lower(),
+            "has_box": "__home_minutes IS NOT NULL AND __away_minutes IS NOT NULL",
+            **{c: f"__{own}_{c}" for c in OWN},
+            **{f"opp_{c}": f"__{other}_{c}" for c in OPPONENT},
+            "win": f"CASE WHEN status = 'final' THEN CAST({own}_score > {other}_score AS INT) END",
+        }
+        return "struct(" + ", ".join(f"{e} AS {n}" for n, e in fields.items()) + ")"
 
     used = {"home_team_id", "away_team_id", "home_score", "away_score"}
     base = [c for c in games.columns if c not in used]
-    rows = wide.select(*base, F.explode(F.array(side("home", "away"), side("away", "home"))).alias("t"))
-    return rows.select(*base, "t.*").withColumn(
-        "win", F.when(F.col("status") == "final", (F.col("score") > F.col("opp_score")).cast("int"))
-    )
+    rows = wide.selectExpr(*base, f"explode(array({side('home', 'away')}, {side('away', 'home')})) AS t")
+    return rows.select(*base, "t.*")
 
 
 __all__ = [

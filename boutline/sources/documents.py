@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 CORRUPT = "_corrupt_record"
 
 
-def read_documents(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Documents under `path` with an explicit schema; `document` is the file each came from.
-    Unreadable documents keep their text in `_corrupt_record`."""
-    reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", True)
+def read_documents(spark: SparkSession, path: str | list[str], schema: str, per_line: bool = False) -> DataFrame:
+    """Documents under `path` with an explicit schema, one per file (or per line, for compacted
+    landing files); `document` is the file each came from. Unreadable documents keep their text
+    in `_corrupt_record`."""
+    reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", not per_line)
     docs = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return docs.withColumn("document", F.col("_metadata.file_path"))
 
