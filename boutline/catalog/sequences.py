@@ -14,7 +14,7 @@ from boutline.operators.asof import asof_backward
 from boutline.operators.features import DIFF_FEATURES, MODEL_FEATURES, build_features, team_features
 from boutline.operators.form import attach_state, by_team, post_game_state, previous_season, schedule_load
 from boutline.operators.retention import drop_old, thin
-from boutline.operators.running import running
+from boutline.operators.running import cut_by_range, running
 from boutline.operators.states import forward_fill_scores, states_with_tip_off, training_states
 from boutline.operators.teamgames import pair_opponents, team_games, team_games_with_box
 from boutline.oracle import PER_TEAM, STD, rates_sql
@@ -337,8 +337,9 @@ def j16_drop_old(L: League) -> DataFrame:
        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
 )
 def running_points(L: League) -> DataFrame:
-    """The chunked running sum itself, over every user's whole event history."""
+    """The running sum itself over every user's whole event history, cut into even stretches."""
     events = L.table("events").select("user_id", "event_id", "ts", "event_type")
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    cut = cut_by_range(events, ["user_id"], ["ts", "event_id"], f"{L._tag()}/running_points")
     sums = {"n": F.lit(1).cast("long"), "clicks": (F.col("event_type") == "click").cast("long")}
-    return running(events, ["user_id"], hour, ["ts", "event_id"], sums=sums).select("user_id", "event_id", "n", "clicks")
+    rows = running(cut, ["user_id"], F.col("chunk"), ["ts", "event_id"], sums=sums)
+    return rows.select("user_id", "event_id", "n", "clicks")

@@ -17,7 +17,7 @@ from boutline.functions.box import OWN
 from boutline.functions.calendar import season_of
 from boutline.operators.features import build_features
 from boutline.operators.ratings import rate_games, rating_rows
-from boutline.operators.running import running, row_numbers
+from boutline.operators.running import cut_by_range, row_numbers, running
 from boutline.operators.states import game_states, with_times
 from boutline.operators.teamgames import SharedSite, prepare_games
 from boutline.session import materialise
@@ -41,10 +41,12 @@ class League:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _tag(self) -> str:
+        return hashlib.sha1(f"{self.sf_dir}:{self.wide}".encode()).hexdigest()[:12]
+
     def _stored(self, name: str, build: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
         if name not in self._views:
-            tag = hashlib.sha1(f"{self.sf_dir}:{self.wide}".encode()).hexdigest()[:12]
-            self._views[name] = materialise(build(), f"{tag}/{name}", partition_by)
+            self._views[name] = materialise(build(), f"{self._tag()}/{name}", partition_by)
         return self._views[name]
 
     # ------------------------------------------------------------ meetings
@@ -213,9 +215,9 @@ class League:
             raw = self.table("events").select(
                 "event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k")
             )
-            # Hours cut a busy user's events into chunks, so no user is numbered by one task.
-            hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
-            numbered = row_numbers(raw, ["user_id"], hour, ["ts", "event_id"], name="action_id")
+            # Even stretches of (user, time): no busy user or hour is numbered by one task.
+            cut = cut_by_range(raw, ["user_id"], ["ts", "event_id"], f"{self._tag()}/events")
+            numbered = row_numbers(cut, ["user_id"], F.col("chunk"), ["ts", "event_id"], name="action_id").drop("chunk")
             counts = raw.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
             order = row_numbers(self.games().select("game_id", "game_date", "ok"), [], F.unix_date("game_date"), ["game_date", "ok"])
             of_user = order.select("game_id", (F.col("rn") - 1).alias("user_id"))

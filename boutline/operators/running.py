@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boutline.session import materialise
+
 CHUNK_ROWS = 65_536
 
 
@@ -64,6 +66,16 @@ def running(
     )
 
 
+def cut_by_range(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """`df` with a `chunk` column of evenly filled stretches, for `running`, when no column of the
+    data cuts every key into bounded pieces. Rows are range-partitioned by (keys, order), so even
+    one key at one moment spreads by the tie-breaking order columns. The result is written, since
+    the sampled bounds must be the same for every later read."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(partitions, *keys, *order)
+    return materialise(cut.withColumn("chunk", F.spark_partition_id()), f"ranges/{name}")
+
+
 def row_numbers(
     df: DataFrame, keys: list[str], chunk: Column, order: list[str], name: str = "rn"
 ) -> DataFrame:

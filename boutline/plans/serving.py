@@ -253,7 +253,8 @@ def latest_jobs(runs: DataFrame) -> DataFrame:
 def models_in_use(versions: DataFrame, snapshots: DataFrame) -> DataFrame:
     pregame = versions.agg(F.max_by("version", "first_used_at").alias("pregame"))
     ingame = snapshots.agg(F.max_by("model_version", "id").alias("ingame"))
-    return pregame.join(ingame, F.lit(True))
+    both = pregame.unionByName(ingame, allowMissingColumns=True)
+    return both.agg(F.max("pregame").alias("pregame"), F.max("ingame").alias("ingame"))
 
 
 # ---------------------------------------------------------------- live series

@@ -12,7 +12,7 @@ from boutline.operators import ratings
 from boutline.operators.asof import asof_backward
 from boutline.operators.features import MODEL_FEATURES, build_features
 from boutline.operators.retention import thin
-from boutline.operators.running import row_numbers, running
+from boutline.operators.running import cut_by_range, row_numbers, running
 from boutline.operators.states import game_states
 from boutline.operators.upsert import upsert
 
@@ -166,6 +166,15 @@ def test_running_matches_brute_force_across_chunks(spark):
             assert r["total"] == sum(q[2] for q in seen)
             known = [q[3] for q in seen if q[3] is not None]
             assert r["last"] == (known[-1] if known else None)
+    # One key with most of the rows: even stretches, the same numbers.
+    skewed = spark.createDataFrame([(0 if i % 10 else i, i % 7, i) for i in range(500)], "k int, t int, i int")
+    cut = cut_by_range(skewed, ["k"], ["t", "i"], "t-skew")
+    sizes = [r["count"] for r in cut.groupBy("chunk").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 200
+    got = {r["i"]: r["rn"] for r in row_numbers(cut, ["k"], F.col("chunk"), ["t", "i"]).collect()}
+    for k in {0, 10, 490}:
+        ordered = sorted((i % 7, i) for i in range(500) if (0 if i % 10 else i) == k)
+        assert [got[i] for _, i in ordered] == list(range(1, len(ordered) + 1))
     ranks = row_numbers(df, [], F.col("k") * 10 + F.floor(F.col("i") / 20), ["k", "i"])
     assert all(r["rn"] == r["k"] * 50 + r["i"] + 1 for r in ranks.collect())
 
@@ -250,3 +259,20 @@ def test_metrics_known_values(spark):
     assert m["accuracy"] == 1.0 and m["n"] == 4 and m["ece"] == pytest.approx((0.5 + 0.3) / 4)
     curve = {r["bin_low"]: r["count"] for r in reliability(rows, []).collect()}
     assert curve == {0.0: 1, 0.3: 1, 0.5: 1, 0.9: 1}
+
+
+def test_wide_league_is_valid_and_pooled(spark):
+    from boutline.fixtures import league
+    from tests.conftest import SF
+
+    wide = league(spark, SF, wide=True)
+    games = wide.games()
+    rows = games.select("game_id", "pool", "game_date", F.explode(F.array("home_team_id", "away_team_id")).alias("t"))
+    assert games.count() > 1000 and games.where("home_team_id = away_team_id").count() == 0
+    assert rows.groupBy("t", "game_date").count().where("count > 1").count() == 0
+    assert rows.groupBy("t").agg(F.count_distinct("pool").alias("n")).where("n > 1").count() == 0
+    listed = [
+        (r["game_id"], r["season"], None, r["game_date"], r["home_team_id"], r["away_team_id"], r["status"], r["home_score"], r["away_score"], r["is_neutral"])
+        for r in wide.prepared().collect()
+    ]
+    assert_rated(ratings.rate_games(wide.prepared()), brute_elo(listed))
