@@ -453,6 +453,22 @@ def p27_game_clock(L: League) -> DataFrame:
     return L.events().select("game_id", "action_id", display.game_clock(F.col("period"), F.col("clock_seconds")).alias("shown"))
 
 
+@query(
+    "p27_dates",
+    """SELECT game_id, CASE WHEN tip_time_utc IS NULL THEN 'Time TBD' ELSE ltrim(strftime(timezone('America/New_York', timezone('UTC', tip_time_utc)), '%I:%M %p'), '0') || ' ET' END AS tip,
+       strftime(game_date, '%A, %B %-d') AS long_date, strftime(game_date, '%b %-d') AS short_date, strftime(game_date, '%b %-d, %Y') AS dated FROM games""",
+)
+def p27_dates(L: League) -> DataFrame:
+    day = F.col("game_date")
+    return L.games().select(
+        "game_id",
+        display.tip_time(F.col("tip_time_utc")).alias("tip"),
+        display.long_date(day).alias("long_date"),
+        display.short_date(day).alias("short_date"),
+        display.short_date(day, True).alias("dated"),
+    )
+
+
 @query(
     "p28_noise_filter",
     "SELECT game_id, action_id, action_type FROM pbp WHERE coalesce(action_type, '') NOT IN ('Substitution', 'Timeout', 'Instant Replay')",

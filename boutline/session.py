@@ -26,6 +26,8 @@ def local_session(cpus: int | str = "*", app: str = "boutline", memory: str = "8
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call-site capture costs more than building the plans themselves.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)

@@ -80,6 +80,13 @@ def test_ingame_model_is_monotone_and_certain_at_the_end(spark, states):
         for more in ((m + 4, t, po, q), (m, t, po + 1, q), (m, t, po, round(q + 0.3, 1))):
             if more in p:
                 assert p[more] >= p[(m, t, po, q)] - 1e-12
+    feed = spark.createDataFrame(
+        [("g", 1, 4, 0.0, 99, 98, "Rebound", None, "h", None)],
+        "game_id string, action_id long, period int, clock_seconds double, score_home int, score_away int, "
+        "action_type string, sub_type string, location string, description string",
+    )
+    watched = ingame.score_events(model, feed, spark.createDataFrame([("g", 0.6)], "game_id string, pregame_prob double"))
+    assert [r["home_win_prob"] for r in watched.orderBy("action_id").collect()][1] == 1.0 and watched.count() == 2
     assert p[(4, 0.0, 0, 0.5)] == 1.0 and p[(-4, 0.0, 1, 0.8)] == 0.0 and 0 < p[(0, 0.0, 0, 0.5)] < 1
 
 
@@ -231,3 +238,28 @@ def test_jobs_end_to_end(spark, league, tmp_path):
     assert counts["serving.predictions"] == n and counts["core.games"] == at.tables.read("core.games").count()
     assert registry.production_version(Tables(spark, str(tmp_path / "published")), registry.PREGAME) == 1
     assert at.daily(today).startswith("2 succeeded")
+
+
+def test_second_provider_day(spark, tmp_path):
+    """A board day and a summary: the known game keeps its id, a new one gets a minted id."""
+    from tests.test_sources import event, summary, write
+
+    landing = tmp_path / "landing"
+    write(landing, "board/day=20310101/b.json", {"events": [event("1"), event("9", home="18", away="2")]})
+    write(landing, "summary/season=2030/0023000077.json", summary())
+    write(landing, "summary/season=2030/ext-9.json", "{broken")
+    at = Deployment(spark, str(tmp_path / "root"), str(landing), clock=lambda: datetime(2031, 1, 2, 12))
+    stored = spark.createDataFrame(
+        [("0023000077", 2030, "regular", date(2031, 1, 1), 1610612738, 1610612752, "scheduled")],
+        "game_id string, season int, season_type string, game_date date, home_team_id long, away_team_id long, status string",
+    )
+    at.tables.replace("core.games", stored)
+    marks = at.ingest_board(date(2031, 1, 2))
+    games = {r["game_id"]: r for r in at.tables.read("core.games").collect()}
+    assert set(games) == {"0023000077", "ext-9"}
+    assert (games["0023000077"]["provider_id"], games["0023000077"]["status"], games["0023000077"]["home_score"]) == ("1", "final", 101)
+    assert at.tables.read("core.team_game_stats").where("game_id = '0023000077'").count() == 2
+    assert at.tables.read("core.pbp_events").count() == 12
+    assert {r["task_key"]: r["status"] for r in marks.collect()} == {"game:0023000077": "success", "game:ext-9": "failed"}
+    ledger = {r["task_key"]: r["status"] for r in at.tables.read("raw.ingestion_runs").collect()}
+    assert ledger["day:20310101"] == "success" and ledger["game:ext-9"] == "failed"
