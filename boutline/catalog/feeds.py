@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from boutline.catalog.base import query
 from boutline.fixtures import League
 from boutline.operators.latest import latest_by
-from boutline.session import scratch_path
+from boutline.session import fresh_path
 from boutline.sources import board_feed, dimensions, documents, stats_feed
 
 BASE_ID = 1610612737  # team 0 of the league under the first provider's numbering
@@ -17,7 +17,7 @@ BASE_ID = 1610612737  # team 0 of the league under the first provider's numberin
 
 def _landed(L: League, name: str, rows: DataFrame, schema: str) -> DataFrame:
     """Write one JSON document per row and read them back the way a landing folder is read."""
-    path = scratch_path(L.spark, f"landing/{name}")
+    path = fresh_path(L.spark, f"landing/{name}")
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
     return documents.read_documents(L.spark, path, schema, per_line=True)
 

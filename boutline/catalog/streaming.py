@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutline.catalog.base import query
 from boutline.fixtures import League
 from boutline.functions.prob import settle
-from boutline.session import scratch_path
+from boutline.session import fresh_path
 from boutline.streaming.live import LiveJob, ModelPointer, read_feed
 
 POLLS = 3
@@ -35,7 +33,7 @@ def logistic(states: DataFrame) -> DataFrame:
 def job(L: League, name: str, source: str = "live") -> LiveJob:
     # The fixture's tracked games count as live, so the whole event table runs through the job.
     games = L.games().join(L.events().select("game_id"), "game_id", "left_semi").withColumn("status", F.lit("live"))
-    root = scratch_path(L.spark, f"live/{name}-{datetime.now():%H%M%S%f}")
+    root = fresh_path(L.spark, f"live/{name}")
     return LiveJob(
         L.spark,
         root,
@@ -63,10 +61,12 @@ def x2_live_points(L: League) -> DataFrame:
     """Three polls through the streaming query: each state is emitted once, the end is certain."""
     run = job(L, "x2")
     feed = feed_polls(L)
-    # One write per poll, so polls arrive in order; a file holds whole games.
+    # One write per poll, so polls arrive in order; a file holds whole games, a batch about a poll.
+    files = int(L.spark.conf.get("spark.sql.shuffle.partitions"))
     for poll in range(1, POLLS + 1):
-        feed.where(F.col("arrival") == poll).repartition("game_id").write.mode("append").parquet(f"{run.root}/feed")
-    stream = read_feed(L.spark, f"{run.root}/feed", files_per_batch=8)
+        sent = feed.where(F.col("arrival") == poll).repartition(files, "game_id")
+        sent.write.mode("append").parquet(f"{run.root}/feed")
+    stream = read_feed(L.spark, f"{run.root}/feed", files_per_batch=files)
     running = run.start(stream, f"{run.root}/checkpoint", available_now=True)
     running.awaitTermination()
     return run.recorded().select("game_id", "action_id", "period", "score_home", "score_away", "possession", "home_win_prob")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from boutline.functions import elo
 from boutline.functions.elo import HOME_ADVANTAGE, INITIAL, SEASON_CARRYOVER, SEASON_MEAN, K
-from boutline.session import scratch_path, shared_dir
+from boutline.session import fresh_path, shared_dir
 
 RATED = "game_id string, home_elo_pre double, away_elo_pre double, home_elo_post double, away_elo_post double"
 # Above this many games a pool is rated in rounds; a streamed pool needs seconds per million.
@@ -110,7 +110,7 @@ def rate_in_rounds(
     folder, the ratings table is checkpointed every few rounds."""
     spark = games.sparkSession
     shared_dir(spark)
-    path = scratch_path(spark, name)
+    path = fresh_path(spark, name)
     # One value per calendar date: bounded by the calendar, not by the number of games.
     days = [r[0] for r in games.select("game_date").distinct().orderBy("game_date").collect()]
     empty = spark.createDataFrame([], "team_id string, rating double, season int")

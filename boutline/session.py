@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,10 +60,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "boutline", spark.sparkContext.applicationId, name)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A scratch path no earlier call has handed out, so plans still reading one stay valid."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: later reads get column pruning,
     pushed filters and statistics, and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
+    path = fresh_path(df.sparkSession, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
