@@ -52,8 +52,10 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 # ------------------------------------------------------------------ Arrow batches
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of about `most` bytes of text, at least one row each."""
+def text_slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 20
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices of about `most` bytes of text and at most `rows` rows, at least one."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -62,7 +64,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
