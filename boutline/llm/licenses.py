@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boutline.llm.common import NOT_LATIN, lower_ascii, split_words, text_key
+from boutline.llm.common import NOT_LATIN, lower_ascii, split_words
 
 K = 3  # words in a k-gram: the shortest base phrase has three
 DRIFT = 4  # diagonals this close (words put in or left out) belong to one span

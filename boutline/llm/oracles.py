@@ -35,3 +35,37 @@ SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + (chance < rate - floor(rate))::INT))::BIGINT AS taken
 FROM drawn
 """
+
+LATIN_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+# Every window of the items against every stretch of as many words of the documents.
+DECONTAMINATE = rf"""
+WITH doc AS (
+    SELECT row_number() OVER () AS row, doc_id, {LATIN_WORDS} AS w FROM documents
+), item AS (
+    SELECT item_id::VARCHAR AS item_id, {LATIN_WORDS} AS w FROM benchmark
+), item_window AS (
+    SELECT DISTINCT item_id, list_slice(w, s, s + least(10, len(w)) - 1) AS phrase
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM item WHERE len(w) > 0)
+), doc_window AS (
+    SELECT row, s, n, list_slice(w, s, s + n - 1) AS phrase
+    FROM (
+        SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS s
+        FROM doc, (SELECT DISTINCT len(phrase) AS n FROM item_window)
+        WHERE len(w) >= n
+    )
+), hit AS (
+    SELECT row, s, n, item_id FROM doc_window JOIN item_window USING (phrase)
+), counted AS (
+    SELECT row, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT row, unnest(range(s, s + n)) AS p FROM hit) GROUP BY row
+), listed AS (
+    SELECT row, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+    FROM (SELECT DISTINCT row, item_id FROM hit) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN counted USING (row) LEFT JOIN listed USING (row)
+"""
