@@ -15,7 +15,7 @@ from boutline.llm.common import mixed, runs_of, space_words, text_slices, whole_
 
 BUCKETS = 1 << 14  # of hashed n-grams; the two count vectors have this fixed size
 ORDERS = (1, 2)  # words in an n-gram
-THRESHOLD = -0.45  # nats an n-gram; a document under it is not kept
+THRESHOLD = -0.12  # nats an n-gram; a document under it is not kept
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
 
