@@ -69,3 +69,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN counted USING (row) LEFT JOIN listed USING (row)
 """
+
+# Every window of every document by its words; what a window covers goes if an earlier one starts it.
+SUBSTRING_DEDUP = rf"""
+WITH doc AS (
+    SELECT row_number() OVER () AS row, doc_id, {SPACE_WORDS} AS w FROM documents
+), win AS (
+    SELECT row, doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS content
+    FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM doc WHERE len(w) >= 50)
+), owned AS (
+    SELECT content, min(doc_id) AS owner FROM win GROUP BY content
+), gone AS (
+    SELECT DISTINCT row, unnest(range(s, s + 50)) AS p FROM win JOIN owned USING (content) WHERE owner < doc_id
+), lost AS (
+    SELECT row, list(p) AS ps FROM gone GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
+           list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
+FROM doc LEFT JOIN lost USING (row)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boutline.llm import decontaminate, language, licenses, mixing, oracles, pii, quality, secrets, tokens
+from boutline.llm import decontaminate, language, licenses, mixing, oracles, pii, quality, secrets, substrings, tokens
 from boutline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query("op9_substring_dedup", oracles.SUBSTRING_DEDUP)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op10_mix_sources", oracles.MIX_SOURCES)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
