@@ -89,3 +89,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_remo
            list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
 FROM doc LEFT JOIN lost USING (row)
 """
+
+LOWER_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x20\x09-\x0D]+')"
+)
+
+# All pairs of documents that share a shingle, and the closure of their links.
+JACCARD_JOIN = rf"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, {LOWER_WORDS} AS w FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + least(3, len(w)) - 1), ' ') AS h
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 0) + 2)) AS s FROM doc WHERE len(w) > 0)
+), size AS (
+    SELECT doc_id, count(*)::BIGINT AS n FROM shingle GROUP BY doc_id
+), pair AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+    FROM shingle a JOIN shingle b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+    SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+    WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM doc
+    UNION
+    SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id
+FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
+"""

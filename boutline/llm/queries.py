@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boutline.llm import decontaminate, language, licenses, mixing, oracles, pii, quality, secrets, substrings, tokens
+from boutline.llm import decontaminate, jaccard, language, licenses, mixing, oracles, pii, quality, secrets, substrings, tokens
 from boutline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_jaccard_join", oracles.JACCARD_JOIN)
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_join(table(spark, sf_dir, "documents"), words_in=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op3_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
