@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         large = materialise(_large_star(links), "links")
         links = materialise(_small_star(large), "links")
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 30)), F.sum("b")).first()
+        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 30)), F.sum(F.xxhash64("b", "a") % (1 << 30))).first()
         if state == last:
             break
         last = state

@@ -151,3 +151,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs` without the rows in which a window of an item stands word by word."""
+    _, matches = find_matches(docs, benchmark, window)
+    found = materialise(matches.where("kind = 'phrase'").select(F.col("doc").alias("__doc")).distinct(), "contaminated")
+    keyed = docs.withColumn("__doc", text_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(small(found), "__doc", "left_anti").select(*docs.columns)

@@ -227,6 +227,27 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, least_score: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """`docs` (doc_id, text, lang and any others) without the rows whose text is `und` or predicted
+    with a score under `least_score`. Learns from the rows that are not held out; without labels
+    nothing can be told and every row with a letter stays."""
+    model = train(docs.where(~held_out(F.col("doc_id"))), sample_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for part in text_slices(batches, most=BLOCK_BYTES, rows=BLOCK_ROWS):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            text, feature, count, letters = features(texts)
+            keep = letters > 0
+            if model is not None:
+                value = tf_idf(text, feature, count, model.idf, len(texts))
+                p = softmax(logits(model.weights, text, feature, value, len(texts)) / model.temperature)
+                keep &= p.max(axis=1) >= least_score
+            yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that training never sees. A NULL id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2

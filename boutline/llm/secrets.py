@@ -111,6 +111,24 @@ def _random(body: Column) -> Column:
     return window_entropy(body) >= least
 
 
+def _spans_added(docs: DataFrame) -> DataFrame:
+    """`docs` (text not NULL, and any other columns) with `__spans`."""
+    columns = docs.columns
+    rows = with_spans(docs, "__assign", ASSIGN, "assign")
+    rows = with_spans(rows, "__access", ACCESS, "access")
+    rows = with_spans(rows, "__hex", HEX, "hex")
+    rows = with_spans(rows, "__candidates", CANDIDATE, "entropy")
+    kept = F.filter("__assign", lambda x: F.length(F.regexp_extract(x["body"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    rows = rows.select(*columns, "__candidates", F.concat(kept, "__access", "__hex").alias("__base"))
+
+    def wanted(x: Column) -> Column:
+        apart = ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        varied = x["body"].rlike("[0-9]") & x["body"].rlike("[A-Za-z]")
+        return F.when(varied, F.when(apart & ~_allowed(x["body"]), _random(x["body"]))).otherwise(False)
+
+    return rows.select(*columns, F.array_sort(F.concat("__base", F.filter("__candidates", wanted))).alias("__spans"))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id and its spans (start, rank, end, kind, body), by
     start and then kind.
@@ -119,20 +137,29 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     string. NULL and empty texts have no spans; repeated rows are searched each; other columns are
     ignored; an empty table gives an empty result. No row meets another: there is no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_spans(rows, "assign", ASSIGN, "assign")
-    rows = with_spans(rows, "access", ACCESS, "access")
-    rows = with_spans(rows, "hex", HEX, "hex")
-    rows = with_spans(rows, "candidates", CANDIDATE, "entropy")
-    kept = F.filter("assign", lambda x: F.length(F.regexp_extract(x["body"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    rows = rows.select("doc_id", "candidates", F.concat(kept, "access", "hex").alias("base"))
+    return _spans_added(rows).select("doc_id", F.col("__spans").alias("spans"))
 
-    def wanted(x: Column) -> Column:
-        apart = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        mixed = x["body"].rlike("[0-9]") & x["body"].rlike("[A-Za-z]")
-        return F.when(mixed, F.when(apart & ~_allowed(x["body"]), _random(x["body"]))).otherwise(False)
 
-    added = F.filter("candidates", wanted)
-    return rows.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """`docs` with `mark` in place of every span; overlapping spans get one mark. NULL texts and
+    texts without secrets stay as they are; `n_chars`, if there, follows the text."""
+    original = docs.withColumn("__text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
+
+    def step(acc: Column, x: Column) -> Column:
+        between = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
+        return F.struct(
+            F.greatest(acc["at"], x["end"]).alias("at"),
+            F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], between, F.lit(mark))).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
+    cleaned = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, end)).otherwise(F.col("__text"))
+    rows = _spans_added(original).withColumn("text", cleaned)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size("__spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        rows = rows.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def secrets_digest(found: DataFrame) -> DataFrame:

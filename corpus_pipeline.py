@@ -1,8 +1,57 @@
-"""A corpus pipeline over `documents`: language, near duplicates, benchmark passages, secrets, mix."""
+"""A corpus pipeline over `documents`: texts of a known language, one of each group of near copies,
+none with a benchmark passage, secrets replaced, sources mixed to target weights.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the rows it keeps, with the columns of
+documents; its result is written as Parquet and read again as the next stage's docs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from boutline.llm import decontaminate, jaccard, language, mixing, secrets
+from boutline.session import materialise
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language the classifier cannot tell, go."""
+    return language.keep_known(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more over 5-word shingles, one stays."""
+    return jaccard.keep_one(docs, words_in=5, percent=80)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten consecutive words of a benchmark item go."""
+    return decontaminate.without_benchmark(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def secrets_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mark; every document stays."""
+    return secrets.redact(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_copies", near_copies),
+    ("benchmark", benchmark_passages),
+    ("secrets", secrets_replaced),
+    ("mix", mixed_sources),
+]
+
+# A trained classifier decides in the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline_{name}")
+    return docs
