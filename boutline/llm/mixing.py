@@ -57,11 +57,8 @@ def copies(doc_id: Column, rate: Column, seed: str) -> Column:
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def with_copies(docs: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """`docs` with source_size, target and n_copies of each row; a NULL source is a source too."""
-    rates = targets.withColumnRenamed("source", "__source")
-    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")), "left")
-    return joined.withColumn("n_copies", copies(F.col("doc_id"), F.col("rate"), seed)).drop("__source", "rate")
+def _same_source(source: Column) -> Column:
+    return source.eqNullSafe(F.col("__source"))  # a NULL source is a source too
 
 
 def mix_report(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -74,13 +71,16 @@ def mix_report(docs: DataFrame, seed: str = "mix") -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")
     )
     sizes = materialise(rows, "mix_sizes")  # texts are read once; no text is shuffled
-    placed = with_copies(sizes, source_targets(sizes), seed)
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
+    targets = source_targets(sizes).withColumnRenamed("source", "__source")
+    placed = sizes.join(targets, _same_source(F.col("source")), "left")
+    taken = copies(F.col("doc_id"), F.col("rate"), seed) * F.col("size")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mixture: every row of `docs` as often as it is taken, with its columns unchanged."""
     sizes = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    targets = materialise(source_targets(sizes), "mix_targets")
-    counted = with_copies(docs, targets, seed).where("n_copies > 0")
-    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(*docs.columns)
+    targets = source_targets(sizes).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    joined = docs.join(materialise(targets, "mix_targets"), _same_source(F.col("source").cast("string")), "left")
+    drawn = joined.withColumn("__copies", copies(F.col("doc_id").cast("long"), F.col("__rate"), seed).cast("int")).where("__copies > 0")
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
