@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.common import mixed, runs_of, space_words, text_slices, whole_runs, word_hashes
+from boutline.llm.common import mixed, runs_of, small, space_words, text_slices, whole_runs, word_hashes
+from boutline.session import materialise
 
 BUCKETS = 1 << 14  # of hashed n-grams; the two count vectors have this fixed size
 ORDERS = (1, 2)  # words in an n-gram
@@ -46,7 +47,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"])
 
-    marked = docs.join(trusted.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left").select("text", "trusted")
+    known = materialise(trusted.select("doc_id", F.lit(True).alias("trusted")), "trusted")
+    marked = docs.join(small(known), "doc_id", "left").select("text", "trusted")
     partial = marked.mapInArrow(run, "bucket long, raw long, target long")
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
