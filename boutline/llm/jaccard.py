@@ -27,6 +27,7 @@ from boutline.session import materialise
 SKETCH_BITS = 18  # of the frequency sketch: one counter vector of fixed size for the whole corpus
 MOST_MATCHES = 4  # longest prefix extension
 VERIFY_COST = 20.0  # of one candidate, in posting reads
+QUIET_COST = 0.25  # candidates expected of a shingle whose sketch bucket holds no more than usual
 
 
 def shingle_sets(texts: pa.Array, words_in: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words_in: int, percent: int) -
             first = np.concatenate([[0], np.cumsum(n)])[:-1]
             count = sketch[_bucket(h)]
             order = np.lexsort((h, count, owner))
-            ranked, cost = h[order], np.maximum(count[order] - usual, 0.0)
+            ranked, cost = h[order], np.maximum(count[order] - usual, QUIET_COST)
             place = np.arange(len(h)) - first[owner]
             p = n - (-(-n * percent // 100)) + 1
             running = np.concatenate([[0.0], np.cumsum(cost)])
@@ -102,7 +103,8 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words_in: int, percent: int) -
                 length = p + m - 1
                 ends = np.minimum(first + length, len(h))
                 reads = running[ends] - running[np.minimum(first, len(h))]
-                total = np.where((length <= n) & (n > 0), reads * (1 + VERIFY_COST / m) + m, np.inf)
+                # Few candidates by chance share several rare shingles.
+                total = np.where((length <= n) & (n > 0), reads * (1 + VERIFY_COST / m**2), np.inf)
                 matches = np.where(total < best, m, matches)
                 best = np.minimum(best, total)
             length = np.where(n > 0, p + matches - 1, 0)
@@ -126,8 +128,9 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words_in: int, percent: int) -
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, words_in: int) -> DataFrame:
-    """(class, hashes) of the classes in `classes` (class, doc): their texts are read again."""
-    wanted = docs.select("doc", "text").join(small(classes.select("doc")), "doc", "left_semi").join(classes.select("class", "doc"), "doc")
+    """(class, hashes) of the classes in `classes` (class, doc): their texts are read again. Rows
+    that repeat a text repeat its set."""
+    wanted = docs.select("doc", "text").join(small(classes), "doc").select("class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -136,7 +139,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, words_in: int) -> DataFrame:
             sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("class"), sets], names=["class", "hashes"])
 
-    return wanted.mapInArrow(run, "class long, hashes array<long>").dropDuplicates(["class"])
+    return wanted.mapInArrow(run, "class long, hashes array<long>")
 
 
 def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
@@ -153,6 +156,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", similar(shared, F.size("x"), F.size("y"), percent).alias("linked"))
 
 
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words_in: int, percent: int) -> DataFrame:
+    """`verified`, with the sets of just the classes in `pairs`."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc"), "class")
+    sets = materialise(class_sets(docs, materialise(needed, "needed_classes"), words_in), "class_sets")
+    return verified(pairs, sets, percent)
+
+
 def _pair(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
@@ -164,16 +174,23 @@ def links(docs: DataFrame, classes: DataFrame, words_in: int, percent: int) -> D
     heads = rows.groupBy("token").agg(F.count(F.lit(1)).alias("lists"), F.min(F.struct("pos", "n", "class")).alias("hub"))
     level = F.greatest(F.lit(1), F.col("pos") - F.col("p") + 2)
     met = materialise(
-        rows.join(heads.where("lists > 1").select("token", "hub"), "token").select("token", "class", "n", "matches", "pos", level.alias("level"), "hub"),
+        rows.join(heads.where("lists > 1").select("token", "hub"), "token").select("token", "class", "n", "p", "matches", "pos", level.alias("level"), "hub"),
         "shared_tokens",
     )
     sizes_fit = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    # A hub is tried where it shares at least half of the shorter base prefix: near copies share
+    # most of it. Whatever this leaves out is sought below.
     to_hub = met.where((F.col("class") != F.col("hub.class")) & sizes_fit(F.col("n"), F.col("hub.n")))
-    first = materialise(to_hub.withColumn("h", F.col("hub.class")).select(*_pair("class", "h")).distinct(), "hub_pairs")
-    needed = met.select("class").distinct().join(classes.select("class", "doc"), "class")
-    sets = materialise(class_sets(docs, materialise(needed, "needed_classes"), words_in), "class_sets")
-    tried = materialise(verified(first, sets, percent), "hub_links")
-    near = tried.where("linked").select("a", "b")
+    hub_p = F.col("m") - F.ceil(F.col("m") * percent / 100) + 1
+    first = (
+        to_hub.groupBy("class", F.col("hub.class").alias("h"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.first("p").alias("p"), F.first("hub.n").alias("m"))
+        .where(2 * F.col("shared") >= F.least(F.col("p"), hub_p))
+        .select(*_pair("class", "h"))
+        .distinct()
+    )
+    tried = materialise(_verified(docs, classes, materialise(first, "hub_pairs"), words_in, percent), "hub_links")
+    near = tried.where("linked").select("a", "b").distinct()
 
     group = components(near)
     placed = met.drop("hub").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
@@ -200,7 +217,7 @@ def links(docs: DataFrame, classes: DataFrame, words_in: int, percent: int) -> D
         .select(*_pair("x", "y"))
     )
     fresh = materialise(candidates.join(tried, ["a", "b"], "left_anti"), "candidates")
-    far = materialise(verified(fresh, sets, percent).where("linked").select("a", "b"), "far_links")
+    far = materialise(_verified(docs, classes, fresh, words_in, percent).where("linked").select("a", "b").distinct(), "far_links")
     return near.unionByName(far)
 
 
