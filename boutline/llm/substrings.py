@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate, groupby
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ from boutline.session import materialise
 WINDOW = 50  # words
 GRAM = 8  # words of a minimiser's m-gram
 MOST_WINDOWS = 256  # of one packed string; longer runs (a repeated word) are cut
-HOT_STRINGS = 512  # different strings of a bucket beyond which its windows are dealt by content
+HOT_WINDOWS = 2_000_000  # windows (44 bytes each) of a bucket beyond which they are dealt by content
+SORTED_AT_ONCE = 200_000  # windows of small buckets sorted together
 
 
 def minimisers(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -109,51 +111,75 @@ def _windows(packed: str, window: int) -> list[str]:
     return [packed[start : end - 1] for start, end in zip([0, *ends], ends[window - 1 :])]
 
 
-def first_owners(strings: DataFrame, window: int, hot: int = HOT_STRINGS) -> DataFrame:
+def _contents(packed: list[str], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of all windows of packed strings (two columns), and windows per string."""
+    windows = [_windows(p, window) for p in packed]
+    digests = b"".join(xxhash.xxh3_128_digest(w) for ws in windows for w in ws)
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2), np.fromiter(map(len, windows), np.int64, len(windows))
+
+
+def first_owners(strings: DataFrame, window: int, hot: int = HOT_WINDOWS) -> DataFrame:
     """(string, nth, owner): for the nth window of a packed string, the smallest id of the
     documents in which that window starts, where that is less than the string's own first.
 
-    `strings` has one row per distinct string: string (its key), minimiser, packed, first (its
-    smallest document id). Each bucket is sorted, so that equal windows are neighbours. A bucket of
-    more than `hot` strings is dealt out by the content of its windows instead; their smallest ids
-    are found per task before the shuffle, so that neither a bucket nor a window meets in one task."""
-    sizes = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("strings"))
-    marked = strings.join(sizes, "minimiser")
+    `strings` has one row per distinct string: string (its key), minimiser, packed, last (its
+    windows less one) and first (its smallest document id). Each bucket is sorted by the digests
+    of its windows, so that equal windows are neighbours. A bucket of more than `hot` windows is
+    dealt out by content instead; its smallest ids are found per task before the shuffle, so that
+    neither such a bucket nor one of its windows meets in one task."""
+    sizes = strings.groupBy("minimiser").agg(F.sum(F.col("last") + 1).alias("windows"))
+    too_large = materialise(sizes.where(F.col("windows") > hot).select("minimiser"), "hot_buckets")
+
+    def sorted_owners(packed: list[str], string: list[int], first: list[int]) -> pa.RecordBatch:
+        content, sizes = _contents(packed, window)
+        of = np.repeat(np.arange(len(packed)), sizes)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = np.array(first, np.int64)[of]
+        order = np.lexsort((ids, content[:, 1], content[:, 0]))
+        content, ids = content[order], ids[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (content[1:] != content[:-1]).any(axis=1)
+        owner = ids[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else ids
+        taken = np.flatnonzero(owner < ids)
+        at = order[taken]
+        columns = [pa.array(np.array(string, np.int64)[of[at]]), pa.array(nth[at]), pa.array(owner[taken])]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("minimiser", "string", "first", "packed")))
-
-        out: list[tuple[int, int, int]] = []
-        for _, bucket in groupby(rows(), key=lambda r: r[0]):
-            found = [(w, first, string, nth) for _, string, first, packed in bucket for nth, w in enumerate(_windows(packed, window))]
-            found.sort()
-            for _, equal in groupby(found, key=lambda r: r[0]):
-                owner = next(equal)[1]
-                out += [(string, nth, owner) for _, first, string, nth in equal if first > owner]
-            if len(out) > 50_000:
-                yield _batch(schema, out)
-                out = []
-        yield _batch(schema, out)
+        """Rows come sorted by bucket; small buckets are sorted together, none is cut."""
+        last, n = None, 0
+        packed, string, first = [], [], []
+        for batch in batches:
+            for bucket, s, f, p, more in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "string", "first", "packed", "last"))):
+                if bucket != last and n > SORTED_AT_ONCE:
+                    yield sorted_owners(packed, string, first)
+                    packed, string, first, n = [], [], [], 0
+                packed.append(p)
+                string.append(s)
+                first.append(f)
+                last, n = bucket, n + more + 1
+        yield sorted_owners(packed, string, first)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "packed", 1 << 18):
-            out = []
-            for string, first, packed in zip(*(part.column(c).to_pylist() for c in ("string", "first", "packed"))):
-                for nth, w in enumerate(_windows(packed, window)):
-                    out.append((string, nth, first, hashlib.blake2b(w.encode(), digest_size=16).digest()))
-            yield _batch(hot_schema, out)
+        for part in text_slices(batches, "packed", 1 << 20):
+            content, sizes = _contents(part.column("packed").to_pylist(), window)
+            of = np.repeat(np.arange(part.num_rows), sizes)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rows = pa.array(of)
+            high, low = (_signed(np.ascontiguousarray(content[:, i])) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("string").take(rows), pa.array(nth), part.column("first").take(rows), high, low],
+                names=["string", "nth", "first", "high", "low"],
+            )
 
     schema = pa.schema([("string", pa.int64()), ("nth", pa.int64()), ("owner", pa.int64())])
-    hot_schema = pa.schema([("string", pa.int64()), ("nth", pa.int64()), ("first", pa.int64()), ("content", pa.binary())])
-    usual = marked.where(F.col("strings") <= hot).select("minimiser", "string", "first", "packed")
+    usual = strings.join(small(too_large), "minimiser", "left_anti").select("minimiser", "string", "first", "packed", "last")
     usual = usual.repartition("minimiser").sortWithinPartitions("minimiser")
     settled = usual.mapInArrow(settle, "string long, nth long, owner long")
-    dealt = marked.where(F.col("strings") > hot).select("string", "first", "packed")
-    dealt = dealt.mapInArrow(deal, "string long, nth long, first long, content binary")
-    owners = dealt.groupBy("content").agg(F.min("first").alias("owner"))
-    return settled.unionByName(dealt.join(owners, "content").where("owner < first").select("string", "nth", "owner"))
+    dealt = strings.join(small(too_large), "minimiser", "left_semi").select("string", "first", "packed")
+    dealt = dealt.mapInArrow(deal, "string long, nth long, first long, high long, low long")
+    owners = dealt.groupBy("high", "low").agg(F.min("first").alias("owner"))
+    return settled.unionByName(dealt.join(owners, ["high", "low"]).where("owner < first").select("string", "nth", "owner"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -167,7 +193,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     lists = materialise(found, "shared_super_kmers")
     sharing = materialise(known.join(small(lists.select("doc")), "doc", "left_semi").join(lists, "doc"), "sharing_documents")
     placed = materialise(packed_strings(sharing, window).withColumn("string", text_key("packed")), "packed_strings")
-    strings = materialise(placed.groupBy("string", "minimiser", "packed").agg(F.min("doc_id").alias("first")), "strings")
+    strings = materialise(placed.groupBy("string", "minimiser", "packed", "last").agg(F.min("doc_id").alias("first")), "strings")
     owners = materialise(first_owners(strings, window), "owners")
     places = placed.select("string", "doc", "doc_id", "at", "last")
     # A string that an earlier document has, too, goes whole; others lose the windows they share.

@@ -144,15 +144,13 @@ def test_substrings_against_every_window(spark):
     import hashlib
 
     want = brute_removed(rows, 50)
-    for hot in (512, 3):  # 3: most buckets are dealt out by content
-        substrings.HOT_STRINGS, before = hot, substrings.HOT_STRINGS
-        original = substrings.first_owners.__defaults__
+    for hot in (2_000_000, 60):  # 60: most buckets are dealt out by content
+        usual = substrings.first_owners.__defaults__
         substrings.first_owners.__defaults__ = (hot,)
         try:
             got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(frame(spark, rows)).collect()}
         finally:
-            substrings.HOT_STRINGS = before
-            substrings.first_owners.__defaults__ = original
+            substrings.first_owners.__defaults__ = usual
         assert got == {i: (n, g, hashlib.sha256(k.encode()).hexdigest()) for i, (n, g, k) in want.items()}
 
 
