@@ -67,13 +67,11 @@ def main() -> None:
         seconds[name] = timed(lambda name=name: QUERIES[name](spark, SF_DIR))
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
 
-    # Every customer a team, one pool per nation: many entities, parallel rating pools.
-    wide = league(spark, SF_DIR, wide=True)
-    games = wide.games()
-    wide.stats()
-    seconds["wide_rating"] = timed(lambda: rate_games(wide.prepared()))
-    seconds["wide_features"] = timed(
-        lambda: build_features(games, wide.stats(), wide.arenas(), wide.relocations(), SHARED_SITE)
+    # The nightly work over the whole league: every order a game, one rating pool per nation.
+    games = league_.games()
+    seconds["rating"] = timed(lambda: rate_games(league_.prepared()))
+    seconds["features"] = timed(
+        lambda: build_features(games, league_.stats(), league_.arenas(), league_.relocations(), SHARED_SITE)
     )
     n = games.count()
     line = {
@@ -82,9 +80,9 @@ def main() -> None:
         "unit": "sec",
         "queries": seconds,
         "sf": os.path.basename(SF_DIR.rstrip("/")),
-        "wide_games": n,
-        "wide_feature_games_per_sec": round(n / seconds["wide_features"], 1),
-        "wide_rating_games_per_sec": round(n / seconds["wide_rating"], 1),
+        "games": n,
+        "feature_games_per_sec": round(n / seconds["features"], 1),
+        "rating_games_per_sec": round(n / seconds["rating"], 1),
     }
     print(json.dumps(line))
     spark.stop()

@@ -130,10 +130,16 @@ def s2_schedule(L: League) -> DataFrame:
     return parsed.withColumn("tip", F.unix_seconds("tip_time_utc")).drop("tip_time_utc")
 
 
-def _code(team: str) -> F.Column:
-    """The second provider's code of a league team, from the static dimension."""
+def _code(place: F.Column) -> F.Column:
+    """A code of the second provider, from the static dimension, by its place there."""
     codes = [row[6] for row in dimensions._rows(dimensions.TEAMS)]
-    return F.get(F.array(*[F.lit(c) for c in codes]), F.col(team).cast("int"))
+    return F.get(F.array(*[F.lit(c) for c in codes]), place.cast("int"))
+
+
+# The provider knows thirty teams: each team plays under the place of its id, the away team under
+# the next one where both have the same.
+_HOME_PLACE = "home_team_id % 30"
+_AWAY_PLACE = "(away_team_id + CASE WHEN away_team_id % 30 = home_team_id % 30 THEN 1 ELSE 0 END) % 30"
 
 
 def _competitors() -> F.Column:
@@ -142,9 +148,9 @@ def _competitors() -> F.Column:
             F.struct(
                 F.lit(s).alias("homeAway"),
                 F.coalesce(F.col(f"{s}_score"), F.lit(0)).cast("string").alias("score"),
-                F.struct(_code(f"{s}_team_id").alias("id")).alias("team"),
+                F.struct(_code(F.expr(place)).alias("id")).alias("team"),
             )
-            for s in ("away", "home")
+            for s, place in (("away", _AWAY_PLACE), ("home", _HOME_PLACE))
         ]
     )
 
@@ -152,7 +158,7 @@ def _competitors() -> F.Column:
 @query(
     "s4_scoreboard",
     f"""SELECT 'b' || ok AS provider_id, season, CASE ok % 4 WHEN 3 THEN 'playoffs' ELSE 'regular' END AS season_type, game_date, CAST(epoch(tip_time_utc) AS BIGINT) AS tip,
-        home_team_id + {BASE_ID} AS home_team_id, away_team_id + {BASE_ID} AS away_team_id, status, home_score, away_score
+        {_HOME_PLACE} + {BASE_ID} AS home_team_id, {_AWAY_PLACE} + {BASE_ID} AS away_team_id, status, home_score, away_score
         FROM games WHERE tip_time_utc IS NOT NULL AND ok % 4 <> 1 AND ok % 23 <> 0 AND ok % 29 <> 0""",
 )
 def s4_scoreboard(L: League) -> DataFrame:
@@ -181,14 +187,15 @@ def s4_scoreboard(L: League) -> DataFrame:
 
 @query(
     "s5_summary_box",
-    f"""SELECT s.game_id, team_id + {BASE_ID} AS team_id, is_home, CASE WHEN g.ok % 16 = 0 THEN 265 ELSE 240 END AS minutes, pts, fgm, fga, fg3m, ftm, oreb, tov,
+    f"""SELECT s.game_id, CASE WHEN is_home THEN {_HOME_PLACE} ELSE {_AWAY_PLACE} END + {BASE_ID} AS team_id, is_home, CASE WHEN g.ok % 16 = 0 THEN 265 ELSE 240 END AS minutes, pts, fgm, fga, fg3m, ftm, oreb, tov,
         CASE WHEN is_home THEN home_score - away_score ELSE away_score - home_score END AS plus_minus FROM stats s JOIN games g USING (game_id) WHERE g.status = 'final' AND g.ok % 37 <> 0""",
 )
 def s5_summary_box(L: League) -> DataFrame:
     """Every 37th summary lacks a statistic and is rejected as a whole."""
     ok = F.col("ok")
     final = L.games().where("status = 'final'")
-    stats = L.stats().join(final.select("game_id", "ok"), "game_id")
+    stats = L.stats().join(final.select("game_id", "ok", "home_team_id", "away_team_id"), "game_id")
+    place = F.when(F.col("is_home"), F.expr(_HOME_PLACE)).otherwise(F.expr(_AWAY_PLACE))
 
     def pair(made: str, attempted: str) -> F.Column:
         return F.concat_ws("-", made, attempted)
@@ -203,7 +210,7 @@ def s5_summary_box(L: League) -> DataFrame:
         "totalTurnovers": F.col("tov").cast("string"),
     }
     listed = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("displayValue")) for n, v in values.items()])
-    team = F.struct(F.struct(_code("team_id").alias("id")).alias("team"), listed.alias("statistics"))
+    team = F.struct(F.struct(_code(place).alias("id")).alias("team"), listed.alias("statistics"))
     # Two teams per summary.
     packed = stats.groupBy("game_id").agg(F.collect_list(team).alias("teams"))
     play = F.struct(F.struct(F.when(ok % 16 == 0, 5).otherwise(4).alias("number")).alias("period"))

@@ -34,15 +34,15 @@ def div(a: Column, b: Column | int) -> Column:
 class League:
     """Fixture views over one data folder, built on demand."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = False):
-        self.spark, self.sf_dir, self.wide = spark, sf_dir.rstrip("/"), wide
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._views: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _tag(self) -> str:
-        return hashlib.sha1(f"{self.sf_dir}:{self.wide}".encode()).hexdigest()[:12]
+        return hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
 
     def _stored(self, name: str, build: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
         if name not in self._views:
@@ -51,47 +51,54 @@ class League:
 
     # ------------------------------------------------------------ meetings
 
+    def _ring(self) -> DataFrame:
+        """(c_custkey, nation, rank, size): the customers of a nation, which are the teams that
+        play each other, numbered from 0."""
+        customer = self.table("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"))
+        ranked = row_numbers(customer, ["nation"], F.floor(F.col("c_custkey") / 4096), ["c_custkey"], name="rank")
+        sizes = customer.groupBy("nation").agg(F.count(F.lit(1)).alias("size"))
+        return ranked.withColumn("rank", F.col("rank") - 1).join(sizes, "nation")
+
     def _meetings(self) -> DataFrame:
-        """(ok, d, h, a, pool, priority): who meets whom, one row per order."""
+        """(ok, d, h, a, pool, priority): who meets whom, one row per order.
+
+        A team plays once per date although every order is kept. The kth order of each customer in
+        a stretch of 30 days is a round of its nation: everyone meets the team `step` places on in
+        the ring, on the first of the round's three dates in even runs of `step` places, on the
+        second in odd runs, and on the third where the ring closes."""
         orders = self.table("orders").select(
             F.col("o_orderkey").alias("ok"),
             F.col("o_custkey").alias("c_custkey"),
-            F.to_date("o_orderdate").alias("d"),
+            F.to_date("o_orderdate").alias("od"),
             F.col("o_orderpriority").alias("priority"),
         )
-        customer = self.table("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"))
-        joined = orders.join(customer, "c_custkey")
-        if not self.wide:
-            opponent = (F.col("nation") + 1 + F.col("ok") % 24) % 25
-            return joined.select("ok", "d", "priority", F.col("nation").alias("h"), opponent.alias("a"), F.lit("all").alias("pool"))
-        ring = row_numbers(
-            customer, ["nation"], F.floor(F.col("c_custkey") / 4096), ["c_custkey"], name="rank"
-        ).withColumn("rank", F.col("rank") - 1)
-        sizes = ring.groupBy("nation").agg(F.count(F.lit(1)).alias("size"))
-        placed = joined.join(ring.select("c_custkey", "rank"), "c_custkey").join(sizes, "nation")
-        target = placed.withColumn("target", (F.col("rank") + 1 + F.col("ok") % 7) % F.col("size"))
+        stretch = div(F.datediff("od", F.lit("1992-01-01").cast("date")), 30)
+        numbered = row_numbers(
+            orders.withColumn("stretch", stretch), ["c_custkey", "stretch"], F.floor(F.col("ok") / 65536), ["ok"], name="k"
+        ).withColumn("k", F.col("k") - 1)
+        ring = self._ring()
+        rank, size = F.col("rank"), F.col("size")
+        step = 1 + (F.col("stretch") + F.col("k")) % div(size, 2)
+        placed = numbered.join(ring, "c_custkey").withColumn("step", step)
+        third = F.when(rank >= size - F.col("step"), 2).otherwise(div(rank, F.col("step")) % 2)
+        day = (F.col("stretch") * 30 + F.col("k") * 3 + third).cast("int")
+        targets = placed.select(
+            "ok", "priority", "nation", F.date_add(F.lit("1992-01-01").cast("date"), day).alias("d"), F.col("c_custkey").alias("h"),
+            ((rank + F.col("step")) % size).alias("target"),
+        )
         opponents = ring.select("nation", F.col("rank").alias("target"), F.col("c_custkey").alias("a"))
-        return (
-            target.join(opponents, ["nation", "target"])
-            .where(F.col("c_custkey") != F.col("a"))
-            .select("ok", "d", "priority", F.col("c_custkey").alias("h"), "a", F.col("nation").cast("string").alias("pool"))
+        return targets.join(opponents, ["nation", "target"]).select(
+            "ok", "d", "priority", "h", "a", F.col("nation").cast("string").alias("pool")
         )
 
-    def _kept(self, meetings: DataFrame) -> DataFrame:
-        """A team plays once per date: keep a meeting that is the first of the day for both."""
-        slots = meetings.select("ok", "d", F.explode(F.array("h", "a")).alias("t"))
-        first = slots.groupBy("d", "t").agg(F.min("ok").alias("ok"))
-        both = first.groupBy("ok").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("ok")
-        return meetings.join(both, "ok", "left_semi")
-
     def _sides(self) -> DataFrame:
-        """Kept meetings with both teams' box lines."""
+        """Meetings with both teams' box lines."""
         quantity = (
             self.table("lineitem")
             .groupBy(F.col("l_orderkey").alias("ok"))
             .agg(F.sum("l_quantity").cast("long").alias("q"))
         )
-        base = self._kept(self._meetings()).join(quantity, "ok", "left")
+        base = self._meetings().join(quantity, "ok", "left")
 
         def line(team: str, side: int) -> dict[str, Column]:
             t, ok = F.col(team), F.col("ok")
@@ -180,16 +187,10 @@ class League:
     # ------------------------------------------------------------ dimensions
 
     def teams(self) -> DataFrame:
-        if self.wide:
-            return self.table("customer").select(
-                F.col("c_custkey").alias("team_id"),
-                F.col("c_name").alias("abbreviation"),
-                F.col("c_name").alias("full_name"),
-            )
-        return self.table("nation").select(
-            F.col("n_nationkey").cast("long").alias("team_id"),
-            F.concat(F.substring("n_name", 1, 3), F.col("n_nationkey").cast("string")).alias("abbreviation"),
-            F.col("n_name").alias("full_name"),
+        return self.table("customer").select(
+            F.col("c_custkey").alias("team_id"),
+            F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("abbreviation"),
+            F.col("c_name").alias("full_name"),
         )
 
     def arenas(self) -> DataFrame:
@@ -219,7 +220,8 @@ class League:
             cut = cut_by_range(raw, ["user_id"], ["ts", "event_id"], f"{self._tag()}/events")
             numbered = row_numbers(cut, ["user_id"], F.col("chunk"), ["ts", "event_id"], name="action_id").drop("chunk")
             counts = raw.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-            order = row_numbers(self.games().select("game_id", "game_date", "ok"), [], F.unix_date("game_date"), ["game_date", "ok"])
+            # By order, not by date: the games with events are spread over the seasons.
+            order = row_numbers(self.games().select("game_id", "ok"), [], F.floor(F.col("ok") / 65536), ["ok"])
             of_user = order.select("game_id", (F.col("rn") - 1).alias("user_id"))
             rows = numbered.join(counts, "user_id").join(of_user, "user_id")
             kind, k, n = F.col("event_type"), F.col("k"), F.col("n")
@@ -350,11 +352,11 @@ class League:
         return self._stored("live_wp_snapshots", build)
 
 
-_LEAGUES: dict[tuple[str, str, bool], League] = {}
+_LEAGUES: dict[tuple[str, str], League] = {}
 
 
-def league(spark: SparkSession, sf_dir: str, wide: bool = False) -> League:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), wide)
+def league(spark: SparkSession, sf_dir: str) -> League:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _LEAGUES:
-        _LEAGUES[key] = League(spark, sf_dir, wide)
+        _LEAGUES[key] = League(spark, sf_dir)
     return _LEAGUES[key]

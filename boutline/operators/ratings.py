@@ -1,26 +1,30 @@
 """Pairwise rating fold.
 
 A rating depends on every earlier opponent, so one pool of entities that play each other is
-folded in (date, game) order. Pools are independent: the default form streams each pool's
-sorted rows through a small fold, pools side by side. A pool too long to stream through one
-task is rated in rounds instead: games of one date are independent of each other, so each date
-is one distributed join against the current ratings."""
+folded in (date, game) order. Pools are independent, and `games` must name each game's `pool`.
+Two forms give the same rows, and the caller chooses: `stream_pools` (what `rate_games` uses)
+streams each pool's sorted rows through a small fold, pools side by side; `rate_in_rounds` is for
+a pool too long for one task: games in which no team plays twice are independent of each other, so
+a date is one distributed join against the current ratings, or several if a team plays twice.
+
+A final game without both scores cannot be rated: like an unplayed one it gets the ratings before
+it and none after it, and `unrated` lists it."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from boutline.functions import elo
 from boutline.functions.elo import HOME_ADVANTAGE, INITIAL, SEASON_CARRYOVER, SEASON_MEAN, K
-from boutline.session import fresh_path, shared_dir
+from boutline.session import fresh_path, materialise, shared_dir
 
+SIDES = ("home", "away")
 RATED = "game_id string, home_elo_pre double, away_elo_pre double, home_elo_post double, away_elo_post double"
-# Above this many games a pool is rated in rounds; a streamed pool needs seconds per million.
-MAX_STREAMED_POOL = 50_000_000
+RATABLE = "status = 'final' AND home_score IS NOT NULL AND away_score IS NOT NULL"
 
 
 def _fold_pools(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,7 +50,7 @@ def _fold_pools(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     value = SEASON_CARRYOVER * value + (1 - SEASON_CARRYOVER) * SEASON_MEAN
                 pre.append(value)
             home, away = pre
-            if row.status != "final":
+            if not row.ratable:
                 out.append((row.game_id, home, away, None, None))
                 continue
             diff = home - away + (0.0 if row.is_neutral else HOME_ADVANTAGE)
@@ -91,7 +95,7 @@ def stream_pools(games: DataFrame, start: DataFrame | None = None) -> DataFrame:
         F.col("season").cast("int").alias("season"),
         F.col("home_team_id").cast("string").alias("home_team_id"),
         F.col("away_team_id").cast("string").alias("away_team_id"),
-        "status",
+        F.expr(RATABLE).alias("ratable"),
         F.coalesce("is_neutral", F.lit(False)).alias("is_neutral"),
         F.coalesce((F.col("home_score") - F.col("away_score")).cast("double"), F.lit(0.0)).alias("margin"),
         "home_start",
@@ -106,20 +110,22 @@ def stream_pools(games: DataFrame, start: DataFrame | None = None) -> DataFrame:
 def rate_in_rounds(
     games: DataFrame, start: DataFrame | None = None, name: str = "rounds", checkpoint_every: int = 10
 ) -> DataFrame:
-    """Rate by one distributed round per date. Each round's games are written to the shared
+    """Rate by distributed rounds in which a team plays once: one per date, or, on dates on which
+    some team plays more often, as many as it takes. Each round's games are written to the shared
     folder, the ratings table is checkpointed every few rounds."""
     spark = games.sparkSession
     shared_dir(spark)
     path = fresh_path(spark, name)
     # One value per calendar date: bounded by the calendar, not by the number of games.
-    days = [r[0] for r in games.select("game_date").distinct().orderBy("game_date").collect()]
+    team_days = games.select("game_date", F.explode(F.array(*[F.col(f"{s}_team_id").cast("string") for s in SIDES])).alias("t"))
+    per_team = team_days.groupBy("game_date", "t").agg(F.count(F.lit(1)).alias("n"))
+    days = per_team.groupBy("game_date").agg(F.max("n").alias("most")).orderBy("game_date").collect()
     empty = spark.createDataFrame([], "team_id string, rating double, season int")
     ratings = empty if start is None else start.select(
         F.col("team_id").cast("string").alias("team_id"), "rating", F.col("season").cast("int").alias("season")
     )
-    for i, day in enumerate(days):
-        today = games.where(F.col("game_date") == F.lit(day))
-        for side in ("home", "away"):
+    for i, today in enumerate(_rounds(games, days, name)):
+        for side in SIDES:
             today = today.join(
                 ratings.select(
                     F.col("team_id").alias(f"__{side}"),
@@ -145,7 +151,7 @@ def rate_in_rounds(
             F.col("home_score") - F.col("away_score"),
             F.col("is_neutral"),
         )
-        rated = rated.withColumn("__shift", F.when(F.col("status") == "final", shift)).select(
+        rated = rated.withColumn("__shift", F.when(F.expr(RATABLE), shift)).select(
             "game_id",
             "season",
             F.col("home_team_id").cast("string").alias("home"),
@@ -176,23 +182,33 @@ def rate_in_rounds(
     return spark.read.parquet(path).select(*columns)
 
 
-def rate_games(
-    games: DataFrame, start: DataFrame | None = None, max_streamed_pool: int = MAX_STREAMED_POOL
-) -> DataFrame:
-    """Pre- and post-game ratings of every game. Without a `pool` column all teams form one pool.
+def _rounds(games: DataFrame, days: list[Row], name: str) -> Iterator[DataFrame]:
+    """Games that can be rated at once, in order."""
+    for day in days:
+        left = games.where(F.col("game_date") == F.lit(day["game_date"]))
+        if day["most"] == 1:
+            yield left
+            continue
+        # A team plays several times: first the games that come first for both their teams.
+        while not left.isEmpty():
+            team = F.explode(F.array(*[F.col(f"{s}_team_id").cast("string") for s in SIDES]))
+            first = left.select("game_id", team.alias("t")).groupBy("t").agg(F.min("game_id").alias("game_id"))
+            both = first.groupBy("game_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("game_id")
+            ready = materialise(left.join(both, "game_id", "left_semi"), f"{name}/ready")
+            left = materialise(left.join(both, "game_id", "left_anti"), f"{name}/left")
+            yield ready
+
+
+def rate_games(games: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Pre- and post-game ratings of every game of every `pool`.
 
     `start` (team_id, rating, season) resumes from stored ratings: pass only the new games."""
-    if "pool" not in games.columns:
-        games = games.withColumn("pool", F.lit("all"))
-    # A pool is long only if the table is: one cheap grouped count decides, exactly, per pool.
-    long_pools = [
-        r[0]
-        for r in games.groupBy("pool").count().where(F.col("count") > max_streamed_pool).select("pool").collect()
-    ]
-    if not long_pools:
-        return stream_pools(games, start)
-    streamed = stream_pools(games.where(~F.col("pool").isin(long_pools)), start)
-    return streamed.unionByName(rate_in_rounds(games.where(F.col("pool").isin(long_pools)), start))
+    return stream_pools(games, start)
+
+
+def unrated(games: DataFrame) -> DataFrame:
+    """Final games that no rating can use: rejects for whoever loads them."""
+    return games.where(f"status = 'final' AND NOT ({RATABLE})")
 
 
 def rating_rows(games: DataFrame, rated: DataFrame) -> DataFrame:
@@ -224,5 +240,3 @@ def current_ratings(ratings: DataFrame) -> DataFrame:
     return played.join(upcoming, "team_id", "full_outer").select(
         "team_id", F.coalesce("next_elo", "last_elo").alias("elo")
     )
-
-

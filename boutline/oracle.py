@@ -79,12 +79,15 @@ _PRE = """CASE WHEN s[{t}+1] IS NULL THEN 1500.0::DOUBLE WHEN s[{t}+1] <> g.seas
           THEN 0.75::DOUBLE*r[{t}+1] + 0.25::DOUBLE*1505 ELSE r[{t}+1] END"""
 
 CTES: dict[str, str] = {
-    "fx_base": """SELECT o_orderkey AS ok, CAST(o_orderdate AS DATE) AS d, CAST(c_nationkey AS BIGINT) AS h,
-        (CAST(c_nationkey AS BIGINT) + 1 + o_orderkey % 24) % 25 AS a, o_orderpriority AS priority
-        FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "fx_slots": """SELECT ok, row_number() OVER (PARTITION BY d, t ORDER BY ok) AS rn FROM
-        (SELECT ok, d, h AS t FROM fx_base UNION ALL SELECT ok, d, a FROM fx_base)""",
-    "fx_kept": """SELECT b.* FROM fx_base b JOIN (SELECT ok FROM fx_slots GROUP BY ok HAVING max(rn) = 1) USING (ok)""",
+    "fx_ring": """SELECT CAST(c_custkey AS BIGINT) AS team, CAST(c_nationkey AS BIGINT) AS nation,
+        row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rank, count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer""",
+    "fx_rounds": """SELECT ok, cust, priority, stretch, row_number() OVER (PARTITION BY cust, stretch ORDER BY ok) - 1 AS k FROM
+        (SELECT o_orderkey AS ok, o_custkey AS cust, o_orderpriority AS priority,
+         date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) // 30 AS stretch FROM orders)""",
+    "fx_placed": """SELECT *, 1 + (stretch + k) % (size // 2) AS step FROM fx_rounds JOIN fx_ring ON cust = team""",
+    "fx_kept": """SELECT p.ok, p.priority, p.team AS h, o.team AS a, p.nation AS pool,
+        DATE '1992-01-01' + CAST(stretch*30 + k*3 + CASE WHEN p.rank >= p.size - step THEN 2 ELSE (p.rank // step) % 2 END AS INTEGER) AS d
+        FROM fx_placed p JOIN fx_ring o ON o.nation = p.nation AND o.rank = (p.rank + step) % p.size""",
     "fx_q": "SELECT l_orderkey AS ok, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1",
     "fx_lines": f"SELECT k.*, q.q, {_side('h', 1)}, {_side('a', 0)} FROM fx_kept k LEFT JOIN fx_q q ON k.ok = q.ok",
     "fx_sides": """SELECT * EXCLUDE (tie), h_ftm0 + tie AS h_ftm, a_ftm0 AS a_ftm,
@@ -93,18 +96,17 @@ CTES: dict[str, str] = {
         (SELECT *, CASE WHEN 2*h_fgm + h_fg3m + h_ftm0 = 2*a_fgm + a_fg3m + a_ftm0 THEN 1 ELSE 0 END AS tie FROM fx_lines)""",
     "games": """SELECT game_id, ok, season, season_type, game_date, tip_time_utc, home_team_id, away_team_id, status,
         CASE WHEN status <> 'scheduled' THEN h_pts END AS home_score, CASE WHEN status <> 'scheduled' THEN a_pts END AS away_score,
-        is_neutral, provider_id FROM
+        is_neutral, provider_id, pool FROM
         (SELECT gid AS game_id, ok, CAST(year(d) - CASE WHEN month(d) < 8 THEN 1 ELSE 0 END AS BIGINT) AS season,
          CASE priority WHEN '1-URGENT' THEN 'playoffs' WHEN '2-HIGH' THEN 'playin' ELSE 'regular' END AS season_type,
          d AS game_date, CASE WHEN ok % 17 <> 0 THEN CAST(d AS TIMESTAMP) + to_hours(22 + ok % 5) END AS tip_time_utc,
          h AS home_team_id, a AS away_team_id,
          CASE WHEN d >= DATE '2001-06-01' OR ok % 40 = 0 THEN 'scheduled' WHEN d >= DATE '2001-05-25' THEN 'live' ELSE 'final' END AS status,
-         h_pts, a_pts, CASE WHEN ok % 7 <> 0 THEN ok % 50 = 0 END AS is_neutral,
+         h_pts, a_pts, pool, CASE WHEN ok % 7 <> 0 THEN ok % 50 = 0 END AS is_neutral,
          CASE WHEN ok % 3 <> 0 THEN 'e' || CAST(ok AS VARCHAR) END AS provider_id FROM fx_sides)""",
     "stats": f"{_stat('h', 'a', 'true')} UNION ALL {_stat('a', 'h', 'false')}",
-    "teams": """SELECT CAST(n_nationkey AS BIGINT) AS team_id, substr(n_name, 1, 3) || CAST(n_nationkey AS VARCHAR) AS abbreviation,
-        n_name AS full_name FROM nation""",
-    "arenas": "SELECT team_id, CAST(25 + team_id AS DOUBLE) AS lat, CAST(-120 + 2*team_id AS DOUBLE) AS lon FROM teams",
+    "teams": """SELECT CAST(c_custkey AS BIGINT) AS team_id, 'C' || CAST(c_custkey AS VARCHAR) AS abbreviation, c_name AS full_name FROM customer""",
+    "arenas": "SELECT team_id, CAST(25 + team_id % 25 AS DOUBLE) AS lat, CAST(-120 + 2*(team_id % 25) AS DOUBLE) AS lon FROM teams",
     "relocations": "SELECT team_id, 1996 AS season, 47.6::DOUBLE AS lat, -122.4::DOUBLE AS lon FROM teams WHERE team_id = 3",
     "prepared": """SELECT g.* EXCLUDE (is_neutral), coalesce(is_neutral, false) OR inside AS is_neutral,
         season_type = 'playoffs' AS is_playoffs,
@@ -151,21 +153,22 @@ CTES: dict[str, str] = {
     "team_features": f"""SELECT a.game_id, a.team_id, a.is_home, {', '.join(f'a.{c}' for c in STATE)}, e.prev_net,
         l.rest_days, l.b2b, l.games_last7, l.travel_km FROM attached a JOIN load l ON l.game_id = a.game_id AND l.team_id = a.team_id
         LEFT JOIN season_end e ON e.team_id = a.team_id AND e.season = a.season - 1""",
-    "elo_order": """SELECT *, row_number() OVER (ORDER BY game_date, game_id) AS i FROM prepared""",
-    "elo_fold": f"""SELECT CAST(0 AS BIGINT) AS i, CAST([NULL for x in range(25)] AS DOUBLE[]) AS r, CAST([NULL for x in range(25)] AS BIGINT[]) AS s,
+    "elo_order": """SELECT p.*, x.rank AS hi, y.rank AS ai, row_number() OVER (PARTITION BY p.pool ORDER BY game_date, game_id) AS i
+        FROM prepared p JOIN fx_ring x ON x.team = p.home_team_id JOIN fx_ring y ON y.team = p.away_team_id""",
+    "elo_fold": f"""SELECT nation AS pool, CAST(0 AS BIGINT) AS i, CAST([NULL for x in range(size)] AS DOUBLE[]) AS r, CAST([NULL for x in range(size)] AS BIGINT[]) AS s,
           CAST(NULL AS VARCHAR) AS game_id, CAST(NULL AS DOUBLE) AS home_elo_pre, CAST(NULL AS DOUBLE) AS away_elo_pre,
-          CAST(NULL AS DOUBLE) AS home_elo_post, CAST(NULL AS DOUBLE) AS away_elo_post
+          CAST(NULL AS DOUBLE) AS home_elo_post, CAST(NULL AS DOUBLE) AS away_elo_post FROM (SELECT nation, max(size) AS size FROM fx_ring GROUP BY nation)
         UNION ALL
-        SELECT i, CASE WHEN shift IS NULL THEN r ELSE list_transform(r, lambda v, k: CASE WHEN k = h + 1 THEN hp + shift WHEN k = a + 1 THEN ap - shift ELSE v END) END,
+        SELECT pool, i, CASE WHEN shift IS NULL THEN r ELSE list_transform(r, lambda v, k: CASE WHEN k = h + 1 THEN hp + shift WHEN k = a + 1 THEN ap - shift ELSE v END) END,
           CASE WHEN shift IS NULL THEN s ELSE list_transform(s, lambda v, k: CASE WHEN k = h + 1 OR k = a + 1 THEN season ELSE v END) END,
           game_id, hp, ap, hp + shift, ap - shift FROM
         (SELECT *, CASE WHEN status = 'final' THEN 20.0::DOUBLE * pow(abs(m) + 3.0::DOUBLE, 0.8::DOUBLE)
             / (7.5::DOUBLE + 0.006::DOUBLE * CASE WHEN m > 0 THEN diff ELSE -diff END)
             * (CASE WHEN m > 0 THEN 1 ELSE 0 END - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, -diff / 400))) END AS shift FROM
          (SELECT *, hp + CASE WHEN neutral THEN 0 ELSE 100 END - ap AS diff FROM
-          (SELECT g.i, f.r, f.s, g.game_id, g.season, g.status, g.is_neutral AS neutral, g.home_score - g.away_score AS m,
-             g.home_team_id AS h, g.away_team_id AS a, {_PRE.format(t='g.home_team_id')} AS hp, {_PRE.format(t='g.away_team_id')} AS ap
-           FROM elo_fold f JOIN elo_order g ON g.i = f.i + 1)))""",
+          (SELECT g.pool, g.i, f.r, f.s, g.game_id, g.season, g.status, g.is_neutral AS neutral, g.home_score - g.away_score AS m,
+             g.hi AS h, g.ai AS a, {_PRE.format(t='g.hi')} AS hp, {_PRE.format(t='g.ai')} AS ap
+           FROM elo_fold f JOIN elo_order g ON g.pool = f.pool AND g.i = f.i + 1)))""",
     "elo": "SELECT game_id, home_elo_pre, away_elo_pre, home_elo_post, away_elo_post FROM elo_fold WHERE i > 0",
     "ratings": """SELECT g.game_id, g.season, g.game_date, home_team_id AS team_id, home_elo_pre AS elo_pre, home_elo_post AS elo_post FROM games g JOIN elo USING (game_id)
         UNION ALL SELECT g.game_id, g.season, g.game_date, away_team_id, away_elo_pre, away_elo_post FROM games g JOIN elo USING (game_id)""",
@@ -180,7 +183,7 @@ CTES: dict[str, str] = {
         CASE WHEN p.status = 'final' THEN CASE WHEN p.home_score > p.away_score THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS home_win
         FROM prepared p JOIN elo e USING (game_id) LEFT JOIN team_features h ON h.game_id = p.game_id AND h.is_home
         LEFT JOIN team_features a ON a.game_id = p.game_id AND NOT a.is_home""",
-    "fx_users": "SELECT game_id, row_number() OVER (ORDER BY game_date, ok) - 1 AS user_id FROM games",
+    "fx_users": "SELECT game_id, row_number() OVER (ORDER BY ok) - 1 AS user_id FROM games",
     "fx_events": """SELECT u.game_id, e.user_id, e.event_id, e.event_type, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS k,
         row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS action_id, count(*) OVER (PARTITION BY e.user_id) AS n,
         CASE WHEN e.user_id % 10 = 0 THEN 5 ELSE 4 END AS periods FROM events e JOIN fx_users u ON u.user_id = e.user_id""",
@@ -226,7 +229,7 @@ CTES: dict[str, str] = {
 }
 
 # Read once per fold step or by several views: computed once.
-MATERIALISED = {"elo_order", "games", "prepared", "tg", "state", "pbp", "outcomes", "team_features", "elo"}
+MATERIALISED = {"fx_ring", "fx_kept", "elo_order", "games", "prepared", "tg", "state", "pbp", "outcomes", "team_features", "elo"}
 _NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")
 
 

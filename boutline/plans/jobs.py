@@ -14,18 +14,20 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
 from typing import Any
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.functions.calendar import EASTERN
 from boutline.operators.evaluation import reliability
-from boutline.operators.features import FEATURE_VERSION, build_features, features_as_json, features_from_json
+from boutline.operators.features import build_features, features_as_json, features_from_json
+from boutline.operators.latest import latest_by
 from boutline.operators.ratings import rate_games, rating_rows
 from boutline.operators.retention import prune
 from boutline.operators.states import training_states
 from boutline.operators.teamgames import prepare_games
-from boutline.operators.upsert import final_stays_final, mark_tasks, resolve_ids
+from boutline.operators.upsert import final_stays_final, mark_tasks, request_key, resolve_ids
 from boutline.plans import backtest, ingame, ingest, monitor, registry, rules, scoring
 from boutline.session import local_session, materialise
 from boutline.sources import board_feed, dimensions, documents, stats_feed
@@ -33,6 +35,12 @@ from boutline.sources.tables import PUBLISHED, Tables
 
 DETAIL_CHARS = 2000
 MINTED_PREFIX = "ext-"
+LANDED = ("schedule", "gamelog", "pbp", "board", "summary")
+
+
+def eastern_day(now: datetime) -> date:
+    """The day on the league's calendar."""
+    return now.astimezone(ZoneInfo(EASTERN)).date()
 
 
 def season_of_day(day: date) -> int:
@@ -44,12 +52,13 @@ class Deployment:
     spark: SparkSession
     root: str
     landing: str
-    clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None)
+    clock: Callable[[], datetime] = lambda: datetime.now(UTC)
     first_season: int = backtest.FIRST_SEASON
     first_event_season: int = ingame.FIRST_SEASON
     min_event_games: int = 1000
-    keep_points: int = 150
-    keep_seasons: int = 1
+    # Retention of live history: points kept per finished game, seasons kept. None keeps everything.
+    keep_points: int | None = None
+    keep_seasons: int | None = None
     pregame_params: dict[str, Any] | None = None
     ingame_params: dict[str, Any] | None = None
     n_test_seasons: int = backtest.N_TEST_SEASONS
@@ -57,11 +66,16 @@ class Deployment:
     def __post_init__(self) -> None:
         self.tables = Tables(self.spark, self.root)
 
+    def now(self) -> datetime:
+        """The clock's time with its zone; a clock without one runs in UTC."""
+        now = self.clock()
+        return now if now.tzinfo else now.replace(tzinfo=UTC)
+
     # ------------------------------------------------------------ audit
 
     def recorded(self, job: str, work: Callable[[], Any]) -> Any:
         """Run `work`, with a job-run row going from running to success or failed."""
-        run = {"id": str(uuid.uuid4()), "job": job, "started_at": self.clock()}
+        run = {"id": str(uuid.uuid4()), "job": job, "started_at": self.now()}
 
         def write(status: str, detail: str | None, finished: datetime | None) -> None:
             row = [(run["id"], job, run["started_at"], finished, status, detail and detail[:DETAIL_CHARS])]
@@ -72,9 +86,9 @@ class Deployment:
         try:
             result = work()
         except Exception as error:
-            write("failed", f"{type(error).__name__}: {error}", self.clock())
+            write("failed", f"{type(error).__name__}: {error}", self.now())
             raise
-        write("success", None if result is None else str(result), self.clock())
+        write("success", None if result is None else str(result), self.now())
         return result
 
     def _documents(self, kind: str, parts: list[str], schema: str) -> DataFrame | None:
@@ -85,12 +99,54 @@ class Deployment:
         return documents.read_documents(self.spark, found, schema) if found else None
 
     def _mark(self, marks: DataFrame) -> DataFrame:
-        marks = marks.withColumn("updated_at", F.lit(self.clock())).dropDuplicates(["task_key"])
+        """Record one mark per task: it failed if any of its documents failed."""
+        failed = F.bool_or(F.col("status") == "failed")
+        marks = materialise(
+            marks.groupBy("task_key").agg(
+                F.when(failed, "failed").otherwise("success").alias("status"),
+                F.when(~failed, F.sum("rows")).alias("rows"),
+                F.max("error").alias("error"),
+            ).withColumn("updated_at", F.lit(self.now())),
+            f"marks/{uuid.uuid4()}",
+        )
+        self._reject("document", marks.where("status = 'failed'").select(F.col("task_key").alias("subject"), F.col("error").alias("reason")))
         self.tables.rewrite("raw.ingestion_runs", lambda ledger: mark_tasks(ledger, marks))
         return marks
 
+    def _reject(self, kind: str, rows: DataFrame) -> None:
+        """Keep what could not be loaded (subject, reason)."""
+        if not rows.isEmpty():
+            stamped = rows.distinct().select(F.lit(kind).alias("kind"), "subject", "reason", F.lit(self.now()).alias("rejected_at"))
+            self.tables.append("raw.rejects", stamped)
+
     # ------------------------------------------------------------ ingestion
 
+    def land(self, kinds: tuple[str, ...] = LANDED) -> int:
+        """Copy landed documents into the table of raw responses, the newest of each request. The
+        request is the document's folder and name up to the first dot or @."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.landing).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f"{self.landing}/{kind}" for kind in kinds if fs.exists(path(f"{self.landing}/{kind}"))]
+        if not found:
+            return 0
+        texts = self.spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(found)
+        named = texts.select(
+            F.regexp_extract("_metadata.file_path", r"([^/]+)/(\w+=\w+)/([^/@.]+)[^/]*$", 1).alias("endpoint"),
+            F.regexp_extract("_metadata.file_path", r"([^/]+)/(\w+=\w+)/([^/@.]+)[^/]*$", 2).alias("part"),
+            F.regexp_extract("_metadata.file_path", r"([^/]+)/(\w+=\w+)/([^/@.]+)[^/]*$", 3).alias("name"),
+            F.col("_metadata.file_modification_time").alias("fetched_at"),
+            F.col("_metadata.file_path").alias("document"),
+            F.col("value").alias("payload"),
+        )
+        params = F.create_map(F.lit("part"), F.col("part"), F.lit("name"), F.col("name"))
+        keyed = named.select(
+            request_key(F.lit("landing"), F.col("endpoint"), params).alias("request_key"),
+            F.lit("landing").alias("source"), "endpoint", params.alias("params"), "fetched_at", "document", "payload",
+        )
+        newest = latest_by(keyed, ["request_key"], ["fetched_at", "document"]).drop("document")
+        self.tables.upsert("raw.api_responses", newest)
+        return self.tables.read("raw.api_responses").count()
+
     def seed_teams(self) -> None:
         self.tables.upsert("core.teams", dimensions.teams(self.spark))
 
@@ -105,9 +161,12 @@ class Deployment:
         }
         return [s for s in seasons if not (skip_done(s) and f"{kind}:{s}" in done)]
 
-    def ingest_seasons(self, first: int, last: int, today: date, events: bool = True, force: bool = False) -> DataFrame:
+    def ingest_seasons(
+        self, first: int, last: int, today: date, events: bool = True, force: bool = False, logs: bool = True
+    ) -> DataFrame:
         """Schedules, game logs and play-by-play of a season range: all pending documents of a
-        kind are parsed by one job. Completed seasons already loaded are skipped."""
+        kind are parsed by one job. Completed seasons already loaded are skipped. `logs` and
+        `events` leave out game logs and play-by-play."""
         self.seed_teams()
         current = season_of_day(today)
         seasons = list(range(first, last + 1))
@@ -121,16 +180,17 @@ class Deployment:
             size = F.size("leagueSchedule.gameDates")
             marks.append(self._mark(documents.outcomes(docs, "leagueSchedule", F.concat(F.lit("schedule:"), season_key), size)))
 
-        wanted = self._pending("gamelog", seasons, lambda s: not force and s < current)
+        wanted = self._pending("gamelog", seasons, lambda s: not force and s < current) if logs else []
         docs = self._documents("gamelog", [f"season={s}" for s in wanted], stats_feed.GAME_LOG)
         if docs is not None:
             known = self.tables.read("core.games").where(F.col("season").isin(wanted)).select("game_id", "home_team_id")
-            games, stats, _ = stats_feed.parse_game_logs(docs, known)
+            games, stats, rejects = stats_feed.parse_game_logs(docs, known)
             # Written once, then merged twice.
             games = materialise(games, f"gamelog/{uuid.uuid4()}")
             stats = stats.join(games.select("game_id", "season"), "game_id")
             self.tables.upsert("core.games", games, guard=final_stays_final)
             self.tables.upsert("core.team_game_stats", stats)
+            self._reject("game log", rejects.select(F.col("game_id").alias("subject"), "reason"))
             size = F.size(F.col("resultSets")[0]["rowSet"])
             marks.append(self._mark(documents.outcomes(docs, "resultSets", F.concat(F.lit("gamelog:"), season_key), size)))
 
@@ -143,47 +203,72 @@ class Deployment:
             out = out.unionByName(more)
         return out
 
-    def _load_events(self, docs: DataFrame, first: int, last: int, force: bool) -> DataFrame:
+    def ingest_games(self, game_ids: list[str]) -> DataFrame:
+        """Play-by-play of the named games, loaded again if they have it already."""
+        games = self.tables.read("core.games").where(F.col("game_id").isin(game_ids))
+        seasons = [r[0] for r in games.select("season").distinct().collect()]  # of the games named
+        docs = self._documents("pbp", [f"season={s}" for s in seasons], stats_feed.PLAY_BY_PLAY)
+        if docs is None:
+            return self.tables.read("raw.ingestion_runs").limit(0)
+        return self._load_events(docs, min(seasons), max(seasons), True, game_ids)
+
+    def _load_events(self, docs: DataFrame, first: int, last: int, force: bool, only: list[str] | None = None) -> DataFrame:
         games = self.tables.read("core.games").where("status = 'final'").where(F.col("season").between(first, last))
+        if only is not None:
+            games = games.where(F.col("game_id").isin(only))
         wanted = games if force else ingest.games_missing_events(games, self.tables.read("raw.ingestion_runs"), first, last)
-        named = docs.withColumn("__game", F.coalesce("game.gameId", F.regexp_extract("document", r"/([^/.]+)\.[^/]*$", 1)))
-        chosen = named.join(wanted.select(F.col("game_id").alias("__game"), "season"), "__game").drop("season")
+        named = docs.withColumn("__game", F.coalesce("game.gameId", F.regexp_extract("document", r"/([^/.@]+)[^/]*$", 1)))
+        chosen = documents.newest_documents(
+            named.join(wanted.select(F.col("game_id").alias("__game"), "season"), "__game").drop("season"), F.col("__game")
+        )
         marks = documents.outcomes(chosen, "game", F.concat(F.lit("pbp:"), "__game"), F.size("game.actions"))
         marks = materialise(marks, f"marks/{uuid.uuid4()}")
         rows = stats_feed.parse_play_by_play(chosen).join(games.select("game_id", "season"), "game_id")
         self.tables.upsert("core.pbp_events", rows)
         return self._mark(marks)
 
-    def ingest_board(self, today: date) -> DataFrame:
+    def ingest_board(self, today: date, events: bool = True) -> DataFrame:
         """Second provider's daily run: recent and stale days, then boxes and plays of finished
         games that have none yet."""
+        days = [r[0] for r in ingest.days_to_refresh(self.tables.read("core.games"), today).collect()]
+        self._load_days(days)
+        return self.ingest_summaries(season_of_day(today), events)
+
+    def ingest_board_season(self, season: int, events: bool = True) -> DataFrame:
+        """All landed days of a season from the second provider, then boxes and plays."""
+        first = date(season, 8, 1)
+        self._load_days([first + timedelta(days=i) for i in range((date(season + 1, 8, 1) - first).days)])
+        return self.ingest_summaries(season, events)
+
+    def _load_days(self, days: list[date]) -> None:
         self.seed_teams()
         games = self.tables.read("core.games")
-        days = [r[0] for r in ingest.days_to_refresh(games, today).collect()]
         docs = self._documents("board", [f"day={d:%Y%m%d}" for d in days], board_feed.SCOREBOARD)
         if docs is not None:
-            feed = board_feed.parse_scoreboard(docs).dropDuplicates(["provider_id"])
+            feed = board_feed.parse_scoreboard(docs)
             rows = resolve_ids(feed, games, MINTED_PREFIX).drop("document", "period", "clock")
             self.tables.upsert("core.games", materialise(rows, f"board/{uuid.uuid4()}"), guard=final_stays_final)
             day_key = F.regexp_extract("document", r"day=(\d+)", 1)
             self._mark(documents.outcomes(docs, "events", F.concat(F.lit("day:"), day_key), F.size("events")))
-        return self.ingest_summaries(season_of_day(today))
 
-    def ingest_summaries(self, season: int) -> DataFrame:
+    def ingest_summaries(self, season: int, events: bool = True) -> DataFrame:
         missing = ingest.games_missing_box(self.tables.read("core.games"), self.tables.read("core.team_game_stats"), season)
         docs = self._documents("summary", [f"season={season}"], board_feed.SUMMARY)
         if docs is None:
             return self.tables.read("raw.ingestion_runs").limit(0)
-        named = docs.withColumn("game_id", F.regexp_extract("document", r"/([^/.]+)\.[^/]*$", 1))
+        named = docs.withColumn("game_id", F.regexp_extract("document", r"/([^/.@]+)[^/]*$", 1))
+        named = documents.newest_documents(named, F.col("game_id"))
         chosen = named.join(missing.select("game_id"), "game_id", "left_semi")
         marks = materialise(
             documents.outcomes(chosen, "boxscore", F.concat(F.lit("game:"), "game_id"), F.size("boxscore.teams")),
             f"marks/{uuid.uuid4()}",
         )
-        box, _ = board_feed.parse_box(chosen)
+        box, rejects = board_feed.parse_box(chosen)
+        self._reject("box score", rejects.select(F.col("game_id").alias("subject"), "reason"))
         box = materialise(box.drop("document").withColumn("season", F.lit(season)), f"box/{uuid.uuid4()}")
-        plays = board_feed.parse_plays(chosen).drop("document").withColumn("season", F.lit(season))
-        self.tables.upsert("core.pbp_events", plays)
+        if events:
+            plays = board_feed.parse_plays(chosen).drop("document").withColumn("season", F.lit(season))
+            self.tables.upsert("core.pbp_events", plays)
         self.tables.upsert("core.team_game_stats", box)
         return self._mark(marks)
 
@@ -193,7 +278,8 @@ class Deployment:
         """Features and ratings of every game from the core tables, replacing the stored ones."""
         games, stats = self.tables.read("core.games"), self.tables.read("core.team_game_stats")
         arenas, moved = dimensions.arenas(self.spark), dimensions.relocations(self.spark)
-        prepared = prepare_games(games, arenas, moved, dimensions.SHARED_SITE)
+        # All teams of a deployment may meet: one pool.
+        prepared = prepare_games(games, arenas, moved, dimensions.SHARED_SITE).withColumn("pool", F.lit("league"))
         rated = materialise(rate_games(prepared), f"rated/{uuid.uuid4()}")
         built = build_features(games, stats, arenas, moved, dimensions.SHARED_SITE, rated)
         features = materialise(built, f"features/{uuid.uuid4()}")
@@ -225,7 +311,7 @@ class Deployment:
             season,
             logloss,
             report.acceptance(),
-            self.clock(),
+            self.now(),
             metrics={f"pooled_{k}": v for k, v in stored["pooled_model"].items()},
             artifacts={"backtest.json": stored},
             tags={f"{rules.TAG_PREFIX}{r['season']}": repr(r["logloss"]) for r in by_season},
@@ -250,7 +336,7 @@ class Deployment:
             report.test_season,
             values["model"]["logloss"],
             report.acceptance(),
-            self.clock(),
+            self.now(),
             metrics={f"{part}_{k}": v for part, m in values.items() for k, v in m.items()},
             artifacts={"evaluation.json": values, "reliability.json": [r.asDict() for r in report.curve.collect()]},
         )
@@ -262,9 +348,8 @@ class Deployment:
 
     def predict(self, start: date | None = None, days: int = 7, only_scheduled: bool = True) -> str:
         """Score the coming games with the production model; unchanged predictions are kept."""
-        now = self.clock()
-        if start is None:
-            start = self.spark.range(1).select(F.to_date(F.from_utc_timestamp(F.lit(now), EASTERN))).first()[0]
+        now = self.now()
+        start = start or eastern_day(now)
         model, version = registry.load_production(self.tables, registry.PREGAME)
         registry.snapshot_version(self.tables, version, now)
 
@@ -284,15 +369,15 @@ class Deployment:
             rows = wanted()
         frame = features_from_json(rows.select("game_id", "game_date", "features"))
         history = self.tables.read("serving.predictions").join(rows.select("game_id"), "game_id", "left_semi")
-        fresh = scoring.score(rows, frame, history, model.predict_and_explain, version, FEATURE_VERSION, now)
+        fresh = scoring.score(rows, frame, history, model.predict_and_explain, version, model.feature_version, now)
         fresh = materialise(fresh, f"scored/{uuid.uuid4()}")
         self.tables.append("serving.predictions", fresh)
         games, written = rows.count(), fresh.count()
-        return f"model v{version}: {games} games scored, {written} predictions written, {games - written} unchanged"
+        return f"{games} games scored with version {version} ({written} new predictions)"
 
     def monitor(self, today: date, min_games: dict[str, int] | None = None) -> str:
         expected = registry.pooled_expected(self.tables).unionByName(registry.heldout(self.tables, registry.INGAME))
-        now = self.clock()
+        now = self.now()
         results = monitor.run_monitor(
             self.tables.read("serving.predictions"),
             self.tables.read("serving.live_wp_snapshots"),
@@ -317,7 +402,8 @@ class Deployment:
         )
 
     def daily(self, today: date, board: bool = False) -> str:
-        """Nightly: ingest, rebuild features, score the coming week, monitor, thin old history."""
+        """Nightly: ingest, rebuild features, score the coming week, monitor; thin and drop
+        old live history only where the deployment says how much to keep."""
         season = season_of_day(today)
         marks = self.ingest_board(today) if board else self.ingest_seasons(season, season, today)
         tasks = marks.select(F.lit("daily").alias("job"), "task_key", F.col("status").alias("outcome"))
@@ -326,7 +412,10 @@ class Deployment:
         if registry.production_version(self.tables, registry.PREGAME) is not None:
             self.predict()
         self.monitor(today)
-        self.prune_history(today)
+        for name in ("core.games", "core.team_game_stats", "core.pbp_events", "raw.ingestion_runs"):
+            self.tables.vacuum(name)
+        if self.keep_points or self.keep_seasons:
+            self.prune_history(today)
         if summary is None:
             return "0 succeeded, 0 skipped, 0 failed"
         return f"{summary['succeeded']} succeeded, {summary['skipped']} skipped, {summary['failed']} failed"
@@ -342,33 +431,47 @@ class Deployment:
 
     def calibration_curve(self, model: str = registry.PREGAME) -> DataFrame:
         rows = monitor.pregame_rows(
-            self.tables.read("serving.predictions"), self.tables.read("core.games"), season_of_day(self.clock().date())
+            self.tables.read("serving.predictions"), self.tables.read("core.games"), season_of_day(eastern_day(self.now()))
         )
         return reliability(rows.where(F.col("model") == model), [], "home_win", "home_win_prob")
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="boutline")
-    parser.add_argument("job", choices=["backfill", "daily", "features", "train", "predict", "monitor", "publish"])
+    parser.add_argument("job", choices=[
+        "land", "backfill", "schedule", "games", "board-season", "daily", "features", "train", "train-ingame", "retrain",
+        "predict", "monitor", "publish",
+    ])
     parser.add_argument("--root", required=True)
     parser.add_argument("--landing", default="")
-    parser.add_argument("--today", type=date.fromisoformat, default=date.today())
+    parser.add_argument("--today", type=date.fromisoformat, help="the day to run for; today by the league's calendar if left out")
     parser.add_argument("--first", type=int)
     parser.add_argument("--last", type=int)
     parser.add_argument("--days", type=int, default=7)
     parser.add_argument("--force", action="store_true")
     parser.add_argument("--board", action="store_true", help="use the second provider's documents")
+    parser.add_argument("--no-events", action="store_true", help="leave play-by-play out")
+    parser.add_argument("--game", action="append", default=[], help="a game of the games job; may be repeated")
     parser.add_argument("--target")
+    parser.add_argument("--keep-points", type=int, help="thin finished games to so many live points; all if left out")
+    parser.add_argument("--keep-seasons", type=int, help="drop live points of older seasons; none if left out")
     args = parser.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
-    at = Deployment(spark, args.root, args.landing)
+    at = Deployment(spark, args.root, args.landing, keep_points=args.keep_points, keep_seasons=args.keep_seasons)
+    today = args.today or eastern_day(at.now())
     work = {
-        "backfill": lambda: at.ingest_seasons(args.first, args.last, args.today, force=args.force).count(),
-        "daily": lambda: at.daily(args.today, args.board),
+        "land": at.land,
+        "backfill": lambda: at.ingest_seasons(args.first, args.last, today, not args.no_events, args.force).count(),
+        "schedule": lambda: at.ingest_seasons(args.first, args.last, today, False, True, logs=False).count(),
+        "games": lambda: at.ingest_games(args.game).count(),
+        "board-season": lambda: at.ingest_board_season(args.first, not args.no_events).count(),
+        "daily": lambda: at.daily(today, args.board),
         "features": lambda: at.build_features().count(),
-        "train": lambda: at.retrain(args.today),
-        "predict": lambda: at.predict(args.today, args.days),
-        "monitor": lambda: at.monitor(args.today),
+        "train": lambda: at.train_pregame(today),
+        "train-ingame": at.train_ingame,
+        "retrain": lambda: at.retrain(today),
+        "predict": lambda: at.predict(today, args.days),
+        "monitor": lambda: at.monitor(today),
         "publish": lambda: json.dumps(at.publish(args.target)),
     }[args.job]
     print(at.recorded(args.job, work))

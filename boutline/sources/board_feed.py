@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from boutline.functions.box import made_attempted, minutes_played
 from boutline.functions.calendar import eastern_date, lookup, parse_utc, score_if_started, text_status
 from boutline.functions.clock import parse_display_clock
+from boutline.operators.latest import latest_by
 from boutline.sources.dimensions import provider_team_id
-from boutline.sources.documents import readable
+from boutline.sources.documents import ARRIVAL, readable
 
 SCOREBOARD = (
     "events array<struct<id: string, date: string, season: struct<year: int, type: int>, "
@@ -48,8 +49,9 @@ COUNTS = {
 
 
 def parse_scoreboard(docs: DataFrame) -> DataFrame:
-    """Modelled games of a scoreboard: no preseason, open slots, postponed or exhibition games."""
-    ev = readable(docs, "events").select("document", F.explode("events").alias("e"))
+    """Modelled games of scoreboards: no preseason, open slots, postponed or exhibition games. A
+    game on several boards is as the newest has it."""
+    ev = readable(docs, "events").select(*ARRIVAL, F.explode("events").alias("e"))
     comp = F.col("e.competitions")[0]
 
     def team(side: str) -> F.Column:
@@ -58,7 +60,7 @@ def parse_scoreboard(docs: DataFrame) -> DataFrame:
     status = text_status(F.col("e.status.type.state"))
     tip = parse_utc(F.col("e.date"))
     rows = ev.select(
-        "document",
+        *ARRIVAL,
         F.col("e.id").alias("provider_id"),
         (F.col("e.season.year") - 1).alias("season"),
         lookup(F.col("e.season.type"), SEASON_TYPES).alias("season_type"),
@@ -77,7 +79,7 @@ def parse_scoreboard(docs: DataFrame) -> DataFrame:
     )
     modelled = F.col("season_type").isNotNull() & F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull()
     played = ~F.col("__name").isin(NOT_PLAYED) & ~F.col("__kind").isin(EXHIBITION)
-    return rows.where(modelled & played).drop("__name", "__kind")
+    return latest_by(rows.where(modelled & played).drop("__name", "__kind"), ["provider_id"], ARRIVAL).drop("fetched")
 
 
 def _home_code() -> F.Column:

@@ -14,14 +14,26 @@ def read_documents(spark: SparkSession, path: str | list[str], schema: str, per_
     in `_corrupt_record`."""
     reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", not per_line)
     docs = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return docs.withColumn("document", F.col("_metadata.file_path"))
+    return docs.select("*", F.col("_metadata.file_path").alias("document"), F.col("_metadata.file_modification_time").alias("fetched"))
 
 
 def stream_documents(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     """The same documents as a stream: each landed file is read once."""
     reader = spark.readStream.schema(f"{schema}, {CORRUPT} string").option("multiLine", True)
     reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path).withColumn("document", F.col("_metadata.file_path"))
+    docs = reader.json(path)
+    return docs.select("*", F.col("_metadata.file_path").alias("document"), F.col("_metadata.file_modification_time").alias("fetched"))
+
+
+# A thing landed more than once counts as its newest document has it; files of one moment go by name.
+ARRIVAL = ["fetched", "document"]
+
+
+def newest_documents(docs: DataFrame, key: F.Column) -> DataFrame:
+    """The newest document of each `key` (a request, a game); one without a key stays."""
+    keyed = docs.withColumn("__key", key)
+    newest = keyed.groupBy("__key").agg(F.max(F.struct(*ARRIVAL)).alias("m")).select("__key", F.col("m.document").alias("document"))
+    return keyed.join(newest, ["__key", "document"], "left_semi").drop("__key").unionByName(docs.where(key.isNull()))
 
 
 def readable(docs: DataFrame, required: str) -> DataFrame:

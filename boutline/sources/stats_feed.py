@@ -9,7 +9,7 @@ from boutline.functions.calendar import numeric_status, parse_season, parse_utc,
 from boutline.functions.clock import parse_iso_clock
 from boutline.operators.latest import latest_by
 from boutline.operators.states import forward_fill_scores
-from boutline.sources.documents import readable
+from boutline.sources.documents import ARRIVAL, newest_documents, readable
 
 GAME_LOG = "resultSets array<struct<headers: array<string>, rowSet: array<array<string>>>>"
 SCHEDULE = (
@@ -39,15 +39,15 @@ def _log_rows(docs: DataFrame) -> DataFrame:
     """Game-log rows as typed columns; the header row names each position."""
     first = F.col("resultSets")[0]
     rows = readable(docs, "resultSets").select(
-        "document", first["headers"].alias("headers"), F.explode(first["rowSet"]).alias("row")
+        *ARRIVAL, first["headers"].alias("headers"), F.explode(first["rowSet"]).alias("row")
     )
     rows = rows.where(F.size("headers") == F.size("row"))
 
     def cell(name: str) -> F.Column:
         return F.get(F.col("row"), (F.array_position("headers", name) - 1).cast("int"))
 
-    return rows.select(
-        "document",
+    typed = rows.select(
+        *ARRIVAL,
         cell("GAME_ID").alias("game_id"),
         cell("TEAM_ID").try_cast("long").alias("team_id"),
         cell("SEASON_ID").alias("season_id"),
@@ -56,6 +56,9 @@ def _log_rows(docs: DataFrame) -> DataFrame:
         cell("WL").alias("wl"),
         *[cell(feed).try_cast("double").cast("int").alias(name) for name, feed in BOX.items()],
     )
+    # A repeated line of one document stays a fault of it; a log landed again replaces its games.
+    newest = typed.groupBy("game_id").agg(F.max(F.struct(*ARRIVAL)).alias("m")).select("game_id", F.col("m.document").alias("document"))
+    return typed.join(newest, ["game_id", "document"], "left_semi").drop("fetched")
 
 
 def parse_game_logs(docs: DataFrame, schedule: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -126,15 +129,18 @@ def parse_game_logs(docs: DataFrame, schedule: DataFrame | None = None) -> tuple
 
 
 def parse_schedule(docs: DataFrame) -> DataFrame:
-    """Games of the season's schedule; other game types and unresolved slots are dropped."""
+    """Games of the season's schedule; other game types and unresolved slots are dropped. A
+    game in several landed schedules is as the newest has it."""
     days = readable(docs, "leagueSchedule").select(
+        *ARRIVAL,
         parse_season(F.col("leagueSchedule.seasonYear")).alias("season"),
         F.explode("leagueSchedule.gameDates").alias("day"),
     )
-    g = days.select("season", F.explode("day.games").alias("g"))
+    g = days.select(*ARRIVAL, "season", F.explode("day.games").alias("g"))
     home, away = F.coalesce("g.homeTeam.teamId", F.lit(0)), F.coalesce("g.awayTeam.teamId", F.lit(0))
     status = numeric_status(F.col("g.gameStatus"))
-    return g.where(season_type_of(F.col("g.gameId")).isNotNull() & (home != 0) & (away != 0)).select(
+    rows = g.where(season_type_of(F.col("g.gameId")).isNotNull() & (home != 0) & (away != 0)).select(
+        *ARRIVAL,
         F.col("g.gameId").alias("game_id"),
         "season",
         season_type_of(F.col("g.gameId")).alias("season_type"),
@@ -147,6 +153,7 @@ def parse_schedule(docs: DataFrame) -> DataFrame:
         score_if_started(status, F.col("g.awayTeam.score")).alias("away_score"),
         F.coalesce("g.isNeutral", F.lit(False)).alias("is_neutral"),
     )
+    return latest_by(rows, ["game_id"], ARRIVAL).drop(*ARRIVAL)
 
 
 def _or_null(column: str) -> F.Column:
@@ -159,8 +166,9 @@ TEXT = {"a.location", "a.actionType", "a.subType", "a.description", "a.shotResul
 
 
 def parse_play_by_play(docs: DataFrame) -> DataFrame:
-    """Events in feed order: scores carried forward, a repeated action keeps its last version."""
-    rows = readable(docs, "game").select(F.col("game.gameId").alias("game_id"), F.posexplode("game.actions").alias("pos", "a"))
+    """Events in feed order: scores carried forward, a repeated action keeps its last version. Of
+    several documents of a game the newest is read."""
+    rows = newest_documents(readable(docs, "game"), F.col("game.gameId")).select(F.col("game.gameId").alias("game_id"), F.posexplode("game.actions").alias("pos", "a"))
     flat = rows.select(
         "game_id",
         "pos",

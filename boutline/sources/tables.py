@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from boutline.operators.upsert import upsert
+from boutline.session import materialise
 
 # Table name -> (columns, key, partition columns).
 TABLES: dict[str, tuple[str, list[str], list[str]]] = {
@@ -22,6 +23,11 @@ TABLES: dict[str, tuple[str, list[str], list[str]]] = {
         ["task_key"],
         [],
     ),
+    "raw.rejects": (
+        "kind string, subject string, reason string, rejected_at timestamp",
+        ["kind", "subject", "rejected_at"],
+        [],
+    ),
     "core.teams": (
         "team_id long, abbreviation string, city string, nickname string, full_name string",
         ["team_id"],
@@ -157,12 +163,22 @@ class Tables:
         writer.parquet(self._commit_folder(name, max([0, *taken]) + 1, kind))
 
     def vacuum(self, name: str) -> None:
-        """Delete commits older than the newest full one (run it while no older reader is active)."""
+        """Delete what no read of the table can reach any more: commits before the newest full one,
+        and partitions that later commits replaced (run it while no older reader is active)."""
         commits = self._commits(name)
-        if commits and commits[0][1] == "full":
-            for entry in self._list(self._folder(name)):
-                if entry.startswith("commit=") and int(entry[7:].split("-")[0]) < commits[0][0]:
-                    self._fs.delete(self._path(f"{self._folder(name)}/{entry}"), True)
+        first = commits[0][0] if commits and commits[0][1] == "full" else 0
+        current = set(self._current_paths(name))
+        for entry in self._list(self._folder(name)):
+            if not entry.startswith("commit="):
+                continue
+            number, kind = entry.removeprefix("commit=").split("-")
+            folder = self._commit_folder(name, int(number), kind)
+            if int(number) < first:
+                self._fs.delete(self._path(folder), True)
+            elif TABLES[name][2] and (int(number), kind) in commits:
+                for value in (v for v in self._list(folder) if "=" in v):
+                    if f"{folder}/{value}" not in current:
+                        self._fs.delete(self._path(f"{folder}/{value}"), True)
 
     # ------------------------------------------------------------ reads and writes
 
@@ -192,10 +208,14 @@ class Tables:
 
     def upsert(self, name: str, new: DataFrame, guard: Callable | None = None, update: dict | None = None) -> None:
         """Merge rows by key. A partitioned table rewrites only the partitions the rows fall in
-        (a row's partition must not change); any other table is replaced."""
+        (a row's partition must not change); any other table is replaced. The rows are computed
+        once; keys that come twice are refused, since either row could win."""
         _, keys, partitions = TABLES[name]
         types = {f.name: f.dataType for f in self.schema(name).fields}
-        new = new.select(*[F.col(c).cast(types[c]).alias(c) for c in new.columns if c in types])
+        new = materialise(new.select(*[F.col(c).cast(types[c]).alias(c) for c in new.columns if c in types]), f"upsert/{name}")
+        twice = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys).limit(3).collect()
+        if twice:
+            raise ValueError(f"{name}: rows to merge repeat keys, such as {[tuple(r) for r in twice]}")
         old = self.read(name)
         if not partitions:
             return self.replace(name, upsert(old, new, keys, guard, update))

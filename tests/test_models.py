@@ -226,8 +226,8 @@ def test_jobs_end_to_end(spark, league, tmp_path):
     at.tables.rewrite(registry.TABLE, lambda df: df.withColumn("is_production", F.lit(True)))
     first = at.recorded("predict", lambda: at.predict(date(2001, 5, 25), 30, only_scheduled=False))
     n = at.tables.read("serving.predictions").count()
-    assert n > 0 and f"{n} predictions written, 0 unchanged" in first
-    assert f"0 predictions written, {n} unchanged" in at.predict(date(2001, 5, 25), 30, only_scheduled=False)
+    assert n > 0 and first == f"{n} games scored with version 1 ({n} new predictions)"
+    assert at.predict(date(2001, 5, 25), 30, only_scheduled=False) == f"{n} games scored with version 1 (0 new predictions)"
     assert at.monitor(today).count("insufficient") == 4
     assert at.tables.read("serving.monitoring_runs").where("status = 'insufficient'").count() > 0
     with pytest.raises(ZeroDivisionError):
@@ -263,3 +263,98 @@ def test_second_provider_day(spark, tmp_path):
     assert {r["task_key"]: r["status"] for r in marks.collect()} == {"game:0023000077": "success", "game:ext-9": "failed"}
     ledger = {r["task_key"]: r["status"] for r in at.tables.read("raw.ingestion_runs").collect()}
     assert ledger["day:20310101"] == "success" and ledger["game:ext-9"] == "failed"
+
+
+def test_things_landed_twice(spark, tmp_path):
+    """A schedule, a game log and a game's events landed again replace the earlier ones; a broken
+    document of a task makes the task fail, and what cannot be loaded is listed."""
+    import os
+
+    landing = tmp_path / "landing"
+    base = 1610612737
+    names = "MIN PTS FGM FGA FG3M FG3A FTM FTA OREB DREB REB AST STL BLK TOV PF PLUS_MINUS".split()
+    headers = ["SEASON_ID", "TEAM_ID", "GAME_ID", "GAME_DATE", "MATCHUP", "WL", *names]
+
+    def put(path, doc, age):
+        file = landing / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(doc if isinstance(doc, str) else json.dumps(doc))
+        os.utime(file, (1_900_000_000 - age, 1_900_000_000 - age))
+
+    def schedule(status):
+        sides = {"homeTeam": {"teamId": base, "score": 100}, "awayTeam": {"teamId": base + 1, "score": 90}}
+        game = {"gameId": "0022900001", "gameStatus": status, "gameDateEst": "2029-11-01T00:00:00Z", "gameDateTimeUTC": "", "isNeutral": False, **sides}
+        return {"leagueSchedule": {"seasonYear": "2029-30", "gameDates": [{"games": [game]}]}}
+
+    def log(pts, *more):
+        rows = [
+            ["22029", base + i, "0022900001", "2029-11-01", ("A vs. B", "B @ A")[i], "WL"[i], 240, p, 40, 80, 10, 30, 10, 12, 8, 30, 38, 20, 5, 4, 9, 18, d]
+            for i, (p, d) in enumerate(((pts, pts - 90), (90, 90 - pts)))
+        ]
+        return {"resultSets": [{"headers": headers, "rowSet": [*rows, *more]}]}
+
+    def plays(*descriptions):
+        actions = [
+            {"actionId": i, "actionNumber": i, "period": 1, "clock": f"PT{11 - i:02d}M00.00S", "teamId": base, "location": "h", "actionType": "Made Shot", "description": d, "isFieldGoal": 1, "shotValue": 2, "scoreHome": str(2 * i), "scoreAway": "0"}
+            for i, d in enumerate(descriptions, 1)
+        ]
+        return {"game": {"gameId": "0022900001", "actions": actions}}
+
+    put("schedule/season=2029/a.json", schedule(1), 50)
+    put("schedule/season=2029/b.json", schedule(3), 10)
+    put("gamelog/season=2029/a.json", log(95), 50)
+    put("gamelog/season=2029/b.json", log(100, ["22029", base + 2, "0022900002", "2029-11-02", "A vs. B", "W", *[1] * 17]), 10)
+    put("gamelog/season=2029/broken.json", "{", 5)
+    put("pbp/season=2029/0022900001.json", plays("old", "old"), 50)
+    put("pbp/season=2029/0022900001@2.json", plays("new", "new", "new"), 10)
+    at = Deployment(spark, str(tmp_path / "root"), str(landing), clock=lambda: datetime(2030, 1, 1, 12))
+    marks = {r["task_key"]: r["status"] for r in at.ingest_seasons(2029, 2029, date(2030, 1, 1)).collect()}
+    assert marks == {"schedule:2029": "success", "gamelog:2029": "failed", "pbp:0022900001": "success"}
+    games = at.tables.read("core.games").collect()
+    assert [(g["game_id"], g["status"], g["home_score"]) for g in games] == [("0022900001", "final", 100)]
+    assert sorted(r["pts"] for r in at.tables.read("core.team_game_stats").collect()) == [90, 100]
+    assert [r["description"] for r in at.tables.read("core.pbp_events").collect()] == ["new"] * 3
+    rejects = {(r["kind"], r["subject"]) for r in at.tables.read("raw.rejects").collect()}
+    assert rejects == {("game log", "0022900002"), ("document", "gamelog:2029")}
+    assert at.land() == 6 and at.land() == 6
+    # Loading one game again, and the schedule alone.
+    put("pbp/season=2029/0022900001@3.json", plays("newest"), 1)
+    at.ingest_games(["0022900001"])
+    assert at.tables.read("core.pbp_events").where("description = 'newest'").count() == 1
+    assert at.ingest_seasons(2029, 2029, date(2030, 1, 1), events=False, logs=False).count() == 1
+    with pytest.raises(ValueError, match="repeat keys"):
+        at.tables.upsert("core.teams", spark.createDataFrame([(1, "A"), (1, "B")], "team_id long, abbreviation string"))
+
+
+def test_nightly_run_keeps_all_history_unless_told(spark, tmp_path):
+    games = spark.createDataFrame(
+        [("g", 2020, "final", date(2020, 12, 1)), ("h", 2029, "final", date(2029, 12, 1))],
+        "game_id string, season int, status string, game_date date",
+    )
+    points = spark.range(1000).selectExpr("id", "IF(id < 500, 'g', 'h') AS game_id", "id AS action_id", "'live' AS source")
+    for limits, left in (({}, 1000), ({"keep_points": 100}, 200), ({"keep_points": 100, "keep_seasons": 1}, 100)):
+        at = Deployment(spark, str(tmp_path / f"root{left}"), str(tmp_path / "none"), clock=lambda: datetime(2030, 1, 1, 12), **limits)
+        at.tables.replace("core.games", games)
+        at.tables.replace("serving.live_wp_snapshots", points)
+        at.daily(date(2030, 1, 1))
+        assert at.tables.read("serving.live_wp_snapshots").count() == left
+
+
+def test_times_do_not_depend_on_the_machines_zone(spark, tmp_path, monkeypatch):
+    import time
+    from datetime import UTC
+
+    from boutline.plans.jobs import eastern_day
+
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        for i, now in enumerate((datetime(2030, 1, 1, 3), datetime(2030, 1, 1, 3, tzinfo=UTC))):
+            at = Deployment(spark, str(tmp_path / str(i)), "", clock=lambda now=now: now)
+            at.recorded("nothing", lambda: None)
+            started = at.tables.read("serving.job_runs").select(F.unix_seconds("started_at")).first()[0]
+            assert started == int(datetime(2030, 1, 1, 3, tzinfo=UTC).timestamp())
+            assert eastern_day(at.now()) == date(2029, 12, 31)
+    finally:
+        monkeypatch.undo()
+        time.tzset()

@@ -68,21 +68,37 @@ def assert_rated(df, expected):
             assert (a is None and b is None) or a == pytest.approx(b, abs=1e-9), gid
 
 
+def one_pool(games):
+    return games.withColumn("pool", F.lit("all"))
+
+
 def test_rating_forms_agree_with_brute_force(spark):
     rows, games = small_league(spark, days=12, pools=2)
     expected = brute_elo(rows)
     pooled = games.withColumn("pool", (F.col("home_team_id") >= 6).cast("string"))
     assert_rated(ratings.stream_pools(pooled), expected)
-    assert_rated(ratings.rate_games(games), expected)
+    assert_rated(ratings.rate_games(one_pool(games)), expected)
     assert_rated(ratings.rate_in_rounds(pooled, name="t-rounds", checkpoint_every=4), expected)
-    # One pool is over the limit: it goes through rounds, the other through the stream.
-    sizes = {r["pool"]: r["count"] for r in pooled.groupBy("pool").count().collect()}
-    if sizes["true"] != sizes["false"]:
-        assert_rated(ratings.rate_games(pooled, max_streamed_pool=min(sizes.values())), expected)
+
+
+def test_rating_forms_agree_on_double_dates_and_missing_scores(spark):
+    """A team that plays twice on a date, and a final game without a score: the same rows."""
+    d = [date(2009, 12, day) for day in (1, 1, 1, 2, 3, 3)]
+    pairs = [(0, 1), (0, 2), (1, 2), (0, 1), (2, 3), (2, 3)]
+    scores = [(100, 90), (80, 95), (None, None), (99, None), (70, 71), (90, 88)]
+    rows = [(f"g{i}", 2009, "regular", d[i], *pairs[i], "final", *scores[i], False) for i in range(6)]
+    games = one_pool(spark.createDataFrame(rows, GAME))
+    rated = [r if r[7] is not None and r[8] is not None else (*r[:6], "scheduled", None, None, r[9]) for r in rows]
+    expected = brute_elo(rated)
+    for form in (ratings.stream_pools(games), ratings.rate_in_rounds(games, name="t-double", checkpoint_every=2)):
+        assert form.count() == 6
+        assert_rated(form, expected)
+    assert sorted(r["game_id"] for r in ratings.unrated(games).collect()) == ["g2", "g3"]
 
 
 def test_rating_is_zero_sum_and_resumes(spark):
     rows, games = small_league(spark)
+    games = one_pool(games)
     rated = ratings.rate_games(games)
     drift = F.max(F.abs(F.col("home_elo_post") + F.col("away_elo_post") - F.col("home_elo_pre") - F.col("away_elo_pre")))
     assert rated.where("home_elo_post IS NOT NULL").agg(drift).first()[0] < 1e-9
@@ -109,7 +125,7 @@ BOX = "game_id string, team_id long, pts int, minutes int, fgm int, fg3m int, fg
 
 
 def features_of(spark, rows):
-    games = spark.createDataFrame(rows, GAME)
+    games = one_pool(spark.createDataFrame(rows, GAME))
     stats = spark.createDataFrame(box_rows(rows), BOX)
     arenas = spark.createDataFrame([(t, 30.0 + t, -100.0 + 2 * t) for t in range(6)], "team_id long, lat double, lon double")
     moved = spark.createDataFrame([], "team_id long, season int, lat double, lon double")
@@ -239,6 +255,7 @@ def test_thinning_is_even_and_idempotent(spark):
     assert thin(once, games, 150).count() == once.count()
     one = spark.createDataFrame([("long", "live", 0, 0, 0.5)], points.schema)
     assert thin(one, games, 150).count() == 1
+    assert all(thin(points, games, off).count() == points.count() for off in (0, None))
 
 
 def test_upsert_writes_only_given_columns(spark):
@@ -261,18 +278,17 @@ def test_metrics_known_values(spark):
     assert curve == {0.0: 1, 0.3: 1, 0.5: 1, 0.9: 1}
 
 
-def test_wide_league_is_valid_and_pooled(spark):
-    from boutline.fixtures import league
-    from tests.conftest import SF
-
-    wide = league(spark, SF, wide=True)
-    games = wide.games()
+def test_league_keeps_every_order(spark, league):
+    """Every order is a game, and still no team plays twice on a date or leaves its pool."""
+    games = league.games()
     rows = games.select("game_id", "pool", "game_date", F.explode(F.array("home_team_id", "away_team_id")).alias("t"))
-    assert games.count() > 1000 and games.where("home_team_id = away_team_id").count() == 0
+    assert games.count() == league.table("orders").count() and games.where("home_team_id = away_team_id").count() == 0
     assert rows.groupBy("t", "game_date").count().where("count > 1").count() == 0
     assert rows.groupBy("t").agg(F.count_distinct("pool").alias("n")).where("n > 1").count() == 0
+    assert league.events().count() == league.table("events").count()
+    assert league.events().join(games, "game_id").select("season").distinct().count() >= 4
     listed = [
         (r["game_id"], r["season"], None, r["game_date"], r["home_team_id"], r["away_team_id"], r["status"], r["home_score"], r["away_score"], r["is_neutral"])
-        for r in wide.prepared().collect()
+        for r in league.prepared().collect()
     ]
-    assert_rated(ratings.rate_games(wide.prepared()), brute_elo(listed))
+    assert_rated(ratings.rate_games(league.prepared()), brute_elo(listed))
