@@ -5,10 +5,9 @@ least l of the first |x| - ceil(t |x|) + l shingles of each. Each set takes the
 estimated candidates make cheapest, and a pair must share as many prefix shingles as the smaller l
 of the two before it is verified.
 
-Sets that are equal are one class. A class is verified against the most central class of each
-prefix shingle first; only pairs that these links leave apart are then sought in full, so that a
-group of near copies costs about as many pairs as it has members, and no link between groups is
-lost."""
+Sets that are equal are one class. A class is verified against a few hubs of its prefix shingles
+first; only pairs that these links leave apart are then sought in full, so that a group of near
+copies costs about as many pairs as it has members, and no link between groups is lost."""
 
 from __future__ import annotations
 
@@ -27,6 +26,7 @@ from boutline.session import materialise
 SKETCH_BITS = 18  # of the frequency sketch: one counter vector of fixed size for the whole corpus
 MOST_MATCHES = 4  # longest prefix extension
 VERIFY_COST = 20.0  # of one candidate, in posting reads
+DRAWN_HUBS = 3  # of each shingle, besides the most central set
 QUIET_COST = 0.25  # candidates expected of a shingle whose sketch bucket holds no more than usual
 
 
@@ -170,21 +170,32 @@ def _pair(a: str, b: str) -> list[Column]:
 def links(docs: DataFrame, classes: DataFrame, words_in: int, percent: int) -> DataFrame:
     """(a, b): links between classes that connect every two classes which any links connect.
     `classes` has class, doc, n, p, matches, tokens."""
-    rows = classes.select("class", "n", "p", "matches", F.posexplode("tokens").alias("pos", "token"))
-    heads = rows.groupBy("token").agg(F.count(F.lit(1)).alias("lists"), F.min(F.struct("pos", "n", "class")).alias("hub"))
-    level = F.greatest(F.lit(1), F.col("pos") - F.col("p") + 2)
-    met = materialise(
-        rows.join(heads.where("lists > 1").select("token", "hub"), "token").select("token", "class", "n", "p", "matches", "pos", level.alias("level"), "hub"),
-        "shared_tokens",
+    # Only shingles that stand in several prefixes can be shared; sizes are looked up for those.
+    rows = classes.select("class", F.posexplode("tokens").alias("pos", "token"))
+    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("token")
+    listed = materialise(rows.join(several, "token", "left_semi"), "listed_tokens")
+    # How many listed shingles a set has before each: only those can be shared earlier.
+    own = listed.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
+    ranked = own.join(classes.select("class", "n", "p", "matches"), "class").select(
+        "class", "n", "p", "matches", F.posexplode("own").alias("before", "x")
     )
+    level = F.greatest(F.lit(1), F.col("x.pos") - F.col("p") + 2)
+    placed = materialise(
+        ranked.select("x.token", "class", "n", "p", "matches", F.col("x.pos").alias("pos"), "before", level.alias("level")), "placed_tokens"
+    )
+    # Hubs of a shingle: the set in which it stands first, and some drawn by hash, mostly the same
+    # for all shingles of a group. Each set is tried with those hubs of which it shares at least
+    # half of the shorter base prefix, as near copies do; what this leaves out is sought below.
+    orders = [F.col("pos").cast("long"), *[F.xxhash64("class", F.lit(i)) for i in range(DRAWN_HUBS)]]
+    hubs = placed.groupBy("token").agg(*[F.min(F.struct(o.alias("o"), "n", "class")).alias(f"hub{i}") for i, o in enumerate(orders)])
+    offered = F.array_distinct(F.array(*[F.struct(F.col(f"hub{i}.n").alias("m"), F.col(f"hub{i}.class").alias("h")) for i in range(len(orders))]))
+    to_hub = placed.join(hubs, "token").select("class", "n", "p", F.explode(offered).alias("hub")).select("class", "n", "p", "hub.*")
     sizes_fit = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    # A hub is tried where it shares at least half of the shorter base prefix: near copies share
-    # most of it. Whatever this leaves out is sought below.
-    to_hub = met.where((F.col("class") != F.col("hub.class")) & sizes_fit(F.col("n"), F.col("hub.n")))
     hub_p = F.col("m") - F.ceil(F.col("m") * percent / 100) + 1
     first = (
-        to_hub.groupBy("class", F.col("hub.class").alias("h"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first("p").alias("p"), F.first("hub.n").alias("m"))
+        to_hub.where((F.col("class") != F.col("h")) & sizes_fit(F.col("n"), F.col("m")))
+        .groupBy("class", "h")
+        .agg(F.count(F.lit(1)).alias("shared"), F.first("p").alias("p"), F.first("m").alias("m"))
         .where(2 * F.col("shared") >= F.least(F.col("p"), hub_p))
         .select(*_pair("class", "h"))
         .distinct()
@@ -193,20 +204,21 @@ def links(docs: DataFrame, classes: DataFrame, words_in: int, percent: int) -> D
     near = tried.where("linked").select("a", "b").distinct()
 
     group = components(near)
-    placed = met.drop("hub").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
+    placed = placed.join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
     placed = materialise(placed, "grouped_tokens")
     apart = placed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
     left = placed.join(apart, "token", "left_semi")
-    right = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "matches", "pos", "level", "group")])
+    right = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "matches", "pos", "before", "level", "group")])
     matches = F.least("matches", "matches_b")
-    remaining = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) - 1  # after this shingle
+    # Of the first `matches` shared shingles, this one has so many before it and after it at most.
+    earlier = F.least(matches - 1, F.col("before"), F.col("before_b"))
+    later = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) - 1
     condition = (
         (F.col("class") < F.col("class_b"))
         & (F.col("group") != F.col("group_b"))
         & sizes_fit(F.col("n"), F.col("n_b"))
         & (F.greatest("level", "level_b") <= matches)
-        # Counted from any of the first `matches` shared shingles, enough can still be shared.
-        & ((100 + percent) * (matches + remaining) >= percent * (F.col("n") + F.col("n_b")))
+        & ((100 + percent) * (earlier + 1 + later) >= percent * (F.col("n") + F.col("n_b")))
     )
     candidates = (
         left.join(right, "token")
