@@ -25,6 +25,7 @@ from boutline.session import materialise
 
 SKETCH_BITS = 18  # of the frequency sketch: one counter vector of fixed size for the whole corpus
 MOST_MATCHES = 4  # longest prefix extension
+PARITY = [f"parity{i}" for i in range(4)]  # 256 bits: which of 256 shares of a set are odd in size
 VERIFY_COST = 20.0  # of one candidate, in posting reads
 DRAWN_HUBS = 3  # of each shingle, besides the most central set
 QUIET_COST = 0.25  # candidates expected of a shingle whose sketch bucket holds no more than usual
@@ -79,12 +80,12 @@ def frequency_sketch(docs: DataFrame, words_in: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, words_in: int, percent: int) -> DataFrame:
-    """(doc, doc_id, n, class, p, matches, tokens) per row: the size of its set, the key of its set
-    (NULL if empty), the base prefix, the l chosen, and the prefix for it, rare shingles first."""
+    """(doc, doc_id, n, class, p, matches, parities, tokens) per row: the size of its set, the key of
+    its set (NULL if empty), the base prefix, the l chosen, and the prefix for it, rare shingles
+    first."""
     usual = float(sketch.sum()) / len(sketch)
-    schema = pa.schema(
-        [("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("p", pa.int64()), ("matches", pa.int64()), ("tokens", pa.list_(pa.int64()))]
-    )
+    longs = ["doc", "doc_id", "n", "class", "p", "matches", *PARITY]
+    schema = pa.schema([*((c, pa.int64()) for c in longs), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -115,16 +116,18 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words_in: int, percent: int) -
                 np.add.at(one, owner, mixed(h))
                 np.bitwise_xor.at(two, owner, mixed(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
                 key = mixed(one ^ mixed(two + n.astype(np.uint64)))
+            parity = np.zeros(rows * len(PARITY), np.uint64)
+            share = owner * len(PARITY) + ((h >> np.uint64(6)) % np.uint64(len(PARITY))).astype(np.int64)
+            np.bitwise_xor.at(parity, share, np.uint64(1) << (h & np.uint64(63)))
+            bits = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in parity.reshape(rows, len(PARITY)).T]
             offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ranked[taken].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), part.column("doc_id"), pa.array(n), pa.array(key.view(np.int64), mask=n == 0), pa.array(p), pa.array(matches), tokens],
+                [part.column("doc"), part.column("doc_id"), pa.array(n), pa.array(key.view(np.int64), mask=n == 0), pa.array(p), pa.array(matches), *bits, tokens],
                 schema=schema,
             )
 
-    return docs.select("doc", "doc_id", "text").mapInArrow(
-        run, "doc long, doc_id long, n long, class long, p long, matches long, tokens array<long>"
-    )
+    return docs.select("doc", "doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in longs) + ", tokens array<long>")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, words_in: int) -> DataFrame:
@@ -176,12 +179,12 @@ def links(docs: DataFrame, classes: DataFrame, words_in: int, percent: int) -> D
     listed = materialise(rows.join(several, "token", "left_semi"), "listed_tokens")
     # How many listed shingles a set has before each: only those can be shared earlier.
     own = listed.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
-    ranked = own.join(classes.select("class", "n", "p", "matches"), "class").select(
-        "class", "n", "p", "matches", F.posexplode("own").alias("before", "x")
+    ranked = own.join(classes.select("class", "n", "p", "matches", *PARITY), "class").select(
+        "class", "n", "p", "matches", *PARITY, F.posexplode("own").alias("before", "x")
     )
     level = F.greatest(F.lit(1), F.col("x.pos") - F.col("p") + 2)
     placed = materialise(
-        ranked.select("x.token", "class", "n", "p", "matches", F.col("x.pos").alias("pos"), "before", level.alias("level")), "placed_tokens"
+        ranked.select("x.token", "class", "n", "p", "matches", *PARITY, F.col("x.pos").alias("pos"), "before", level.alias("level")), "placed_tokens"
     )
     # Hubs of a shingle: the set in which it stands first, and some drawn by hash, mostly the same
     # for all shingles of a group. Each set is tried with those hubs of which it shares at least
@@ -208,17 +211,20 @@ def links(docs: DataFrame, classes: DataFrame, words_in: int, percent: int) -> D
     placed = materialise(placed, "grouped_tokens")
     apart = placed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
     left = placed.join(apart, "token", "left_semi")
-    right = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "matches", "pos", "before", "level", "group")])
+    right = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "matches", "pos", "before", "level", "group", *PARITY)])
     matches = F.least("matches", "matches_b")
     # Of the first `matches` shared shingles, this one has so many before it and after it at most.
     earlier = F.least(matches - 1, F.col("before"), F.col("before_b"))
     later = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) - 1
+    # Every share in which two sets differ in parity holds a shingle that only one of them has.
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in PARITY), F.lit(0))
     condition = (
         (F.col("class") < F.col("class_b"))
         & (F.col("group") != F.col("group_b"))
         & sizes_fit(F.col("n"), F.col("n_b"))
         & (F.greatest("level", "level_b") <= matches)
         & ((100 + percent) * (earlier + 1 + later) >= percent * (F.col("n") + F.col("n_b")))
+        & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_b")))
     )
     candidates = (
         left.join(right, "token")
@@ -249,8 +255,8 @@ def jaccard_join(docs: DataFrame, words_in: int = 5, percent: int = 80) -> DataF
     known = rows.where("doc_id IS NOT NULL AND class IS NOT NULL")
     classes = materialise(
         known.groupBy("class").agg(
-            F.min(F.struct("doc_id", "doc")).alias("m"), *[F.first(c).alias(c) for c in ("n", "p", "matches", "tokens")]
-        ).select("class", F.col("m.doc_id").alias("first"), F.col("m.doc").alias("doc"), "n", "p", "matches", "tokens"),
+            F.min(F.struct("doc_id", "doc")).alias("m"), *[F.first(c).alias(c) for c in ("n", "p", "matches", *PARITY, "tokens")]
+        ).select("class", F.col("m.doc_id").alias("first"), F.col("m.doc").alias("doc"), "n", "p", "matches", *PARITY, "tokens"),
         "classes",
     )
     group = components(links(docs, classes, words_in, percent)).withColumnRenamed("node", "class")
