@@ -32,6 +32,7 @@ from boutline.plans import backtest, ingame, ingest, monitor, registry, rules, s
 from boutline.session import local_session, materialise
 from boutline.sources import board_feed, dimensions, documents, stats_feed
 from boutline.sources.tables import PUBLISHED, Tables
+from boutline.streaming import live
 
 DETAIL_CHARS = 2000
 MINTED_PREFIX = "ext-"
@@ -420,6 +421,57 @@ class Deployment:
             return "0 succeeded, 0 skipped, 0 failed"
         return f"{summary['succeeded']} succeeded, {summary['skipped']} skipped, {summary['failed']} failed"
 
+    # ------------------------------------------------------------ live
+
+    def live_job(self, source: str = "live") -> live.LiveJob:
+        """The live path of this deployment: production in-game model, latest pre-game estimates."""
+        pointer = live.ModelPointer(
+            lambda: registry.production_version(self.tables, registry.INGAME), lambda: self._ingame_model()
+        )
+
+        def estimates(games: DataFrame) -> DataFrame:
+            features = features_from_json(self.tables.read("features.game_features").select("game_id", "features"))
+            return scoring.pregame_estimates(games, self.tables.read("serving.predictions"), features)
+
+        return live.LiveJob(
+            self.spark, f"{self.root}/live", pointer, lambda: self.tables.read("core.games"), estimates, source, self.now
+        )
+
+    def _ingame_model(self) -> tuple[live.Predict, str]:
+        model, version = registry.load_production(self.tables, registry.INGAME)
+        return model.predict, str(version)
+
+    def live(self, watch: bool = False, max_seconds: float | None = None) -> str:
+        """Follow landed polls (`live_pbp/*`, `live_board/*`): what has landed, or, with `watch`,
+        until no game is live or about to start. The points go to the snapshot table."""
+        job, checkpoint = self.live_job(), f"{self.root}/live/checkpoints"
+        events = documents.stream_documents(self.spark, f"{self.landing}/live_pbp", stats_feed.PLAY_BY_PLAY)
+        boards = documents.stream_documents(self.spark, f"{self.landing}/live_board", stats_feed.SCOREBOARD)
+        following = live.run_documents(
+            events, lambda docs, n: job.process_events(live.feed_rows(docs), n), f"{checkpoint}/events", live.EVENTS_SECONDS, not watch
+        )
+        if not watch:
+            following.awaitTermination()
+        board = live.run_documents(
+            boards, lambda docs, n: job.process_board(live.board_rows(docs), n, self.tables), f"{checkpoint}/board", live.SCOREBOARD_SECONDS, not watch
+        )
+        reason = "caught up"
+        if watch:
+            idle = lambda: not live.table_pending(self.tables.read("core.games"), self.now())
+            reason = live.run_until([following, board], idle, max_seconds)
+        else:
+            board.awaitTermination()
+        job.store(self.tables)
+        return reason
+
+    def replay(self, game_ids: list[str]) -> int:
+        """Run stored events of finished games through the live path, under source `replay`."""
+        job = self.live_job("replay")
+        events = self.tables.read("core.pbp_events").where(F.col("game_id").isin(game_ids))
+        job.replay(events)
+        job.store(self.tables)
+        return job.recorded().count()
+
     def publish(self, target_root: str) -> dict[str, int]:
         """Copy what readers need into another root, with the production models."""
         target = Tables(self.spark, target_root)
@@ -440,7 +492,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="boutline")
     parser.add_argument("job", choices=[
         "land", "backfill", "schedule", "games", "board-season", "daily", "features", "train", "train-ingame", "retrain",
-        "predict", "monitor", "publish",
+        "predict", "monitor", "live", "replay", "publish",
     ])
     parser.add_argument("--root", required=True)
     parser.add_argument("--landing", default="")
@@ -450,8 +502,10 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--days", type=int, default=7)
     parser.add_argument("--force", action="store_true")
     parser.add_argument("--board", action="store_true", help="use the second provider's documents")
+    parser.add_argument("--watch", action="store_true", help="keep following until no game is pending")
+    parser.add_argument("--max-seconds", type=float)
     parser.add_argument("--no-events", action="store_true", help="leave play-by-play out")
-    parser.add_argument("--game", action="append", default=[], help="a game of the games job; may be repeated")
+    parser.add_argument("--game", action="append", default=[], help="a game of the games or replay job; may be repeated")
     parser.add_argument("--target")
     parser.add_argument("--keep-points", type=int, help="thin finished games to so many live points; all if left out")
     parser.add_argument("--keep-seasons", type=int, help="drop live points of older seasons; none if left out")
@@ -472,6 +526,8 @@ def main(argv: list[str] | None = None) -> None:
         "retrain": lambda: at.retrain(today),
         "predict": lambda: at.predict(today, args.days),
         "monitor": lambda: at.monitor(today),
+        "live": lambda: at.live(args.watch, args.max_seconds),
+        "replay": lambda: at.replay(args.game),
         "publish": lambda: json.dumps(at.publish(args.target)),
     }[args.job]
     print(at.recorded(args.job, work))

@@ -194,8 +194,9 @@ def parse_play_by_play(docs: DataFrame) -> DataFrame:
 
 def parse_scoreboard(docs: DataFrame) -> DataFrame:
     """Live status of a day's games."""
-    g = readable(docs, "scoreboard").select("document", F.explode("scoreboard.games").alias("g"))
+    g = readable(docs, "scoreboard").select("fetched", F.explode("scoreboard.games").alias("g"))
     return g.select(
+        F.unix_micros("fetched").alias("arrival"),
         F.col("g.gameId").alias("game_id"),
         numeric_status(F.col("g.gameStatus")).alias("status"),
         F.coalesce("g.period", F.lit(0)).alias("period"),

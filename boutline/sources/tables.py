@@ -203,6 +203,10 @@ class Tables:
         """Replace the whole table in one commit."""
         self._commit(name, df, "full")
 
+    def replace_partitions(self, name: str, df: DataFrame) -> None:
+        """Replace just the partitions that `df` holds in one commit."""
+        self._commit(name, df, "part")
+
     def append(self, name: str, df: DataFrame) -> None:
         self._commit(name, df, "add")
 

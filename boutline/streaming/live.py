@@ -4,15 +4,16 @@ Feeds re-send a game's whole event list at every poll. Each micro-batch therefor
 states of the games it holds with the same operator that builds training states, and emits only
 what lies past the game's last emitted action. What must survive between batches (last action
 and probability, the pre-game estimate fixed at the start, the last state) is one row per open
-game in a small versioned table; a game's row goes when its final point is out. All writes go to
-folders named after the batch, so a retried batch overwrites its own output."""
+game in a small versioned table; a game whose final point is out stays there as finished, so that
+a feed sent again emits nothing, until the games table has it as final. All writes go to folders
+named after the batch, so a retried batch overwrites its own output."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 from boutline.operators.latest import latest_by
 from boutline.operators.states import STATE_COLUMNS, game_states, tip_off, with_times
 from boutline.operators.upsert import update_from_scoreboard
+from boutline.sources import stats_feed
+from boutline.sources.tables import Tables
 
 # Seconds between scoreboard reads, event reads and model checks.
 SCOREBOARD_SECONDS = 30
@@ -36,7 +39,7 @@ FEED = (
 )
 PROGRESS = (
     "game_id string, pregame_prob double, last_action_id long, last_prob double, period int, clock_seconds double, "
-    "score_home int, score_away int, possession int, description string"
+    "score_home int, score_away int, possession int, description string, finished boolean"
 )
 POINT = [
     "game_id", "action_id", "period", "clock_seconds", "elapsed_seconds", "score_home", "score_away",
@@ -81,7 +84,7 @@ class LiveJob:
     games: Callable[[], DataFrame]
     estimates: Callable[[DataFrame], DataFrame]
     source: str = "live"
-    now: Callable[[], datetime] = field(default=lambda: datetime.now())
+    now: Callable[[], datetime] = field(default=lambda: datetime.now(UTC))
 
     # ------------------------------------------------------------ versioned progress
 
@@ -124,8 +127,9 @@ class LiveJob:
         starting = self.estimates(
             self.games().where("status = 'live'").join(final.select("game_id"), "game_id", "left_semi")
         ).select("game_id", F.col("pregame_prob").alias("__estimate"))
-        open_games = progress.select("game_id", "pregame_prob", "last_action_id", "last_prob")
-        joined = final.join(open_games, "game_id", "left").join(starting, "game_id", "left")
+        open_games = progress.where("NOT finished").select("game_id", "pregame_prob", "last_action_id", "last_prob")
+        done = progress.where("finished").select("game_id")
+        joined = final.join(done, "game_id", "left_anti").join(open_games, "game_id", "left").join(starting, "game_id", "left")
         kept = joined.where(F.col("last_action_id").isNotNull() | F.col("__estimate").isNotNull())
         return kept.select(
             "game_id", "final", F.coalesce("pregame_prob", "__estimate").alias("pregame_prob"), "last_action_id", "last_prob"
@@ -184,15 +188,19 @@ class LiveJob:
         ).write.mode("overwrite").json(f"{self.root}/messages/source={self.source}/batch={batch_id}")
 
     def _advance(self, tracked: DataFrame, progress: DataFrame, batch_id: int) -> None:
-        """Progress after the batch: moved games with their newest point, finished ones dropped."""
+        """Progress after the batch: moved games with their newest point. A finished game is dropped
+        once the games table has it as final."""
         new = self.spark.read.parquet(self._points_folder(batch_id))
         state = ["period", "clock_seconds", "score_home", "score_away", "possession", "description"]
         newest = latest_by(
             new.select("game_id", "action_id", F.col("home_win_prob").alias("last_prob"), *state), ["game_id"], ["action_id"]
         ).withColumnRenamed("action_id", "last_action_id")
-        moved = newest.join(tracked.where("NOT final").select("game_id", "pregame_prob"), "game_id")
-        finished = tracked.where("final").select("game_id")
-        still = progress.join(moved.select("game_id"), "game_id", "left_anti").join(finished, "game_id", "left_anti")
+        moved = newest.join(tracked.select("game_id", "pregame_prob", F.col("final").alias("finished")), "game_id")
+        ended = tracked.where("final").select("game_id", F.lit(True).alias("ended"))
+        closed = self.games().where("status = 'final'").select("game_id", F.lit(True).alias("closed"))
+        still = progress.join(moved.select("game_id"), "game_id", "left_anti").join(ended, "game_id", "left").join(closed, "game_id", "left")
+        still = still.withColumn("finished", F.col("finished") | F.coalesce("ended", F.lit(False)))
+        still = still.where(~(F.col("finished") & F.coalesce("closed", F.lit(False))))
         columns = [f.split()[0] for f in PROGRESS.split(", ")]
         self._save_progress(still.select(*columns).unionByName(moved.select(*columns)), batch_id)
 
@@ -207,11 +215,42 @@ class LiveJob:
     def closing_points(self, board: DataFrame) -> DataFrame:
         """Certain final points of open games the board calls finished, from their last state."""
         ended = board.where("status = 'final'").select("game_id")
-        rows = self.progress().join(ended, "game_id", "left_semi")
+        rows = self.progress().where("NOT finished").join(ended, "game_id", "left_semi")
+        # A board is read again and again: what it has closed already stays closed.
+        certain = self.recorded().groupBy("game_id").agg(F.max_by("home_win_prob", F.struct("action_id", "id")).alias("p"))
+        rows = rows.join(certain.where("p IN (0.0, 1.0)").select("game_id"), "game_id", "left_anti")
         undecided = ~rows["last_prob"].isin(0.0, 1.0) & (F.col("score_home") != F.col("score_away"))
         rows = with_times(rows.where(undecided).withColumnRenamed("last_action_id", "action_id"))
         return rows.withColumn("home_win_prob", (F.col("score_home") > F.col("score_away")).cast("double"))
 
+    def process_board(self, board: DataFrame, batch_id: int, tables: Tables) -> None:
+        """One scoreboard batch: certain final points of ended games, then status and scores of
+        known games in the games table, never of finished ones."""
+        newest = latest_by(board, ["game_id"], ["arrival"]) if "arrival" in board.columns else board
+        _, version = self.model.get()
+        closing = self.closing_points(newest)
+        spread = F.pmod(F.xxhash64("game_id", "action_id"), F.lit(1 << 32))
+        closing.select(
+            (F.lit((1 << 30) + batch_id).cast("long") * (1 << 32) + spread).alias("id"),  # after any batch of events
+            *POINT,
+            F.lit(version).alias("model_version"),
+            F.lit(self.now()).alias("created_at"),
+        ).write.mode("overwrite").parquet(f"{self.root}/points/source={self.source}/board={batch_id}")
+        known = newest.where("status <> 'scheduled'").join(self.games().select("game_id", "season"), "game_id")
+        tables.upsert(
+            "core.games",
+            known.select("game_id", "season", "status", "home_score", "away_score"),
+            guard=lambda old, new: old("status") != "final",
+        )
+
+    def store(self, tables: Tables) -> None:
+        """Put the recorded points into the table that readers, monitoring and pruning use, in place
+        of what it has of the same games under this source."""
+        name = "serving.live_wp_snapshots"
+        mine = tables.conform(name, self.recorded().withColumn("source", F.lit(self.source)))
+        others = tables.read(name).where(F.col("source") == self.source).join(mine.select("game_id").distinct(), "game_id", "left_anti")
+        tables.replace_partitions(name, mine.unionByName(others.select(*mine.columns)))
+
     def update_games(self, games: DataFrame, board: DataFrame) -> DataFrame:
         """Games with status and scores from the newest board rows; finished games stay."""
         newest = latest_by(board, ["game_id"], ["arrival"]) if "arrival" in board.columns else board
@@ -281,18 +320,39 @@ class LiveJob:
         ).json(f"{self.root}/messages/source={self.source}/reset={stamp}")
 
 
+def feed_rows(docs: DataFrame) -> DataFrame:
+    """Landed play-by-play documents as feed rows: the newest document of each game. The feed does
+    not say when a game has ended; the scoreboard closes it."""
+    rows = stats_feed.parse_play_by_play(docs)
+    columns = [f.split()[0] for f in FEED.split(", ")]
+    return rows.withColumn("final", F.lit(False)).withColumn("arrival", F.lit(0).cast("long")).select(*columns)
+
+
+def board_rows(docs: DataFrame) -> DataFrame:
+    """Landed scoreboards as board rows; of several, a game's newest counts."""
+    rows = stats_feed.parse_scoreboard(docs)
+    return rows.select("game_id", "status", "home_score", "away_score", "tip_time_utc", "arrival")
+
+
 def read_feed(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Landed feed polls as a stream. Every file holds the whole feed of its games."""
     return spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_scoreboard(
-    board: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False
+def run_documents(
+    docs: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every_s: int, available_now: bool = False
 ) -> StreamingQuery:
-    writer = board.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    """Apply a function to each micro-batch of landed documents."""
+    writer = docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     if available_now:
         return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=f"{SCOREBOARD_SECONDS} seconds").start()
+    return writer.trigger(processingTime=f"{every_s} seconds").start()
+
+
+def table_pending(games: DataFrame, now: datetime) -> bool:
+    """Is a game of the table live, or due to start soon?"""
+    soon = F.col("tip_time_utc").between(F.lit(now - PENDING_WITHIN), F.lit(now + PENDING_WITHIN))
+    return not games.where((F.col("status") == "live") | ((F.col("status") == "scheduled") & soon)).isEmpty()
 
 
 def games_pending(board: DataFrame, games: DataFrame, now: datetime) -> bool:

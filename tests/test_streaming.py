@@ -55,11 +55,15 @@ def test_only_new_states_are_emitted(job):
     assert send(job, more, 2) == [("g", 4), ("g", 5)]
     # A retried batch overwrites itself and gives the same points.
     assert send(job, more, 2) == [("g", 4), ("g", 5)]
-    # The end: the last state comes again as certain, once; the game's row is gone.
+    # The end: the last state comes again as certain, once; the feed sent again emits nothing.
     closing = [(*r[:10], True, 9) for r in more]
     assert send(job, closing, 3) == [("g", 5)]
     last = job.recorded().where("action_id = 5").first()
-    assert last["home_win_prob"] == 1.0 and job.progress().count() == 0
+    assert last["home_win_prob"] == 1.0 and job.progress().where("NOT finished").count() == 0
+    assert send(job, closing, 4) == [] and send(job, more, 5) == []
+    # Once the table has the game as final, nothing needs to be remembered.
+    job.games = lambda: job.spark.createDataFrame([("g", "final")], "game_id string, status string")
+    assert send(job, closing, 6) == [] and job.progress().count() == 0 and send(job, closing, 7) == []
     texts = [r["points"] for r in job.messages().where("game_id = 'g' AND type = 'points'").collect()]
     assert sum(t.count('"action_id"') for t in texts) == 6
 
@@ -152,3 +156,66 @@ def test_stream_over_landed_polls_matches_one_replay(job, spark, tmp_path):
         assert replayed == streamed
     assert len(job.recorded().collect()) == 61
     assert replayer.messages().where("type = 'reset'").count() == 2
+
+
+def test_live_and_replay_jobs(spark, tmp_path, monkeypatch):
+    """Landed polls and boards become points in the snapshot table, and the games table follows."""
+    import json
+    import os
+
+    from boutline.plans.jobs import Deployment
+
+    at = Deployment(spark, str(tmp_path / "root"), str(tmp_path / "landing"), clock=lambda: datetime(2030, 1, 1, 12))
+    games = spark.createDataFrame(
+        [("0022900001", 2029, "live", None, None), ("0022900002", 2029, "final", 9, 8)],
+        "game_id string, season int, status string, home_score int, away_score int",
+    )
+    at.tables.replace("core.games", games)
+    monkeypatch.setattr(Deployment, "_ingame_model", lambda self: (logistic(), "7"))
+    at._ahead = 0
+
+    def put(path, doc):
+        at._ahead += 10
+        file = tmp_path / "landing" / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(json.dumps(doc))
+        os.utime(file, (1_900_000_000 + at._ahead,) * 2)
+
+    def poll(n):
+        actions = [
+            {"actionId": i, "actionNumber": i, "period": 1, "clock": f"PT{11 - i:02d}M00.00S", "teamId": 1, "location": "h", "actionType": "Made Shot", "scoreHome": str(2 * i), "scoreAway": "0"}
+            for i in range(1, n + 1)
+        ]
+        return {"game": {"gameId": "0022900001", "actions": actions}}
+
+    def board(status, home):
+        game = {"gameId": "0022900001", "gameStatus": status, "period": 4, "homeTeam": {"score": home}, "awayTeam": {"score": 0}, "gameTimeUTC": ""}
+        return {"scoreboard": {"games": [game]}}
+
+    put("live_pbp/a.json", poll(2))
+    put("live_board/a.json", board(2, 4))
+    assert at.live() == "caught up"
+    points = at.tables.read("serving.live_wp_snapshots")
+    assert sorted(r["action_id"] for r in points.collect()) == [0, 1, 2]
+    put("live_pbp/b.json", poll(3))
+    put("live_board/b.json", board(3, 6))
+    at.live()
+    rows = {r["action_id"]: r for r in at.tables.read("serving.live_wp_snapshots").collect()}
+    assert sorted(rows) == [0, 1, 2, 3] and rows[3]["home_win_prob"] == 1.0 and rows[3]["source"] == "live"
+    table = {r["game_id"]: (r["status"], r["home_score"]) for r in at.tables.read("core.games").collect()}
+    assert table == {"0022900001": ("final", 6), "0022900002": ("final", 9)}
+    put("live_pbp/c.json", poll(3))
+    put("live_board/c.json", board(3, 6))
+    at.live()
+    assert at.tables.read("serving.live_wp_snapshots").count() == 4
+    # Stored events of a finished game, as a replay beside the live points.
+    at.tables.upsert(
+        "core.pbp_events",
+        spark.createDataFrame(
+            [("0022900002", i, 1, 700.0 - i, "h", "Made Shot", 2 * i, 0, 2029) for i in (1, 2)],
+            "game_id string, action_id long, period int, clock_seconds double, location string, action_type string, score_home int, score_away int, season int",
+        ),
+    )
+    assert at.replay(["0022900002"]) == 3 and at.replay(["0022900002"]) == 3
+    by_source = {r["source"]: r["count"] for r in at.tables.read("serving.live_wp_snapshots").groupBy("source").count().collect()}
+    assert by_source == {"live": 4, "replay": 3}
