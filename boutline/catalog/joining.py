@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from boutline.catalog.base import query
 from boutline.fixtures import TODAY, League
 from boutline.functions import calendar
+from boutline.functions.calendar import board_days
 from boutline.operators import upsert as merge
 from boutline.operators.latest import attach_latest, latest_by
+from boutline.oracle import eastern_sql
 from boutline.plans import ingest, scoring, serving
 
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY created_at DESC, id DESC) AS rn FROM predictions) WHERE rn = 1)"
@@ -199,12 +201,8 @@ def u2_days_to_refresh(L: League) -> DataFrame:
 
 @query(
     "x8_board_days",
-    """SELECT event_id, unnest(CASE WHEN hour(local) < 4 THEN [CAST(local AS DATE), CAST(local AS DATE) - 1] ELSE [CAST(local AS DATE)] END) AS day
-       FROM (SELECT event_id, ts - to_hours(CASE WHEN ts >= TIMESTAMP '2024-03-10 07:00:00' THEN 4 ELSE 5 END) AS local FROM events WHERE ts < TIMESTAMP '2024-11-03 06:00:00')""",
+    f"""SELECT event_id, unnest(CASE WHEN hour(local) < 4 THEN [CAST(local AS DATE), CAST(local AS DATE) - 1] ELSE [CAST(local AS DATE)] END) AS day
+       FROM (SELECT event_id, {eastern_sql('ts')} AS local FROM events)""",
 )
 def x8_board_days(L: League) -> DataFrame:
-    rows = L.table("events").where("ts < TIMESTAMP_NTZ '2024-11-03 06:00:00'")
-    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), calendar.EASTERN)
-    today = F.to_date(local)
-    days = F.when(F.hour(local) < 4, F.array(today, F.date_sub(today, 1))).otherwise(F.array(today))
-    return rows.select("event_id", F.explode(days).alias("day"))
+    return L.table("events").select("event_id", F.explode(board_days(F.col("ts"))).alias("day"))

@@ -12,6 +12,7 @@ from boutline.operators import upsert as merge
 from boutline.operators.features import features_as_json, features_from_json, labelled
 from boutline.operators.latest import latest_by
 from boutline.operators.states import is_kept, prune_descriptions
+from boutline.oracle import eastern_sql
 from boutline.plans import serving
 
 # ---------------------------------------------------------------- scans and sinks
@@ -238,10 +239,10 @@ def p6_parse_utc(L: League) -> DataFrame:
 
 @query(
     "p7_eastern_date",
-    """SELECT event_id, CAST((ts - to_hours(CASE WHEN ts >= TIMESTAMP '2024-03-10 07:00:00' THEN 4 ELSE 5 END)) AS DATE) AS eastern FROM events WHERE ts < TIMESTAMP '2024-11-03 06:00:00'""",
+    f"SELECT event_id, CAST({eastern_sql('ts')} AS DATE) AS eastern FROM events",
 )
 def p7_eastern_date(L: League) -> DataFrame:
-    rows = L.table("events").where("ts < TIMESTAMP_NTZ '2024-11-03 06:00:00'")
+    rows = L.table("events")
     return rows.select("event_id", calendar.eastern_date(F.col("ts")).alias("eastern"))
 
 

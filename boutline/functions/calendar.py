@@ -70,3 +70,13 @@ def score_if_started(status: Column, score: Column) -> Column:
 
 def made_before_tip(now: Column, tip: Column, game_date: Column) -> Column:
     return F.when(tip.isNotNull(), now < tip).otherwise(eastern_date(now) < game_date)
+
+
+LATE_GAMES_END = 4  # o'clock, local: until then the games of the day before may still be on
+
+
+def board_days(ts: Column) -> Column:
+    """The board days to read at a moment: today's and, in the small hours, yesterday's."""
+    local = F.from_utc_timestamp(ts.cast("timestamp"), EASTERN)
+    today = F.to_date(local)
+    return F.when(F.hour(local) < LATE_GAMES_END, F.array(today, F.date_sub(today, 1))).otherwise(F.array(today))

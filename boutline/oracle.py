@@ -34,6 +34,15 @@ def rates_sql(p: str = "") -> dict[str, str]:
     }
 
 
+def eastern_sql(ts: str) -> str:
+    """Local time of the league: summer time from the second Sunday of March to the first of
+    November, at two o'clock."""
+    march, november = f"make_date(year({ts}), 3, 1)", f"make_date(year({ts}), 11, 1)"
+    start = f"CAST({march} + 7 + CAST((7 - dayofweek({march})) % 7 AS INTEGER) AS TIMESTAMP) + to_hours(7)"
+    end = f"CAST({november} + CAST((7 - dayofweek({november})) % 7 AS INTEGER) AS TIMESTAMP) + to_hours(6)"
+    return f"({ts} - to_hours(CASE WHEN {ts} >= {start} AND {ts} < {end} THEN 4 ELSE 5 END))"
+
+
 STD = ["ortg", "drtg", "net", "pace", "efg", "tov_pct", "orb_pct", "ftr", "opp_efg", "opp_tov_pct", "drb_pct", "opp_ftr"]
 STATE = (
     ["games_played", "win_pct", "streak"]
