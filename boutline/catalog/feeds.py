@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from boutline.catalog.base import query
 from boutline.fixtures import League
+from boutline.functions.calendar import lookup
 from boutline.operators.latest import latest_by
 from boutline.session import fresh_path
 from boutline.sources import board_feed, dimensions, documents, stats_feed
@@ -237,3 +238,50 @@ def s3_repeated_actions(L: League) -> DataFrame:
         "game_id", "action_id", "action_type", F.lit("corrected").alias("description"), "score_home", "score_away", F.lit(1).alias("pos")
     )
     return latest_by(first.unionByName(again), ["game_id", "action_id"], ["pos"]).drop("pos")
+
+
+# The provider's names for the common kinds of play.
+_PLAY_TEXT = {
+    "Made Shot": "Jump Shot",
+    "Missed Shot": "Jump Shot",
+    "Rebound": "Defensive Rebound",
+    "Turnover": "Lost Ball Turnover",
+    "Free Throw": "Free Throw - 1 of 2",
+    "Jump Ball": "Jumpball",
+    "Substitution": "Substitution",
+    "Timeout": "Full Timeout",
+    "period": "End Period",
+    "Foul": "Shooting Foul",
+}
+
+
+@query(
+    "s6_plays",
+    """SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY action_id) AS action_id, action_type, location, period,
+        floor(clock_seconds)::DOUBLE AS clock_seconds, score_home, score_away FROM pbp""",
+    "clock_seconds",
+)
+def s6_plays(L: League) -> DataFrame:
+    """Every event as a play of a summary of its game."""
+    kind = F.col("action_type")
+    home, away = _code(F.lit(0)), _code(F.lit(1))
+    seconds = F.floor("clock_seconds").cast("int")
+    play = F.struct(
+        "action_id",
+        F.struct(F.coalesce(lookup(kind, _PLAY_TEXT), F.lit("Unknown")).alias("text")).alias("type"),
+        F.col("description").alias("text"),
+        F.coalesce(kind == "Made Shot", F.lit(False)).alias("scoringPlay"),
+        F.coalesce(kind.isin("Made Shot", "Missed Shot"), F.lit(False)).alias("shootingPlay"),
+        F.struct(F.when(F.col("location") == "h", home).when(F.col("location") == "v", away).alias("id")).alias("team"),
+        F.struct(F.col("period").alias("number")).alias("period"),
+        F.struct(F.format_string("%d:%02d", F.floor(seconds / 60).cast("int"), seconds % 60).alias("displayValue")).alias("clock"),
+        F.col("score_home").alias("homeScore"),
+        F.col("score_away").alias("awayScore"),
+    )
+    sides = [F.struct(F.lit(s).alias("homeAway"), F.struct(c.alias("id")).alias("team")) for s, c in (("home", home), ("away", away))]
+    # One game's plays, as the provider sends them.
+    rows = L.events().groupBy("game_id").agg(F.array_sort(F.collect_list(play)).alias("plays"))
+    rows = rows.withColumn("header", F.struct(F.array(F.struct(F.array(*sides).alias("competitors"))).alias("competitions")))
+    docs = _landed(L, "s6", rows, f"game_id string, {board_feed.SUMMARY}")
+    parsed = board_feed.parse_plays(docs)
+    return parsed.select("game_id", "action_id", "action_type", "location", "period", "clock_seconds", "score_home", "score_away")
