@@ -133,7 +133,7 @@ def s2_schedule(L: League) -> DataFrame:
 
 def _code(place: F.Column) -> F.Column:
     """A code of the second provider, from the static dimension, by its place there."""
-    codes = [row[6] for row in dimensions._rows(dimensions.TEAMS)]
+    codes = [row[6] for row in dimensions.TEAMS]
     return F.get(F.array(*[F.lit(c) for c in codes]), place.cast("int"))
 
 
