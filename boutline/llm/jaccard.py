@@ -23,6 +23,7 @@ from boutline.llm.common import mixed, runs_of, small, space_words, text_key, te
 from boutline.llm.components import components
 from boutline.session import materialise
 
+SLICE = 1 << 20  # bytes of text handled at once: each of its words takes part in a dozen arrays
 SKETCH_BITS = 18  # of the frequency sketch: one counter vector of fixed size for the whole corpus
 MOST_MATCHES = 4  # longest prefix extension
 PARITY = [f"parity{i}" for i in range(4)]  # 256 bits: which of 256 shares of a set are odd in size
@@ -67,7 +68,7 @@ def frequency_sketch(docs: DataFrame, words_in: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for part in text_slices(batches):
+        for part in text_slices(batches, most=SLICE):
             total += np.bincount(_bucket(shingle_sets(part.column("text"), words_in)[1]), minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
@@ -88,7 +89,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words_in: int, percent: int) -
     schema = pa.schema([*((c, pa.int64()) for c in longs), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, most=SLICE):
             rows = part.num_rows
             owner, h = shingle_sets(part.column("text"), words_in)
             n = np.bincount(owner, minlength=rows)
@@ -136,7 +137,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, words_in: int) -> DataFrame:
     wanted = docs.select("doc", "text").join(small(classes), "doc").select("class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, most=SLICE):
             owner, h = shingle_sets(part.column("text"), words_in)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))]).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
