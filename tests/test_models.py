@@ -49,6 +49,42 @@ def test_walk_forward_never_trains_on_the_tested_season(league, monkeypatch):
     assert min(report.alternatives, key=report.alternatives.get).endswith(report.calibration)
 
 
+def test_registered_queries_fit_with_production_parameters(spark, league, monkeypatch):
+    """Every fit has the production parameters, and four seasons get out-of-sample rows."""
+    from boutline.catalog import modelling
+
+    trees, fits = [], []
+    few = pregame.GBTClassifier
+
+    def booster(**params):
+        trees.append({k: params[k] for k in pregame.DEFAULT_PARAMS})
+        return few(**{**params, "maxIter": 1})
+
+    real = backtest.fit
+
+    def spy(train, calib=None, params=None, features=None):
+        model = real(train, calib, params, features)
+        fits.append((model.train_seasons, model.calibration_season))
+        return model
+
+    monkeypatch.setattr(pregame, "GBTClassifier", booster)
+    monkeypatch.setattr(backtest, "fit", spy)
+    metrics = modelling.m5_walk_forward(league)
+    assert {r["season"] for r in metrics.collect()} == {1997, 1998, 1999, 2000, None}
+    up_to = {s: list(range(1995, s)) for s in range(1996, 2001)}
+    assert fits == [(up_to[s], None) for s in range(1997, 2001)] + [(up_to[s - 1], s - 1) for s in range(1997, 2001)]
+    scored = modelling.m8_out_of_sample(league)
+    final = league.features().where("status = 'final' AND season BETWEEN 1997 AND 2000")
+    assert rows_of_ids(scored) == rows_of_ids(final)
+    modelling.m2_pregame_scores(league), modelling.m3_calibrated_scores(league)
+    modelling.m4_factors(league), modelling.m17_batch_scores(league)
+    assert trees == [pregame.DEFAULT_PARAMS] * (8 + 4 + 4)
+
+
+def rows_of_ids(df):
+    return sorted(r["game_id"] for r in df.select("game_id").collect())
+
+
 @pytest.fixture(scope="module")
 def states(spark):
     rng = [(g, (g * 37 + a * 11) % 61 - 30, 2880 - 28 * a, (g + a) % 3 - 1, 0.2 + (g % 7) / 10) for g in range(60) for a in range(100)]
