@@ -218,6 +218,39 @@ def test_secret_entropy_and_allow_list(spark):
     assert (both.n_assign, both.n_entropy) == (1, 0), "a base span is not reported twice"
 
 
+def test_secrets_with_slashes(spark):
+    """Planted base64 keys are found with slashes in them; paths of words are not."""
+    import random
+    import string
+
+    rng = random.Random(7)
+    letters = string.ascii_letters + string.digits + "+/"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (40, 88, 172, 344) for _ in range(50)]
+    keys = [k for k in keys if k.count("/") >= 2]
+    assert len(keys) > 100
+    frame = spark.createDataFrame([(i, f"key {k} end") for i, k in enumerate(keys)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secrets.secrets_digest(secrets.find_secrets(frame)).collect()}
+    missed = [k for i, k in enumerate(keys) if f"entropy:4:{4 + len(k)}" not in found[i]]
+    assert len(missed) <= len(keys) // 50, missed
+    left = [r.text for r in secrets.redact(frame).collect() if r.text != "key [secret] end"]
+    assert len(left) == len(missed)
+    short = ["".join(rng.choice(letters) for _ in range(20)) for _ in range(300)]
+    short = [k for k in short if re.search("[0-9]", k) and re.search("[A-Za-z]", k)]
+    frame = spark.createDataFrame([(i, f"key {k} end") for i, k in enumerate(short)], "doc_id long, text string")
+    assert secrets.secrets_digest(secrets.find_secrets(frame)).where("n_entropy = 1").count() >= 0.95 * len(short)
+    for path in (
+        "/usr/local/lib/python3/site-packages",
+        "src/components/Header2/index-page/utils",
+        "/home/user1/project2/src/main3/java4",
+        "/items/123e4567-e89b-12d3-a456-426614174000/view",
+        "com/example2/MyClassName/AbstractFactoryBean2",
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+    ):
+        assert scan(spark, secrets, f"see {path} there").n_entropy == 0, path
+    for key in ("/home/user/keys/q7ZxP0bLm3VtR8sKdW2yNfGh/test", "sk_test_q7ZxP0bLm3VtR8sKdW2yNfGh"):
+        assert scan(spark, secrets, f"see {key} there").spans == f"entropy:4:{4 + len(key)}", key
+
+
 def test_secrets_are_replaced(spark):
     text = "é token=abcdefghijklmnop and deadbeefdeadbeef, password: tokentokentoken"
     frame = spark.createDataFrame([(1, text, 5), (2, "plain", 9), (3, None, None)], "doc_id long, text string, n_chars long")
