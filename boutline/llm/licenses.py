@@ -28,16 +28,43 @@ NOTICES = (
     ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2"),
     ("licensed under the apache license version 2 0", "apache-2"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license", "lgpl"),
+    ("licensed under the gnu affero general public license version 3", "agpl-3"),
+    ("licensed under the gnu lesser general public license version 3", "lgpl-3"),
+    ("licensed under the gnu lesser general public license version 2 1", "lgpl-2.1"),
     ("licensed under the gnu general public license version 3", "gpl-3"),
     ("licensed under the gnu general public license version 2", "gpl-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("this work is licensed under a creative commons attribution noderivatives 4 0 international license", "cc-by-nd"),
+    ("this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "cc-by-nc-sa"),
+    ("this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "cc-by-nc-nd"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 
+# Words that tell the licenses of a family apart, by what they stand for: a span of a notice must
+# hold those of its template and no other.
+FAMILIES = (
+    ("creative commons", {"noncommercial": "nc", "commercial": "nc", "sharealike": "sa", "alike": "sa", "noderivatives": "nd", "noderivs": "nd", "derivatives": "nd", "derivs": "nd"}),
+    ("gnu", {"lesser": "lesser", "affero": "affero"}),
+)
+MARKS = {word: mark for _, words in FAMILIES for word, mark in words.items()}
+
+
+def template_marks() -> list[tuple[list[str], list[str]]]:
+    """(marks of its family, marks of its own) per template; none for base phrases."""
+    out = []
+    for i, (text, _) in enumerate((*PHRASES, *NOTICES)):
+        family = next((words for name, words in FAMILIES if i >= len(PHRASES) and name in text), {})
+        out.append((sorted(set(family.values())), sorted({family[w] for w in text.split() if w in family})))
+    return out
+
 
 def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
     """(gram, words, template, label, is_base, at, n_grams): one row per k-gram of a template. A
@@ -50,18 +77,23 @@ def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
 
 def license_hits(docs: DataFrame, k: int = K) -> DataFrame:
     """Votes, and one row without a template per row of `docs` (its first word): row, doc_id,
-    n_words, pos, and the template's template, label, is_base, at, n_grams."""
+    n_words, pos, marks (pos, mark; at the first word only), and the template's template, label,
+    is_base, at, n_grams."""
     words = docs.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), split_words(lower_ascii(F.coalesce("text", F.lit(""))), NOT_LATIN).alias("words")
     )
-    each = words.select("row", "doc_id", F.size("words").alias("n_words"), "words", F.posexplode_outer("words").alias("pos", "word"))
+    named = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
+    placed = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.when(w.isin(*MARKS), named[w]).alias("mark")))
+    words = words.withColumn("marks", F.filter(placed, lambda m: m["mark"].isNotNull()))
+    each = words.select("row", "doc_id", F.size("words").alias("n_words"), "words", "marks", F.posexplode_outer("words").alias("pos", "word"))
+    each = each.withColumn("marks", F.when(F.col("pos") == 0, F.col("marks")))
     gram = each.withColumn("gram", F.xxhash64("word", *[F.get("words", F.col("pos") + i) for i in range(1, k)]))
     templates = F.broadcast(template_grams(docs.sparkSession, k)).withColumnRenamed("words", "template_words")
     # The hash finds, the words decide.
     same = (F.col("gram") == F.col("g")) & (F.slice("words", F.col("pos") + 1, k) == F.col("template_words"))
     joined = gram.join(templates.withColumnRenamed("gram", "g"), same, "left")
     return joined.where("template IS NOT NULL OR pos = 0 OR pos IS NULL").select(
-        "row", "doc_id", "n_words", "pos", "template", "label", "is_base", "at", "n_grams"
+        "row", "doc_id", "n_words", "pos", "marks", "template", "label", "is_base", "at", "n_grams"
     )
 
 
@@ -81,6 +113,7 @@ def scan_licenses(docs: DataFrame, k: int = K, drift: int = DRIFT, min_cover: fl
     votes = hits.groupBy("row", F.coalesce("template", F.lit(-1)).alias("template"), (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
+        F.first("marks", ignorenulls=True).alias("marks"),
         F.first("label").alias("label"),
         F.first("is_base").alias("is_base"),
         F.first("n_grams").alias("n_grams"),
@@ -96,24 +129,54 @@ def scan_licenses(docs: DataFrame, k: int = K, drift: int = DRIFT, min_cover: fl
     spans = numbered.groupBy("row", "template", "span").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
+        F.first("marks", ignorenulls=True).alias("marks"),
         F.first("label").alias("label"),
         F.first("is_base").alias("is_base"),
         F.first("n_grams").alias("n_grams"),
         (F.size(F.array_distinct(F.flatten(F.collect_list("ats")))) / F.first("n_grams")).alias("cover"),
         F.min(F.col("diagonal") + F.col("low")).alias("first"),
         F.max(F.col("diagonal") + F.col("high") + k - 1).alias("last"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
     )
-    valid = (F.col("template") >= 0) & F.when(F.col("n_grams") < SHORT, F.col("cover") == 1.0).otherwise(F.col("cover") >= min_cover)
-    base = valid & F.col("is_base")
-    listed = lambda when: F.concat_ws(",", F.array_sort(F.collect_set(F.when(when, F.col("label")))))
-    return spans.groupBy("row").agg(
+    enough = (F.col("template") >= 0) & F.when(F.col("n_grams") < SHORT, F.col("cover") == 1.0).otherwise(F.col("cover") >= min_cover)
+    base = enough & F.col("is_base")
+    # By cover, then length: the order in which spans are kept.
+    span = F.struct(
+        (-F.col("cover")).alias("rank"), (-F.col("n_grams")).alias("size"), "first", "last", "template", "label", "cover",
+        (F.col("first") - F.col("low")).alias("begins"), (F.col("last") + F.col("n_grams") - 1 - F.col("high")).alias("ends"),
+    )
+    found = spans.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").cast("long").alias("n_words"),
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
-        listed(base).alias("base_labels"),
-        listed(valid).alias("labels"),
-        F.coalesce(F.max(F.when(valid, F.col("cover"))), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(valid, F.struct("first", "last", "template", "label", "cover")))).alias("spans"),
-    ).drop("row")
+        F.concat_ws(",", F.array_sort(F.collect_set(F.when(base, F.col("label"))))).alias("base_labels"),
+        F.first("marks", ignorenulls=True).alias("marks"),
+        F.array_sort(F.collect_list(F.when(base, span))).alias("phrases"),
+        F.array_sort(F.collect_list(F.when(enough & ~F.col("is_base"), span))).alias("notices"),
+    )
+    strings = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    family, own = (F.array(*[strings(x) for x in column]) for column in zip(*template_marks()))
+
+    def verified(x: Column) -> Column:
+        """The words that tell a family apart, where the whole template would stand, are its own."""
+        inside = lambda m: (m["pos"] >= x["begins"]) & (m["pos"] <= x["ends"]) & F.array_contains(F.get(family, x["template"]), m["mark"])
+        there = F.transform(F.filter(F.coalesce("marks", F.array().cast("array<struct<pos:int,mark:string>>")), inside), lambda m: m["mark"])
+        return F.array_sort(F.array_distinct(there)) == F.get(own, x["template"])
+
+    def apart(kept: Column, x: Column) -> Column:
+        """Spans that share a k-gram's words compete; the better one is there already."""
+        shared = lambda o: F.least(o["last"], x["last"]) - F.greatest(o["first"], x["first"]) + 1
+        return F.when(F.exists(kept, lambda o: shared(o) >= k), kept).otherwise(F.concat(kept, F.array(x)))
+
+    best = F.aggregate(F.filter("notices", verified), F.slice("notices", 1, 0), apart)
+    kept = found.withColumn("kept", F.concat("phrases", best))
+    shown = F.transform("kept", lambda x: F.struct(*[x[c].alias(c) for c in ("first", "last", "template", "label", "cover")]))
+    return kept.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("kept", lambda x: x["label"])))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("kept", lambda x: x["cover"])), F.lit(0.0)).alias("score"),
+        F.array_sort(shown).alias("spans"),
+    )

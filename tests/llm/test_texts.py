@@ -284,3 +284,24 @@ def test_license_notices_survive_small_changes(spark):
     assert r.labels == "mit" and r.n_base == 0 and 0.6 <= r.score < 1
     assert scan(spark, licenses, " ".join(notice[:8])).labels == ""
     assert scan(spark, licenses, "This is licensed under the GNU General Public License, version 3.").labels == "gpl-3"
+
+
+def test_license_notices_do_not_get_each_others_labels(spark):
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License"
+    wanted = [(text, label) for text, label in licenses.NOTICES]
+    wanted += [
+        (cc.format(""), "cc-by"),
+        (cc.format("-NonCommercial"), "cc-by-nc"),
+        (cc.format("-Non-Commercial"), "cc-by-nc"),
+        (cc.format("-ShareAlike"), "cc-by-sa"),
+        (cc.format("-NoDerivatives"), "cc-by-nd"),
+        (cc.format("-NonCommercial-ShareAlike"), "cc-by-nc-sa"),
+        (cc.format("-NonCommercial-NoDerivs"), "cc-by-nc-nd"),
+        (cc.format("") + " Commercial use is fine.", "cc-by"),
+        (cc.format("") + " And one more. " + cc.format("-ShareAlike"), "cc-by,cc-by-sa"),
+        *[(gnu.format(x, y), z) for x in ("program", "library") for y, z in (("", "gpl"), ("Lesser ", "lgpl"), ("Library ", "lgpl"), ("Affero ", "agpl"))],
+    ]
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(wanted)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame).collect()}
+    assert [(text, got[i]) for i, (text, _) in enumerate(wanted)] == wanted
