@@ -118,3 +118,18 @@ WITH RECURSIVE doc AS (
 SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id
 FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
 """
+
+WARC = """
+WITH payload AS (
+    SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST) AS place,
+        first(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST) AS first_id
+    FROM payload
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM placed
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boutline.llm import decontaminate, jaccard, language, licenses, mixing, oracles, pii, quality, secrets, substrings, tokens
+from boutline.llm import alignment, conversations, decontaminate, jaccard, language, licenses, mixing, oracles, pii, quality, secrets
+from boutline.llm import substrings, tokens, warc
 from boutline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,21 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mix_sources", oracles.MIX_SOURCES)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_repair_conversations")
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_warc", oracles.WARC)
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_align_tokenizers")
+def aligned_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *paths)
