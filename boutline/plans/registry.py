@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from boutline.operators.boosting import Booster
 from boutline.plans import rules
 from boutline.plans.ingame import InGameModel
 from boutline.plans.pregame import PregameModel
@@ -29,13 +29,13 @@ class Registration:
     reason: str
 
 
-def _save(model: PregameModel | InGameModel, path: str) -> dict[str, str]:
+def _save(spark: SparkSession, model: PregameModel | InGameModel, path: str) -> dict[str, str]:
     """Write the model's folders; what is not in them goes into string parameters."""
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    stored = spark.createDataFrame([(json.dumps(model.booster.as_dict()),)], "booster string")
+    stored.write.mode("overwrite").parquet(f"{path}/booster")
     kept = {"train_seasons": json.dumps(model.train_seasons)}
     if isinstance(model, PregameModel):
         kept |= {
-            "features": json.dumps(model.features),
             "feature_version": model.feature_version,
             "calibration": model.calibration,
             "calibration_season": json.dumps(model.calibration_season),
@@ -45,19 +45,18 @@ def _save(model: PregameModel | InGameModel, path: str) -> dict[str, str]:
     return kept
 
 
-def _open(row: Row) -> PregameModel | InGameModel:
+def _open(spark: SparkSession, row: Row) -> PregameModel | InGameModel:
     params = row["params"]
-    pipeline = PipelineModel.load(f"{row['path']}/pipeline")
+    booster = Booster.from_dict(json.loads(spark.read.parquet(f"{row['path']}/booster").first()[0]))
     seasons = json.loads(params["train_seasons"])
     if row["name"] == INGAME:
-        return InGameModel(pipeline, seasons)
+        return InGameModel(booster, seasons)
     calibrator = None
     if params["calibration"] == "isotonic":
         calibrator = IsotonicRegressionModel.load(f"{row['path']}/calibrator")
     return PregameModel(
-        pipeline,
+        booster,
         calibrator,
-        json.loads(params["features"]),
         params["feature_version"],
         seasons,
         json.loads(params["calibration_season"]),
@@ -104,7 +103,7 @@ def register(
     latest = tables.read(TABLE).where(F.col("name") == name).agg(F.max("version")).first()[0]
     version = (latest or 0) + 1
     path = f"{tables.root}/models/{name}/{version}"
-    kept = _save(model, path)
+    kept = _save(spark, model, path)
     row = {
         "name": name,
         "version": version,
@@ -131,7 +130,7 @@ def load_production(tables: Tables, name: str) -> tuple[PregameModel | InGameMod
     row = _row(tables, (F.col("name") == name) & F.col("is_production"))
     if row is None:
         raise LookupError(f"no production {name} model registered")
-    return _open(row), str(row["version"])
+    return _open(tables.spark, row), str(row["version"])
 
 
 def version_details(tables: Tables, name: str, version: int) -> Row:
@@ -187,9 +186,9 @@ def copy_production(source: Tables, target: Tables, name: str) -> int:
     if version is None:
         raise LookupError(f"no production {name} model registered")
     row = version_details(source, name, version).asDict()
-    model = _open(version_details(source, name, version))
+    model = _open(source.spark, version_details(source, name, version))
     row["path"] = f"{target.root}/models/{name}/{version}"
-    _save(model, row["path"])
+    _save(target.spark, model, row["path"])
     row["is_production"] = True
     _store(target, row, True)
     return version

@@ -1,6 +1,7 @@
 """Models, registry, jobs and tables."""
 
 import json
+from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
@@ -11,7 +12,7 @@ from boutline.plans import backtest, ingame, monitor, pregame, registry
 from boutline.plans.jobs import Deployment
 from boutline.sources.tables import Tables
 
-SMALL = {"maxIter": 4, "minInstancesPerNode": 20, "stepSize": 0.1}
+SMALL = {"trees": 4, "least_rows": 20, "rate": 0.1}
 
 
 def test_contributions_add_up_to_the_log_odds(spark, league):
@@ -34,51 +35,46 @@ def test_contributions_add_up_to_the_log_odds(spark, league):
 
 def test_walk_forward_never_trains_on_the_tested_season(league, monkeypatch):
     seen = []
-    real = backtest.fit
+    real = backtest.predict_season
 
-    def spy(train, calib=None, params=None, features=None):
-        model = real(train, calib, params, features)
-        seen.append((max(model.train_seasons), model.calibration_season))
-        return model
+    def spy(data, season, calibration, models):
+        model = models[season - 1] if calibration == "isotonic" else models[season]
+        seen.append((season, calibration, max(model.train_seasons)))
+        return real(data, season, calibration, models)
 
-    monkeypatch.setattr(backtest, "fit", spy)
+    monkeypatch.setattr(backtest, "predict_season", spy)
     data = league.features().where("status = 'final' AND season >= 1995")
-    report = backtest.walk_forward(data, [1999], {"maxIter": 2, "minInstancesPerNode": 20}, "t-walk")
-    assert seen == [(1998, None), (1997, 1998)]
+    report = backtest.walk_forward(data, [1999], {"trees": 2, "least_rows": 20}, "t-walk")
+    assert seen == [(1999, "none", 1998), (1999, "isotonic", 1997)]
     assert report.metrics.count() == 4 and set(report.alternatives) == {"pooled_logloss_none", "pooled_logloss_isotonic"}
     assert min(report.alternatives, key=report.alternatives.get).endswith(report.calibration)
+    leaking = {1999: pregame.fit(data.where("season <= 1999"), params=SMALL)}
+    with pytest.raises(ValueError, match="leaked"):
+        real(data, 1999, "none", leaking)
 
 
 def test_registered_queries_fit_with_production_parameters(spark, league, monkeypatch):
-    """Every fit has the production parameters, and four seasons get out-of-sample rows."""
+    """Every fit has the production parameters, each distinct training set is fitted once, and four
+    seasons get out-of-sample rows."""
     from boutline.catalog import modelling
 
-    trees, fits = [], []
-    few = pregame.GBTClassifier
+    fits = []
+    real = pregame.boosting.fit
 
-    def booster(**params):
-        trees.append({k: params[k] for k in pregame.DEFAULT_PARAMS})
-        return few(**{**params, "maxIter": 1})
+    def few(frame, features, label, models, params, name="boosting"):
+        fits.append((len(models), params))
+        return real(frame, features, label, models, replace(params, trees=1), name)
 
-    real = backtest.fit
-
-    def spy(train, calib=None, params=None, features=None):
-        model = real(train, calib, params, features)
-        fits.append((model.train_seasons, model.calibration_season))
-        return model
-
-    monkeypatch.setattr(pregame, "GBTClassifier", booster)
-    monkeypatch.setattr(backtest, "fit", spy)
+    monkeypatch.setattr(pregame.boosting, "fit", few)
     metrics = modelling.m5_walk_forward(league)
     assert {r["season"] for r in metrics.collect()} == {1997, 1998, 1999, 2000, None}
-    up_to = {s: list(range(1995, s)) for s in range(1996, 2001)}
-    assert fits == [(up_to[s], None) for s in range(1997, 2001)] + [(up_to[s - 1], s - 1) for s in range(1997, 2001)]
     scored = modelling.m8_out_of_sample(league)
     final = league.features().where("status = 'final' AND season BETWEEN 1997 AND 2000")
     assert rows_of_ids(scored) == rows_of_ids(final)
     modelling.m2_pregame_scores(league), modelling.m3_calibrated_scores(league)
     modelling.m4_factors(league), modelling.m17_batch_scores(league)
-    assert trees == [pregame.DEFAULT_PARAMS] * (8 + 4 + 4)
+    production = pregame.Params(trees=300, leaves=8, rate=0.02, rows=0.8, columns=0.7, least_rows=200, l2=10.0)
+    assert fits == [(n, production) for n in (5, 4, 1, 1, 1, 1)]
 
 
 def rows_of_ids(df):
@@ -134,7 +130,7 @@ def test_settle_needs_the_fourth_period(spark):
 
 def test_registry_promotes_only_better_versions(spark, states, tmp_path):
     tables = Tables(spark, str(tmp_path / "a"))
-    model = ingame.fit(states, {"maxIter": 5})
+    model = ingame.fit(states, {"trees": 5})
     now = datetime(2030, 1, 1)
 
     def add(loss, season=2017, ok=True):
