@@ -6,7 +6,12 @@ SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 # Resharing the excess is repeated once per source at most: every round fills at least one.
 MIX_SOURCES = rf"""
 WITH RECURSIVE sized AS (
-    SELECT doc_id, source, len({SPACE_WORDS})::BIGINT AS size FROM documents
+    SELECT doc_id, source, len({SPACE_WORDS})::BIGINT AS size,
+           md5(concat_ws('|', coalesce(doc_id::VARCHAR, '<null>'), coalesce(lang, '<null>'), coalesce(n_chars::VARCHAR, '<null>'),
+                         coalesce(source, '<null>'), coalesce(text, '<null>'))) AS key
+    FROM documents
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY key) AS number FROM sized
 ), named AS (
     SELECT source, sum(size)::BIGINT AS source_size,
            [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::BIGINT AS weight
@@ -28,8 +33,8 @@ WITH RECURSIVE sized AS (
     SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM last
 ), drawn AS (
     SELECT doc_id, size, source_size, target, rate,
-           ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS chance
-    FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source
+           ('0x' || substr(md5('mix:' || key || ':' || number), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS chance
+    FROM numbered JOIN rated ON numbered.source IS NOT DISTINCT FROM rated.source
 )
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + (chance < rate - floor(rate))::INT))::BIGINT AS taken

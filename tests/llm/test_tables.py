@@ -177,3 +177,20 @@ def test_mixing_targets_and_copies(spark):
     counts = {r.doc_id: r.taken // r.size for r in got if r.size}
     seen = {i: sum(e.doc_id == i for e in emitted) for i in counts}
     assert seen == counts
+
+
+def test_rows_without_an_id_or_with_one_id_or_alike_meet_the_target(spark):
+    rows = [(None, f"w x{i}", "a") for i in range(1000)] + [(7, f"y z q{i}", "b") for i in range(1000)]
+    rows += [(9, "same row here", "c")] * 1000 + [(i, "other " * 3, "d") for i in range(100, 500)]
+    docs = frame(spark, rows, "doc_id long, text string, source string").selectExpr("*", "doc_id AS __key", "source AS copies", "doc_id AS __rate", "source AS __source")
+    got = mixing.mix_report(docs).collect()
+    source = {None: "a", 7: "b", 9: "c"}
+    for s in "abc":
+        mine = [r for r in got if source.get(r.doc_id, "d") == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.05 * mine[0].target, s
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_report(docs.repartition(5)).collect()))
+    emitted = mixing.mix(docs.repartition(3)).collect()
+    assert emitted[0].asDict().keys() == set(docs.columns)
+    words = lambda s: sum(len(r.text.split()) for r in emitted if r.source == s)
+    assert {s: words(s) for s in "abcd"} == {s: sum(r.taken for r in got if source.get(r.doc_id, "d") == s) for s in "abcd"}
+    assert mixing.mix(docs.limit(0)).collect() == []
