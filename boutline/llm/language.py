@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutline.llm.common import mixed, text_slices
+from boutline.llm.common import mixed, small, text_slices
+from boutline.session import materialise
 
 BITS = 14  # of the hashed feature space: 16,384 features a language
 ORDERS = (2, 3)  # characters in an n-gram
@@ -149,15 +150,25 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _draw(doc_id: Column) -> Column:
-    """A number in [0, 1) that depends on the document's id only."""
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def _sample(docs: DataFrame, share: int) -> DataFrame:
+    """Of every language the `share` rows that come first in an order drawn by id and text (all rows
+    of a language with fewer). Equal rows count once. The draw is narrow: per language and group of
+    hashes only the first `share` hashes are kept, so no language gathers in one task, and texts of
+    the drawn rows alone are read."""
+    drawn = docs.select("lang", F.xxhash64("doc_id", "text").alias("draw")).groupBy("lang", "draw").agg(F.lit(1).alias("one"))
+    for by in ([F.pmod("draw", F.lit(256))], []):
+        first = Window.partitionBy("lang", *by).orderBy("draw")
+        drawn = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= share)
+    chosen = small(materialise(drawn.select("lang", "draw"), "language_draws"))
+    rows = docs.withColumn("draw", F.xxhash64("doc_id", "text")).join(chosen, ["lang", "draw"])
+    return rows.groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from `docs` (doc_id, text, lang); rows without text or lang are left out. Feature
     statistics cover all rows; weights and temperature are fitted on at most about `sample_rows`
-    rows, drawn by a hash of the id and as many from each language as there are, up to its share."""
+    rows (one of each language at least), drawn by a hash of id and text, as many from each language
+    as there are, up to its share."""
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not sizes:
@@ -166,10 +177,6 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     frequency = document_frequencies(docs)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
     share = max(1, sample_rows // len(langs))
-    rate = F.lit(0.0)
-    for lang in langs:
-        rate = F.when(F.col("lang") == lang, min(1.0, share / sizes[lang])).otherwise(rate)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for part in text_slices(batches, most=BLOCK_BYTES, rows=BLOCK_ROWS):
@@ -187,9 +194,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
                 names=["lang", "draw", "feature", "value"],
             )
 
-    sample = docs.withColumn("draw", _draw(F.col("doc_id"))).where(F.col("draw") < rate).select("lang", "draw", "text")
-    rows = sample.mapInArrow(run, "lang string, draw double, feature binary, value binary")
-    got = rows.orderBy("draw", "lang", "feature", "value").limit(2 * sample_rows).collect()
+    rows = _sample(docs, share).select("lang", "draw", "text").mapInArrow(run, "lang string, draw long, feature binary, value binary")
+    got = sorted(rows.collect(), key=lambda r: (r.draw, r.lang))  # at most `share` rows of each language
     sparse = [(np.frombuffer(r.feature, np.int32), np.frombuffer(r.value, np.float32).astype(float)) for r in got]
     label = [langs.index(r.lang) for r in got]
     held = [i for i in range(len(got)) if i % CALIBRATION == CALIBRATION - 1]

@@ -305,3 +305,15 @@ def test_license_notices_do_not_get_each_others_labels(spark):
     frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(wanted)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame).collect()}
     assert [(text, got[i]) for i, (text, _) in enumerate(wanted)] == wanted
+
+
+def test_no_language_is_lost_to_null_or_repeated_ids(spark):
+    words = {"aa": "kala maka rata", "bb": "fjord bygd skog", "cc": "quio zuxe vyho"}
+    rows = [(None, f"{words[lang]} {words[lang].split()[i % 3]} {i}", lang) for i in range(900) for lang in words]
+    rows += [(12, f"one text of {words['aa']} again", "aa")] * 3000
+    rows += [(None, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} {chr(0x4E00 + i)}", f"l{i:04}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language._sample(docs, 5).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got} == {lang: 5 for lang in words} | {f"l{i:04}": 1 for i in range(300)}
+    predicted = {r.lang_pred for r in language.identify(docs.where("length(lang) = 2")).select("lang_pred").distinct().collect()}
+    assert predicted == set(words)
