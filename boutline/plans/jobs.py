@@ -399,7 +399,7 @@ class Deployment:
         games, current = self.tables.read("core.games"), season_of_day(today)
         self.tables.rewrite(
             "serving.live_wp_snapshots",
-            lambda points: prune(points, games, self.keep_points, current, self.keep_seasons),
+            lambda points: prune(points, games, self.keep_points, current, self.keep_seasons).repartition("shard"),
         )
 
     def daily(self, today: date, board: bool = False) -> str:
@@ -443,33 +443,32 @@ class Deployment:
 
     def live(self, watch: bool = False, max_seconds: float | None = None) -> str:
         """Follow landed polls (`live_pbp/*`, `live_board/*`): what has landed, or, with `watch`,
-        until no game is live or about to start. The points go to the snapshot table."""
-        job, checkpoint = self.live_job(), f"{self.root}/live/checkpoints"
+        until no game is live or about to start. One stream reads both, so that each batch can open
+        games by the board, follow the feed, and then close games; after every batch its points are
+        in the snapshot table. A failure of the stream ends the run with its reason."""
+        job = self.live_job()
         events = documents.stream_documents(self.spark, f"{self.landing}/live_pbp", stats_feed.PLAY_BY_PLAY)
         boards = documents.stream_documents(self.spark, f"{self.landing}/live_board", stats_feed.SCOREBOARD)
-        following = live.run_documents(
-            events, lambda docs, n: job.process_events(live.feed_rows(docs), n), f"{checkpoint}/events", live.EVENTS_SECONDS, not watch
-        )
-        if not watch:
-            following.awaitTermination()
-        board = live.run_documents(
-            boards, lambda docs, n: job.process_board(live.board_rows(docs), n, self.tables), f"{checkpoint}/board", live.SCOREBOARD_SECONDS, not watch
+
+        def poll(docs: DataFrame, n: int) -> None:
+            feed, board = live.split_polls(docs)
+            job.process_poll(live.feed_rows(feed), live.board_rows(board), n, self.tables)
+
+        query = live.run_documents(
+            live.joint_polls(events, boards), poll, f"{self.root}/live/checkpoints/polls", live.EVENTS_SECONDS, not watch
         )
-        reason = "caught up"
         if watch:
             idle = lambda: not live.table_pending(self.tables.read("core.games"), self.now())
-            reason = live.run_until([following, board], idle, max_seconds)
-        else:
-            board.awaitTermination()
-        job.store(self.tables)
-        return reason
+            return live.run_until([query], idle, max_seconds)
+        query.awaitTermination()
+        return "caught up"
 
     def replay(self, game_ids: list[str]) -> int:
         """Run stored events of finished games through the live path, under source `replay`."""
         job = self.live_job("replay")
         events = self.tables.read("core.pbp_events").where(F.col("game_id").isin(game_ids))
-        job.replay(events)
-        job.store(self.tables)
+        points = job.replay(events).where(F.col("game_id").isin(game_ids))
+        job.store(self.tables, points, replace=True)
         return job.recorded().count()
 
     def publish(self, target_root: str) -> dict[str, int]:

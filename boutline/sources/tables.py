@@ -77,9 +77,9 @@ TABLES: dict[str, tuple[str, list[str], list[str]]] = {
     "serving.live_wp_snapshots": (
         "id long, game_id string, model_version string, action_id long, period int, clock_seconds double, "
         "elapsed_seconds double, score_home int, score_away int, possession int, home_win_prob double, "
-        "description string, created_at timestamp, source string",
+        "description string, created_at timestamp, source string, shard string",
         ["id"],
-        ["source"],
+        ["shard"],
     ),
     "serving.monitoring_runs": (
         "id long, run_at timestamp, model string, window string, model_version string, games long, logloss double, "
@@ -228,6 +228,13 @@ class Tables:
         old = old.where(F.col(partitions[0]).isin(touched))
         self._commit(name, upsert(old, new, keys + partitions, guard, update), "part")
 
+    def compact(self, name: str, most: int = 64) -> bool:
+        """Put a partitioned table of more than `most` commits into one, a file or few a partition."""
+        if len(self._commits(name)) <= most:
+            return False
+        self.replace(name, self.read(name).repartition(*TABLES[name][2]))
+        return True
+
     def rewrite(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
         """Replace the table by a function of itself (deletes, thinning)."""
         self.replace(name, change(self.read(name)))

@@ -5,8 +5,12 @@ states of the games it holds with the same operator that builds training states,
 what lies past the game's last emitted action. What must survive between batches (last action
 and probability, the pre-game estimate fixed at the start, the last state) is one row per open
 game in a small versioned table; a game whose final point is out stays there as finished, so that
-a feed sent again emits nothing, until the games table has it as final. All writes go to folders
-named after the batch, so a retried batch overwrites its own output."""
+a feed sent again emits nothing, until the games table has it as final. Feeds of known games that no board has
+called live yet wait beside it. All writes go to folders named after the batch, so a retried batch
+overwrites its own output.
+
+A poll holds a feed and a board. The board opens games first, then the feed is followed, then the
+board closes games: nothing is lost when one batch takes a game from scheduled to final."""
 
 from __future__ import annotations
 
@@ -22,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from boutline.operators.latest import latest_by
 from boutline.operators.states import STATE_COLUMNS, game_states, tip_off, with_times
 from boutline.operators.upsert import update_from_scoreboard
+from boutline.session import materialise
 from boutline.sources import stats_feed
 from boutline.sources.tables import Tables
 
@@ -32,6 +37,9 @@ MODEL_CHECK_SECONDS = 600
 # How far ahead a scheduled start keeps a time-limited run alive.
 PENDING_WITHIN = timedelta(hours=6)
 MESSAGE_POINTS = 500
+SNAPSHOTS = "serving.live_wp_snapshots"
+SHARDS = 256  # of the snapshot table, per source: a batch rewrites those of its games only
+KEPT_BATCHES = 3  # of recorded points, progress and waiting feeds
 
 FEED = (
     "game_id string, action_id long, period int, clock_seconds double, location string, action_type string, "
@@ -104,20 +112,29 @@ class LiveJob:
     def _progress_folder(self) -> str:
         return f"progress/{self.source}"
 
-    def progress(self, before: int | None = None) -> DataFrame:
-        """Open games as of the last committed batch (older than `before`)."""
-        known = [v for v in self._versions(self._progress_folder()) if before is None or v < before]
+    def _versioned(self, folder: str, schema: str, before: int | None) -> DataFrame:
+        known = [v for v in self._versions(folder) if before is None or v < before]
         if not known:
-            return self.spark.createDataFrame([], PROGRESS)
-        return self.spark.read.schema(PROGRESS).parquet(f"{self.root}/{self._progress_folder()}/batch={known[-1]}")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}/batch={known[-1]}")
 
-    def _save_progress(self, rows: DataFrame, batch_id: int) -> None:
-        folder = self._progress_folder()
+    def _save_version(self, folder: str, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{folder}/batch={batch_id}")
         path, fs = self._fs()
-        for old in self._versions(folder)[:-3]:
+        for old in self._versions(folder)[:-KEPT_BATCHES]:
             fs.delete(path(f"{self.root}/{folder}/batch={old}"), True)
 
+    def progress(self, before: int | None = None) -> DataFrame:
+        """Open games as of the last committed batch (older than `before`)."""
+        return self._versioned(self._progress_folder(), PROGRESS, before)
+
+    def _save_progress(self, rows: DataFrame, batch_id: int) -> None:
+        self._save_version(self._progress_folder(), rows, batch_id)
+
+    def waiting(self, before: int | None = None) -> DataFrame:
+        """Feed rows of known games that are still scheduled: the newest feed of each."""
+        return self._versioned(f"waiting/{self.source}", FEED, before)
+
     # ------------------------------------------------------------ events
 
     def tracked(self, events: DataFrame, progress: DataFrame) -> DataFrame:
@@ -158,15 +175,26 @@ class LiveJob:
 
     def process_events(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch of feed rows (for `foreachBatch`)."""
+        self._save_progress(self._followed(batch, batch_id), batch_id)
+
+    def _followed(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Write the points of a batch of feed rows and those that waited; the progress after it."""
         predict, version = self.model.get()
         progress = self.progress(before=batch_id)
-        tracked = self.tracked(batch, progress).persist()
+        columns = [f.split()[0] for f in FEED.split(", ")]
+        # A feed holds a game's whole list: the newest one replaces what waited.
+        older = self.waiting(before=batch_id).join(batch.select("game_id").distinct(), "game_id", "left_anti")
+        events = batch.select(*columns).unionByName(older.select(*columns)).persist()
+        tracked = self.tracked(events, progress).persist()
         try:
-            emitted = self.points(batch, tracked, predict)
+            emitted = self.points(events, tracked, predict)
             self._write_points(emitted, batch_id, version)
-            self._advance(tracked, progress, batch_id)
+            scheduled = self.games().where("status = 'scheduled'").select("game_id")
+            self._save_version(f"waiting/{self.source}", events.join(scheduled, "game_id", "left_semi").select(*columns), batch_id)
+            return materialise(self._advance(tracked, progress, batch_id), f"live/{self.source}")
         finally:
             tracked.unpersist()
+            events.unpersist()
 
     def _write_points(self, emitted: DataFrame, batch_id: int, version: str) -> None:
         spread = F.pmod(F.xxhash64("game_id", "action_id"), F.lit(1 << 32))
@@ -187,9 +215,9 @@ class LiveJob:
             "game_id", F.lit("points").alias("type"), F.lit(self.source).alias("source"), "part", "points"
         ).write.mode("overwrite").json(f"{self.root}/messages/source={self.source}/batch={batch_id}")
 
-    def _advance(self, tracked: DataFrame, progress: DataFrame, batch_id: int) -> None:
-        """Progress after the batch: moved games with their newest point. A finished game is dropped
-        once the games table has it as final."""
+    def _advance(self, tracked: DataFrame, progress: DataFrame, batch_id: int) -> DataFrame:
+        """Progress after the batch: moved games with their newest point. A game without news is
+        dropped once the games table has it as final."""
         new = self.spark.read.parquet(self._points_folder(batch_id))
         state = ["period", "clock_seconds", "score_home", "score_away", "possession", "description"]
         newest = latest_by(
@@ -200,9 +228,9 @@ class LiveJob:
         closed = self.games().where("status = 'final'").select("game_id", F.lit(True).alias("closed"))
         still = progress.join(moved.select("game_id"), "game_id", "left_anti").join(ended, "game_id", "left").join(closed, "game_id", "left")
         still = still.withColumn("finished", F.col("finished") | F.coalesce("ended", F.lit(False)))
-        still = still.where(~(F.col("finished") & F.coalesce("closed", F.lit(False))))
+        still = still.where("closed IS NULL")
         columns = [f.split()[0] for f in PROGRESS.split(", ")]
-        self._save_progress(still.select(*columns).unionByName(moved.select(*columns)), batch_id)
+        return still.select(*columns).unionByName(moved.select(*columns))
 
     def _points_folder(self, batch_id: int) -> str:
         return f"{self.root}/points/source={self.source}/batch={batch_id}"
@@ -212,10 +240,11 @@ class LiveJob:
     def known_board(self, board: DataFrame) -> DataFrame:
         return board.join(self.games().select("game_id"), "game_id", "left_semi")
 
-    def closing_points(self, board: DataFrame) -> DataFrame:
+    def closing_points(self, board: DataFrame, progress: DataFrame | None = None) -> DataFrame:
         """Certain final points of open games the board calls finished, from their last state."""
         ended = board.where("status = 'final'").select("game_id")
-        rows = self.progress().where("NOT finished").join(ended, "game_id", "left_semi")
+        progress = self.progress() if progress is None else progress
+        rows = progress.where("NOT finished").join(ended, "game_id", "left_semi")
         # A board is read again and again: what it has closed already stays closed.
         certain = self.recorded().groupBy("game_id").agg(F.max_by("home_win_prob", F.struct("action_id", "id")).alias("p"))
         rows = rows.join(certain.where("p IN (0.0, 1.0)").select("game_id"), "game_id", "left_anti")
@@ -223,19 +252,27 @@ class LiveJob:
         rows = with_times(rows.where(undecided).withColumnRenamed("last_action_id", "action_id"))
         return rows.withColumn("home_win_prob", (F.col("score_home") > F.col("score_away")).cast("double"))
 
-    def process_board(self, board: DataFrame, batch_id: int, tables: Tables) -> None:
+    def open_games(self, board: DataFrame, tables: Tables) -> None:
+        """Games that the board calls live or final and the table has as scheduled become live, so
+        that their feed is followed; the final status comes after the feed."""
+        started = board.where("status IN ('live', 'final')").select("game_id").distinct()
+        games = self.games().where("status = 'scheduled'").join(started, "game_id", "left_semi").select("game_id", "season")
+        if not games.isEmpty():
+            tables.upsert("core.games", games.withColumn("status", F.lit("live")), guard=lambda old, new: old("status") == "scheduled")
+
+    def process_board(self, board: DataFrame, batch_id: int, tables: Tables, progress: DataFrame | None = None) -> None:
         """One scoreboard batch: certain final points of ended games, then status and scores of
         known games in the games table, never of finished ones."""
         newest = latest_by(board, ["game_id"], ["arrival"]) if "arrival" in board.columns else board
         _, version = self.model.get()
-        closing = self.closing_points(newest)
+        closing = self.closing_points(newest, progress)
         spread = F.pmod(F.xxhash64("game_id", "action_id"), F.lit(1 << 32))
         closing.select(
             (F.lit((1 << 30) + batch_id).cast("long") * (1 << 32) + spread).alias("id"),  # after any batch of events
             *POINT,
             F.lit(version).alias("model_version"),
             F.lit(self.now()).alias("created_at"),
-        ).write.mode("overwrite").parquet(f"{self.root}/points/source={self.source}/board={batch_id}")
+        ).write.mode("overwrite").parquet(self._board_folder(batch_id))
         known = newest.where("status <> 'scheduled'").join(self.games().select("game_id", "season"), "game_id")
         tables.upsert(
             "core.games",
@@ -243,13 +280,53 @@ class LiveJob:
             guard=lambda old, new: old("status") != "final",
         )
 
-    def store(self, tables: Tables) -> None:
-        """Put the recorded points into the table that readers, monitoring and pruning use, in place
-        of what it has of the same games under this source."""
-        name = "serving.live_wp_snapshots"
-        mine = tables.conform(name, self.recorded().withColumn("source", F.lit(self.source)))
-        others = tables.read(name).where(F.col("source") == self.source).join(mine.select("game_id").distinct(), "game_id", "left_anti")
-        tables.replace_partitions(name, mine.unionByName(others.select(*mine.columns)))
+    def _board_folder(self, batch_id: int) -> str:
+        return f"{self.root}/points/source={self.source}/board={batch_id}"
+
+    def process_poll(self, events: DataFrame, board: DataFrame, batch_id: int, tables: Tables) -> None:
+        """One poll: open games, follow the feed, close games, and put the batch's points where
+        readers are. Every step may be repeated after a failure; what the table has by then stays."""
+        board = board.persist()
+        try:
+            self.open_games(board, tables)
+            progress = self._followed(events, batch_id)
+            self.process_board(board, batch_id, tables, progress)
+        finally:
+            board.unpersist()
+        closed = self.spark.read.parquet(self._board_folder(batch_id))
+        certain = closed.select("game_id", F.col("home_win_prob").alias("__certain"))
+        settled = progress.join(certain, "game_id", "left").withColumn("last_prob", F.coalesce("__certain", "last_prob"))
+        new = self.spark.read.schema(closed.schema).parquet(self._points_folder(batch_id)).unionByName(closed)
+        self.store(tables, latest_by(new, ["game_id", "action_id"], ["id"]))
+        tables.compact(SNAPSHOTS)
+        self._save_progress(settled.drop("__certain"), batch_id)
+        self.forget(batch_id)
+
+    def store(self, tables: Tables, points: DataFrame, replace: bool = False) -> None:
+        """Put points into the table that readers, monitoring and pruning use. A point of the same
+        action gives way to the newer one; with `replace` all older points of the games and source
+        do. Only the shards of these games are rewritten, and the same points again change nothing;
+        points that were pruned since do not come back."""
+        shard = F.concat_ws("-", F.lit(self.source), F.pmod(F.xxhash64("game_id"), F.lit(SHARDS)).cast("string"))
+        new = tables.conform(SNAPSHOTS, points.withColumn("source", F.lit(self.source)).withColumn("shard", shard))
+        new = materialise(new, f"live/{self.source}")
+        touched = [r[0] for r in new.select("shard").distinct().collect()]  # at most `SHARDS`
+        if not touched:
+            return
+        old = tables.read(SNAPSHOTS).where(F.col("shard").isin(touched))
+        if replace:
+            old = old.join(new.select("game_id").distinct(), "game_id", "left_anti").select(*new.columns)
+        merged = latest_by(old.unionByName(new), ["game_id", "source", "action_id"], ["id"])
+        tables.replace_partitions(SNAPSHOTS, merged.repartition("shard"))
+
+    def forget(self, batch_id: int) -> None:
+        """Delete recorded points of batches that are in the table for long."""
+        path, fs = self._fs()
+        folder = path(f"{self.root}/points/source={self.source}")
+        for status in fs.listStatus(folder) if fs.exists(folder) else []:
+            kind, _, number = status.getPath().getName().partition("=")
+            if kind in ("batch", "board") and int(number) <= batch_id - KEPT_BATCHES:
+                fs.delete(status.getPath(), True)
 
     def update_games(self, games: DataFrame, board: DataFrame) -> DataFrame:
         """Games with status and scores from the newest board rows; finished games stay."""
@@ -334,6 +411,17 @@ def board_rows(docs: DataFrame) -> DataFrame:
     return rows.select("game_id", "status", "home_score", "away_score", "tip_time_utc", "arrival")
 
 
+def joint_polls(events: DataFrame, boards: DataFrame) -> DataFrame:
+    """Streams of feed and board documents as one, so that a batch holds both in a known order."""
+    tagged = events.select(F.struct("*").alias("feed"))
+    return tagged.unionByName(boards.select(F.struct("*").alias("board")), allowMissingColumns=True)
+
+
+def split_polls(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Feed documents and board documents of a batch."""
+    return docs.where("feed IS NOT NULL").select("feed.*"), docs.where("board IS NOT NULL").select("board.*")
+
+
 def read_feed(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Landed feed polls as a stream. Every file holds the whole feed of its games."""
     return spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -380,6 +468,11 @@ def run_until(
             reason = "time limit"
             break
         queries[0].awaitTermination(check_s)
+        failed = [q for q in queries if not q.isActive and q.exception() is not None]
+        if failed:  # one dead stream ends the run, whichever it is
+            for q in queries:
+                q.stop()
+            raise failed[0].exception()
         if not any(q.isActive for q in queries):
             reason = "ended"
             break

@@ -219,3 +219,120 @@ def test_live_and_replay_jobs(spark, tmp_path, monkeypatch):
     assert at.replay(["0022900002"]) == 3 and at.replay(["0022900002"]) == 3
     by_source = {r["source"]: r["count"] for r in at.tables.read("serving.live_wp_snapshots").groupBy("source").count().collect()}
     assert by_source == {"live": 4, "replay": 3}
+
+
+FEED_GAME, OTHER = "0022900001", "0022900002"
+
+
+class Landing:
+    """Lands polls of one game for a deployment."""
+
+    def __init__(self, spark, tmp_path, status):
+        from boutline.plans.jobs import Deployment
+
+        self.at = Deployment(spark, str(tmp_path / "root"), str(tmp_path / "landing"), clock=lambda: datetime(2030, 1, 1, 12))
+        self.spark, self.tmp, self.moment = spark, tmp_path, 1_900_000_000
+        games = [(FEED_GAME, 2029, status, None, None), (OTHER, 2029, "final", 9, 8)]
+        self.at.tables.replace("core.games", spark.createDataFrame(games, "game_id string, season int, status string, home_score int, away_score int"))
+        for folder in ("live_pbp", "live_board"):
+            (tmp_path / "landing" / folder).mkdir(parents=True)
+
+    def put(self, path, doc):
+        import json
+        import os
+
+        self.moment += 10
+        file = self.tmp / "landing" / path
+        file.write_text(json.dumps(doc) if isinstance(doc, dict) else doc)
+        os.utime(file, (self.moment,) * 2)
+
+    def feed(self, name, n):
+        actions = [
+            {"actionId": i, "actionNumber": i, "period": 1, "clock": f"PT{11 - i:02d}M00.00S", "teamId": 1, "location": "h", "actionType": "Made Shot", "scoreHome": str(2 * i), "scoreAway": "0"}
+            for i in range(1, n + 1)
+        ]
+        self.put(f"live_pbp/{name}.json", {"game": {"gameId": FEED_GAME, "actions": actions}})
+
+    def board(self, name, status, home=0):
+        game = {"gameId": FEED_GAME, "gameStatus": status, "period": 4, "homeTeam": {"score": home}, "awayTeam": {"score": 0}, "gameTimeUTC": ""}
+        self.put(f"live_board/{name}.json", {"scoreboard": {"games": [game]}})
+
+    def points(self):
+        rows = self.at.tables.read("serving.live_wp_snapshots").collect()
+        assert len({(r["game_id"], r["source"], r["action_id"]) for r in rows}) == len(rows)
+        return {r["action_id"]: r["home_win_prob"] for r in rows}
+
+
+@pytest.fixture
+def landing(spark, tmp_path, monkeypatch):
+    from boutline.plans.jobs import Deployment
+
+    monkeypatch.setattr(Deployment, "_ingame_model", lambda self: (logistic(), "7"))
+    return lambda status: Landing(spark, tmp_path, status)
+
+
+def test_a_game_may_go_from_scheduled_to_final_in_one_run(landing):
+    on = landing("scheduled")
+    on.feed("a", 3)
+    on.board("a", 3, home=6)
+    on.at.live()
+    points = on.points()
+    assert sorted(points) == [0, 1, 2, 3] and points[3] == 1.0
+    assert {r["game_id"]: r["status"] for r in on.at.tables.read("core.games").collect()} == {FEED_GAME: "final", OTHER: "final"}
+
+
+def test_a_feed_waits_for_the_board(landing):
+    on = landing("scheduled")
+    on.feed("a", 2)
+    on.board("a", 1)
+    on.at.live()
+    assert on.points() == {}
+    on.board("b", 2)  # no feed is landed again
+    on.at.live()
+    assert sorted(on.points()) == [0, 1, 2]
+    on.board("c", 3, home=4)
+    on.at.live()
+    assert sorted(on.points()) == [0, 1, 2] and on.points()[2] == 1.0
+
+
+def test_readers_see_points_between_batches_and_pruning_stays(landing, spark):
+    from boutline.streaming.live import SNAPSHOTS
+
+    on = landing("live")
+    job = on.at.live_job()
+    empty = spark.createDataFrame([], "game_id string, status string, home_score int, away_score int, tip_time_utc timestamp, arrival struct<a:int>")
+    for batch, n in enumerate((2, 3, 5)):
+        rows = spark.createDataFrame([event(i, 2 * i, 0, game=FEED_GAME) for i in range(1, n + 1)], FEED)
+        for _ in range(2):  # a retried batch changes nothing
+            job.process_poll(rows, empty, batch, on.at.tables)
+            assert sorted(on.points()) == list(range(n + 1))
+    on.at.tables.rewrite(SNAPSHOTS, lambda points: points.where("action_id IN (0, 5)").repartition("shard"))
+    rows = spark.createDataFrame([event(i, 2 * i, 0, game=FEED_GAME) for i in range(1, 7)], FEED)
+    job.process_poll(rows, empty, 3, on.at.tables)
+    assert sorted(on.points()) == [0, 5, 6]
+    assert on.at.tables.compact(SNAPSHOTS, most=1) and sorted(on.points()) == [0, 5, 6]
+    assert len(on.at.tables._commits(SNAPSHOTS)) == 1
+    for batch in range(4, 8):
+        job.process_poll(rows, empty, batch, on.at.tables)
+    kept = {int(n.split("=")[1]) for n in on.at.tables._list(f"{job.root}/points/source=live")}
+    assert kept == {5, 6, 7}, "recorded batches do not grow without end"
+
+
+def test_a_dead_stream_ends_the_run():
+    class Query:
+        def __init__(self, error=None):
+            self.isActive, self.error, self.stopped = error is None, error, False
+
+        def awaitTermination(self, seconds):
+            return False
+
+        def exception(self):
+            return self.error
+
+        def stop(self):
+            self.stopped = True
+
+    healthy = Query()
+    with pytest.raises(RuntimeError, match="board"):
+        live.run_until([healthy, Query(RuntimeError("board stream"))], lambda: False)
+    assert healthy.stopped
