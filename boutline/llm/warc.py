@@ -135,11 +135,13 @@ def page_records(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFr
     first = raw.where(long).groupBy("html").agg(F.min(rank).alias("first"))
     digest = F.sha2("html", 256).alias("digest")
     first = first.select(digest, "first.page_id", "first.url", "html").withColumn("copy", F.lit(1))
+    # The same rows without texts: a second shuffle of them would cost as much as the first.
+    heads = raw.where(long).select(digest, rank.alias("rank")).groupBy("digest").agg(F.min("rank").alias("first"))
+    heads = heads.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     # Equal rows are counted, then told apart by a number.
     counted = raw.groupBy("page_id", "url", digest, F.when(long, F.lit(None)).otherwise(F.col("html")).alias("html")).agg(F.count(F.lit(1)).alias("n"))
     rows = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     short = rows.where("html IS NOT NULL").select("page_id", "url", "digest", "copy", "html")
-    heads = first.select("digest", F.col("page_id").alias("first_id"), F.col("url").alias("first_url"))
     later = rows.where("html IS NULL").join(heads, "digest")
     is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url")) & (F.col("copy") == 1)
     later = later.where(~is_first)
