@@ -7,12 +7,13 @@ streams each pool's sorted rows through a small fold, pools side by side; `rate_
 a pool too long for one task: games in which no team plays twice are independent of each other, so
 a date is one distributed join against the current ratings, or several if a team plays twice.
 
-A final game without both scores cannot be rated: like an unplayed one it gets the ratings before
-it and none after it, and `unrated` lists it."""
+A final game without both scores, or of a team against itself, cannot be rated: like an unplayed
+one it gets the ratings before it and none after it, and `unrated` lists it."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row
@@ -24,7 +25,7 @@ from boutline.session import fresh_path, materialise, shared_dir
 
 SIDES = ("home", "away")
 RATED = "game_id string, home_elo_pre double, away_elo_pre double, home_elo_post double, away_elo_post double"
-RATABLE = "status = 'final' AND home_score IS NOT NULL AND away_score IS NOT NULL"
+RATABLE = "status = 'final' AND home_score IS NOT NULL AND away_score IS NOT NULL AND home_team_id <> away_team_id"
 
 
 def _fold_pools(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +194,9 @@ def _rounds(games: DataFrame, days: list[Row], name: str) -> Iterator[DataFrame]
         while not left.isEmpty():
             team = F.explode(F.array(*[F.col(f"{s}_team_id").cast("string") for s in SIDES]))
             first = left.select("game_id", team.alias("t")).groupBy("t").agg(F.min("game_id").alias("game_id"))
-            both = first.groupBy("game_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("game_id")
+            sides = F.when(F.col("home_team_id") == F.col("away_team_id"), 1).otherwise(2)
+            both = first.groupBy("game_id").agg(F.count(F.lit(1)).alias("n")).join(left.select("game_id", sides.alias("sides")), "game_id")
+            both = both.where("n = sides").select("game_id")
             ready = materialise(left.join(both, "game_id", "left_semi"), f"{name}/ready")
             left = materialise(left.join(both, "game_id", "left_anti"), f"{name}/left")
             yield ready
@@ -206,6 +209,51 @@ def rate_games(games: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return stream_pools(games, start)
 
 
+def rating_inputs(games: DataFrame) -> DataFrame:
+    """(game_id, game_date, season, digest): what a game's rating depends on, to find out later
+    which games have changed."""
+    shown = [
+        F.coalesce(c.cast("string"), F.lit("<null>"))
+        for c in (
+            F.col("game_date"), F.col("season"), F.col("home_team_id"), F.col("away_team_id"), F.expr(RATABLE),
+            F.coalesce("is_neutral", F.lit(False)), F.col("home_score") - F.col("away_score"),
+        )
+    ]
+    return games.select("game_id", "game_date", "season", F.md5(F.concat_ws("|", *shown)).alias("digest"))
+
+
+def first_change(now: DataFrame, before: DataFrame) -> date | None:
+    """The day of the earliest game that is new, gone or not what it was (both as `rating_inputs`
+    gives them); None if none is."""
+    old = before.select(F.col("game_id").alias("old_id"), F.col("game_date").alias("old_date"), F.col("digest").alias("old_digest"))
+    both = now.join(old, F.col("game_id") == F.col("old_id"), "full_outer")
+    changed = both.where(~F.col("digest").eqNullSafe(F.col("old_digest")))
+    return changed.agg(F.min(F.least("game_date", "old_date"))).first()[0]
+
+
+def ratings_before(ratings: DataFrame, day: date) -> DataFrame:
+    """(team_id, rating, season): where stored rating rows leave each team before a day."""
+    played = ratings.where((F.col("game_date") < F.lit(day)) & F.col("elo_post").isNotNull())
+    newest = F.max_by(F.struct(F.col("elo_post").alias("rating"), "season"), F.struct("game_date", "game_id"))
+    return played.groupBy("team_id").agg(newest.alias("last")).select("team_id", "last.*")
+
+
+def rate_since(games: DataFrame, ratings: DataFrame, day: date | None) -> DataFrame:
+    """Ratings of all `games` when stored rating rows hold for every game before `day` (None: for
+    all): only games from that day on are folded, from the ratings before it."""
+    kept = games if day is None else games.where(F.col("game_date") < F.lit(day))
+    rows = kept.select("game_id", "home_team_id").join(ratings.select("game_id", "team_id", "elo_pre", "elo_post"), "game_id")
+    of = lambda home, c: F.max(F.when((F.col("team_id") == F.col("home_team_id")) == F.lit(home), F.col(c)))
+    stored = rows.groupBy("game_id").agg(
+        of(True, "elo_pre").alias("home_elo_pre"), of(False, "elo_pre").alias("away_elo_pre"),
+        of(True, "elo_post").alias("home_elo_post"), of(False, "elo_post").alias("away_elo_post"),
+    )
+    if day is None:
+        return stored
+    later = games.where(F.col("game_date") >= F.lit(day))
+    return stored.unionByName(rate_games(later, ratings_before(ratings, day)).select(*stored.columns))
+
+
 def unrated(games: DataFrame) -> DataFrame:
     """Final games that no rating can use: rejects for whoever loads them."""
     return games.where(f"status = 'final' AND NOT ({RATABLE})")

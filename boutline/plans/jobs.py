@@ -23,7 +23,7 @@ from boutline.functions.calendar import EASTERN
 from boutline.operators.evaluation import reliability
 from boutline.operators.features import build_features, features_as_json, features_from_json
 from boutline.operators.latest import latest_by
-from boutline.operators.ratings import rate_games, rating_rows
+from boutline.operators.ratings import first_change, rate_since, rating_inputs, rating_rows
 from boutline.operators.retention import prune
 from boutline.operators.states import training_states
 from boutline.operators.teamgames import prepare_games
@@ -281,14 +281,32 @@ class Deployment:
         arenas, moved = dimensions.arenas(self.spark), dimensions.relocations(self.spark)
         # All teams of a deployment may meet: one pool.
         prepared = prepare_games(games, arenas, moved, dimensions.SHARED_SITE).withColumn("pool", F.lit("league"))
-        rated = materialise(rate_games(prepared), f"rated/{uuid.uuid4()}")
+        # Only games from the earliest changed one on are rated again.
+        stored, inputs = self.tables.read("features.elo_ratings"), materialise(rating_inputs(prepared), f"rating_inputs/{uuid.uuid4()}")
+        day = first_change(inputs, self.tables.read("features.rating_inputs"))
+        rated = materialise(rate_since(prepared, stored, day), f"rated/{uuid.uuid4()}")
         built = build_features(games, stats, arenas, moved, dimensions.SHARED_SITE, rated)
         features = materialise(built, f"features/{uuid.uuid4()}")
         if save:
-            self.tables.replace("features.elo_ratings", rating_rows(games, rated))
+            self._save_ratings(games, rated, inputs, day)
             self.tables.replace("features.game_features", features_as_json(features))
         return features
 
+    def _save_ratings(self, games: DataFrame, rated: DataFrame, inputs: DataFrame, day: date | None) -> None:
+        """Rewrite the seasons in which ratings may have moved; all, if games are gone."""
+        if day is None:
+            return
+        rows, before = rating_rows(games, rated), self.tables.read("features.rating_inputs")
+        gone = [before.join(inputs, c, "left_anti") for c in ("game_id", "season")]
+        if before.isEmpty() or not all(g.isEmpty() for g in gone):
+            self.tables.replace("features.elo_ratings", rows)
+        else:
+            # A game that moved to another day may have left a season: rows of both are written.
+            moved = inputs.where(F.col("game_date") >= F.lit(day)).select("season")
+            moved = moved.unionByName(before.where(F.col("game_date") >= F.lit(day)).select("season")).distinct()
+            self.tables.replace_partitions("features.elo_ratings", rows.join(moved, "season", "left_semi").select(*rows.columns))
+        self.tables.replace("features.rating_inputs", inputs)
+
     # ------------------------------------------------------------ models
 
     def train_pregame(self, today: date) -> registry.Registration:

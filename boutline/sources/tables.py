@@ -62,6 +62,11 @@ TABLES: dict[str, tuple[str, list[str], list[str]]] = {
         ["game_id", "team_id"],
         ["season"],
     ),
+    "features.rating_inputs": (
+        "game_id string, game_date date, season int, digest string",
+        ["game_id"],
+        [],
+    ),
     "serving.model_versions": (
         "version string, run_id string, feature_version string, calibration string, train_seasons string, "
         "backtest string, importance map<string,double>, first_used_at timestamp",

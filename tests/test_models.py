@@ -270,6 +270,10 @@ def test_jobs_end_to_end(spark, league, tmp_path):
     assert counts["serving.predictions"] == n and counts["core.games"] == at.tables.read("core.games").count()
     assert registry.production_version(Tables(spark, str(tmp_path / "published")), registry.PREGAME) == 1
     assert at.daily(today).startswith("2 succeeded")
+    # Nothing has changed since: no game is rated again, no rating is written.
+    version = at.tables.version("features.elo_ratings")
+    at.build_features()
+    assert at.tables.version("features.elo_ratings") == version
 
 
 def test_second_provider_day(spark, tmp_path):

@@ -4,6 +4,7 @@ import math
 import random
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +293,56 @@ def test_league_keeps_every_order(spark, league):
         for r in league.prepared().collect()
     ]
     assert_rated(ratings.rate_games(league.prepared()), brute_elo(listed))
+
+
+def test_ratings_from_the_earliest_change_on_equal_the_whole_fold(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    schema = "game_id string, game_date date, season int, home_team_id long, away_team_id long, status string, home_score int, away_score int, is_neutral boolean"
+
+    def game(i, day):
+        home, away = rng.permutation(8)[:2].tolist()
+        played = day < 60
+        return [f"g{i:03}", date(2000, 1, 1) + timedelta(days=day * 7), 2000 + day // 25, home, away, "final" if played else "scheduled", *(rng.integers(80, 120, 2).tolist() if played else (None, None)), False]
+
+    games = {r[0]: r for r in (game(i, i // 3) for i in range(200))}
+    frame = lambda rows: spark.createDataFrame([tuple(r) for r in rows.values()], schema).withColumn("pool", F.lit("p"))
+    folded = []
+    real = ratings.stream_pools
+    monkeypatch.setattr(ratings, "stream_pools", lambda g, start=None: folded.append(g.count()) or real(g, start))
+    columns = ["game_id", "home_elo_pre", "away_elo_pre", "home_elo_post", "away_elo_post"]
+    values = lambda df: {r["game_id"]: tuple(r) for r in df.select(columns).collect()}
+    stored = ratings.rating_rows(frame(games), real(frame(games))).cache()
+    before = ratings.rating_inputs(frame(games)).cache()
+
+    def since(changed):
+        day = ratings.first_change(ratings.rating_inputs(frame(changed)), before)
+        got, want = values(ratings.rate_since(frame(changed), stored, day)), values(real(frame(changed)))
+        assert got.keys() == want.keys()
+        for key, row in want.items():
+            assert got[key] == pytest.approx(row), key
+        return day
+
+    assert since(games) is None and folded == []
+    late = {**games, "new": game(999, 40)}
+    late["new"][0] = "new"
+    other = {**games, "g100": [*games["g100"][:6], 70, 150, False]}
+    gone = {k: v for k, v in games.items() if k != "g030"}
+    moved = {**games, "g120": [games["g120"][0], date(2000, 2, 1), *games["g120"][2:]]}
+    for changed, first in ((late, late["new"][1]), (other, games["g100"][1]), (gone, games["g030"][1]), (moved, date(2000, 2, 1))):
+        assert since(changed) == first
+        assert folded.pop() == sum(r[1] >= first for r in changed.values())
+    # A new fixture of the future: only what comes from that day on is folded.
+    future = {**games, "zz": game(998, 66)}
+    future["zz"][0] = "zz"
+    since(future)
+    assert folded.pop() <= 4
+
+
+def test_a_team_against_itself_is_not_rated(spark):
+    rows = [("a", date(2000, 1, 1), 2000, 1, 1, "final", 9, 8), ("b", date(2000, 1, 1), 2000, 1, 2, "final", 9, 8)]
+    games = spark.createDataFrame(rows, "game_id string, game_date date, season int, home_team_id long, away_team_id long, status string, home_score int, away_score int")
+    games = games.select("*", F.lit(False).alias("is_neutral"), F.lit("p").alias("pool"))
+    for form in (ratings.stream_pools(games), ratings.rate_in_rounds(games, name="t-itself")):
+        got = {r["game_id"]: r for r in form.collect()}
+        assert got["a"]["home_elo_post"] is None and got["b"]["home_elo_post"] > got["b"]["home_elo_pre"] == 1500.0
+    assert [r["game_id"] for r in ratings.unrated(games).collect()] == ["a"]
