@@ -29,6 +29,7 @@ from boutline.operators.upsert import update_from_scoreboard
 from boutline.session import materialise
 from boutline.sources import stats_feed
 from boutline.sources.tables import Tables
+from boutline.streaming import changes
 
 # Seconds between scoreboard reads, event reads and model checks.
 SCOREBOARD_SECONDS = 30
@@ -36,7 +37,6 @@ EVENTS_SECONDS = 10
 MODEL_CHECK_SECONDS = 600
 # How far ahead a scheduled start keeps a time-limited run alive.
 PENDING_WITHIN = timedelta(hours=6)
-MESSAGE_POINTS = 500
 SNAPSHOTS = "serving.live_wp_snapshots"
 SHARDS = 256  # of the snapshot table, per source: a batch rewrites those of its games only
 KEPT_BATCHES = 3  # of recorded points, progress and waiting feeds
@@ -47,7 +47,7 @@ FEED = (
 )
 PROGRESS = (
     "game_id string, pregame_prob double, last_action_id long, last_prob double, period int, clock_seconds double, "
-    "score_home int, score_away int, possession int, description string, finished boolean"
+    "score_home int, score_away int, possession int, description string, finished boolean, sent long"
 )
 POINT = [
     "game_id", "action_id", "period", "clock_seconds", "elapsed_seconds", "score_home", "score_away",
@@ -144,12 +144,12 @@ class LiveJob:
         starting = self.estimates(
             self.games().where("status = 'live'").join(final.select("game_id"), "game_id", "left_semi")
         ).select("game_id", F.col("pregame_prob").alias("__estimate"))
-        open_games = progress.where("NOT finished").select("game_id", "pregame_prob", "last_action_id", "last_prob")
+        open_games = progress.where("NOT finished").select("game_id", "pregame_prob", "last_action_id", "last_prob", "sent")
         done = progress.where("finished").select("game_id")
         joined = final.join(done, "game_id", "left_anti").join(open_games, "game_id", "left").join(starting, "game_id", "left")
         kept = joined.where(F.col("last_action_id").isNotNull() | F.col("__estimate").isNotNull())
         return kept.select(
-            "game_id", "final", F.coalesce("pregame_prob", "__estimate").alias("pregame_prob"), "last_action_id", "last_prob"
+            "game_id", "final", F.coalesce("pregame_prob", "__estimate").alias("pregame_prob"), "last_action_id", "last_prob", "sent"
         )
 
     def points(self, events: DataFrame, tracked: DataFrame, predict: Predict) -> DataFrame:
@@ -188,7 +188,7 @@ class LiveJob:
         tracked = self.tracked(events, progress).persist()
         try:
             emitted = self.points(events, tracked, predict)
-            self._write_points(emitted, batch_id, version)
+            self._write_points(emitted, batch_id, version, tracked.select("game_id", "sent"))
             scheduled = self.games().where("status = 'scheduled'").select("game_id")
             self._save_version(f"waiting/{self.source}", events.join(scheduled, "game_id", "left_semi").select(*columns), batch_id)
             return materialise(self._advance(tracked, progress, batch_id), f"live/{self.source}")
@@ -196,7 +196,7 @@ class LiveJob:
             tracked.unpersist()
             events.unpersist()
 
-    def _write_points(self, emitted: DataFrame, batch_id: int, version: str) -> None:
+    def _write_points(self, emitted: DataFrame, batch_id: int, version: str, sent: DataFrame) -> None:
         spread = F.pmod(F.xxhash64("game_id", "action_id"), F.lit(1 << 32))
         rows = emitted.select(
             (F.lit(batch_id).cast("long") * (1 << 32) + spread).alias("id"),
@@ -206,14 +206,12 @@ class LiveJob:
         )
         rows.write.mode("overwrite").parquet(self._points_folder(batch_id))
         written = self.spark.read.schema(rows.schema).parquet(self._points_folder(batch_id))
-        # Long point lists are cut into several messages, so no game becomes one huge row.
-        part = F.floor(F.col("action_id") / MESSAGE_POINTS)
-        messages = written.groupBy("game_id", part.alias("part")).agg(
-            F.to_json(F.sort_array(F.collect_list(F.struct("action_id", *[c for c in POINT if c not in ("game_id", "action_id")])))).alias("points")
-        )
-        messages.select(
-            "game_id", F.lit("points").alias("type"), F.lit(self.source).alias("source"), "part", "points"
-        ).write.mode("overwrite").json(f"{self.root}/messages/source={self.source}/batch={batch_id}")
+        self._tell(written, changes.POINTS, batch_id, sent)
+
+    def _tell(self, points: DataFrame, kind: str, batch_id: int, sent: DataFrame) -> None:
+        """Messages of a batch's points; `sent` (game_id, sent) is each game's message before."""
+        told = changes.messages_of(points, kind, changes.sequence(batch_id, kind), self.source, sent)
+        told.write.mode("overwrite").json(f"{self.root}/messages/source={self.source}/{kind}={batch_id}")
 
     def _advance(self, tracked: DataFrame, progress: DataFrame, batch_id: int) -> DataFrame:
         """Progress after the batch: moved games with their newest point. A game without news is
@@ -224,6 +222,7 @@ class LiveJob:
             new.select("game_id", "action_id", F.col("home_win_prob").alias("last_prob"), *state), ["game_id"], ["action_id"]
         ).withColumnRenamed("action_id", "last_action_id")
         moved = newest.join(tracked.select("game_id", "pregame_prob", F.col("final").alias("finished")), "game_id")
+        moved = moved.withColumn("sent", F.lit(changes.sequence(batch_id, changes.POINTS)))
         ended = tracked.where("final").select("game_id", F.lit(True).alias("ended"))
         closed = self.games().where("status = 'final'").select("game_id", F.lit(True).alias("closed"))
         still = progress.join(moved.select("game_id"), "game_id", "left_anti").join(ended, "game_id", "left").join(closed, "game_id", "left")
@@ -294,8 +293,11 @@ class LiveJob:
         finally:
             board.unpersist()
         closed = self.spark.read.parquet(self._board_folder(batch_id))
+        self._tell(closed, changes.CLOSING, batch_id, progress.select("game_id", "sent"))
         certain = closed.select("game_id", F.col("home_win_prob").alias("__certain"))
-        settled = progress.join(certain, "game_id", "left").withColumn("last_prob", F.coalesce("__certain", "last_prob"))
+        settled = progress.join(certain, "game_id", "left")
+        last = F.when(F.col("__certain").isNotNull(), F.lit(changes.sequence(batch_id, changes.CLOSING))).otherwise(F.col("sent"))
+        settled = settled.withColumn("sent", last).withColumn("last_prob", F.coalesce("__certain", "last_prob"))
         new = self.spark.read.schema(closed.schema).parquet(self._points_folder(batch_id)).unionByName(closed)
         self.store(tables, latest_by(new, ["game_id", "action_id"], ["id"]))
         tables.compact(SNAPSHOTS)
@@ -350,8 +352,14 @@ class LiveJob:
         return latest_by(rows, ["game_id", "action_id"], ["id"])
 
     def messages(self) -> DataFrame:
-        schema = "game_id string, type string, source string, part long, points string"
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").json(f"{self.root}/messages")
+        """The change log so far: see `changes`."""
+        return self.spark.read.schema(changes.MESSAGE).option("recursiveFileLookup", "true").json(f"{self.root}/messages")
+
+    def snapshot(self, points: DataFrame) -> DataFrame:
+        """A snapshot message for every game of a series (`points` of this source as stored), with
+        the message up to which it is complete."""
+        sent = self.progress().select("game_id", "sent")
+        return changes.snapshot_of(points.where(F.col("source") == self.source), self.source, sent)
 
     # ------------------------------------------------------------ running
 
@@ -376,13 +384,14 @@ class LiveJob:
             F.lit(None).cast("long").alias("last_action_id"),
             F.lit(None).cast("double").alias("last_prob"),
         )
-        self.reset(games)
+        told = self.reset(games)
         batch_id = max([*self._versions(f"points/source={self.source}"), -1]) + 1
-        self._write_points(self.points(feed, tracked, predict), batch_id, version)
+        self._write_points(self.points(feed, tracked, predict), batch_id, version, games.withColumn("sent", F.lit(told)))
         return self.recorded()
 
-    def reset(self, games: DataFrame) -> None:
-        """Drop the recorded points of `games` under this source and tell subscribers."""
+    def reset(self, games: DataFrame) -> int:
+        """Drop the recorded points of `games` under this source and tell subscribers; the number of
+        that message."""
         kept = self._versions(f"points/source={self.source}")
         if kept:
             rows = self.recorded().join(games, "game_id", "left_anti")
@@ -392,9 +401,11 @@ class LiveJob:
             for old in kept:
                 fs.delete(path(self._points_folder(old)), True)
         stamp = max([*kept, -1]) + 1
-        games.select("game_id", F.lit("reset").alias("type"), F.lit(self.source).alias("source")).write.mode(
-            "overwrite"
-        ).json(f"{self.root}/messages/source={self.source}/reset={stamp}")
+        number = changes.sequence(stamp, changes.RESET)
+        changes.resets_of(games, number, self.source).write.mode("overwrite").json(
+            f"{self.root}/messages/source={self.source}/{changes.RESET}={stamp}"
+        )
+        return number
 
 
 def feed_rows(docs: DataFrame) -> DataFrame:

@@ -336,3 +336,41 @@ def test_a_dead_stream_ends_the_run():
     with pytest.raises(RuntimeError, match="board"):
         live.run_until([healthy, Query(RuntimeError("board stream"))], lambda: False)
     assert healthy.stopped
+
+
+def test_the_change_log_in_any_order_gives_the_stored_series(landing, spark):
+    import random
+
+    from boutline.streaming import changes
+    from boutline.streaming.live import SNAPSHOTS
+
+    on = landing("live")
+    job = on.at.live_job()
+    board = "game_id string, status string, home_score int, away_score int, tip_time_utc timestamp, arrival struct<a:int>"
+    for batch, n in enumerate((2, 2, 4, 700)):
+        rows = spark.createDataFrame([event(i, 1 + i % 3, 0, game=FEED_GAME) for i in range(1, n + 1)], FEED)
+        ended = [(FEED_GAME, "final", 2, 0, None, (1,))] if batch == 3 else []
+        job.process_poll(rows, spark.createDataFrame(ended, board), batch, on.at.tables)
+        if batch == 2:
+            early = [r.asDict() for r in job.snapshot(on.at.tables.read(SNAPSHOTS)).collect()]
+    log = [r.asDict() for r in job.messages().collect()]
+    assert sorted({(r["type"], r["seq"], r["previous"]) for r in log}, key=str) == [("closing", 14, 13), ("points", 1, None), ("points", 13, 9), ("points", 9, 1)]
+    assert len(early) == 1 and early[0]["seq"] == 9 and sum(r["seq"] == 13 for r in log) == 2
+    frame = lambda rows: spark.createDataFrame([tuple(r[f.split()[0]] for f in changes.MESSAGE.split(", ")) for r in rows], changes.MESSAGE)
+    series = lambda df: sorted((r["action_id"], r["home_win_prob"], r["score_home"]) for r in df.collect())
+    want = series(on.at.tables.read(SNAPSHOTS))
+    assert len(want) == 701 and want[-1][1] == 1.0
+    rng = random.Random(1)
+    late = [r for r in log if r["seq"] > 9]
+    for start in (log, [*early, *late], [*early, *log]):
+        mixed = start + rng.sample(start, 2)
+        rng.shuffle(mixed)
+        assert series(changes.read_series(frame(mixed))) == want
+        assert changes.gaps(frame(mixed)).collect() == []
+    lost = [r for r in log if r["seq"] != 9]
+    assert {(r["seq"], r["missing"]) for r in changes.gaps(frame(lost)).collect()} == {(13, 9)}
+    cut = [r for r in log if (r["seq"], r["part"]) != (13, 1)]
+    assert {(r["seq"], r["missing"]) for r in changes.gaps(frame(cut)).collect()} == {(13, 13)}
+    # A reset starts the series anew, and a snapshot from before it no longer counts.
+    again = [{**log[0], "type": "reset", "seq": 16, "previous": None, "part": None, "parts": None, "points": None}]
+    assert changes.read_series(frame([*early, *log, *again])).collect() == []
