@@ -101,7 +101,8 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     are drawn, so only rows that repeat are shuffled. An empty table gives an empty result."""
     inner = [f"__mix_{i}" for i in range(len(docs.columns))]  # no name of the table can clash
     rated = materialise(_rated(docs), "mix_rated")
-    rates = rated.groupBy("__source").agg(F.max("rate").alias("rate"))  # one row a source
+    # One row a source, written: a plan that knows its size does not shuffle the texts by source.
+    rates = materialise(rated.groupBy("__source").agg(F.max("rate").alias("rate")), "mix_rates")
     again = rated.where("n > 1").select("__key", "rate", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("number"))
     again = again.groupBy("__key").agg(F.sum(copies(F.col("__key"), F.col("number"), F.col("rate"), seed)).alias("copies"))
     again = small(materialise(again, "mix_repeated"))
