@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def inner_names(*names: str) -> Callable:
+    """For a function of `docs` and more that returns rows with the columns of `docs` and uses `names`
+    for columns of its own: columns of `docs` with those names are called otherwise meanwhile."""
+
+    def around(operate: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operate)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            taken, shown = {c.lower() for c in (*docs.columns, *names)}, []
+            for column in docs.columns:
+                name = column
+                while name.lower() in taken and column.lower() in names:
+                    name += "_"
+                taken.add(name.lower())
+                shown.append(name)
+            return operate(docs.toDF(*shown) if shown != docs.columns else docs, *args, **options).toDF(*docs.columns)
+
+        return run
+
+    return around
+
+
 # ------------------------------------------------------------------ column expressions
 
 
@@ -55,7 +77,8 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 def text_slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of about `most` bytes of text and at most `rows` rows, at least one."""
+    """Cut batches into slices of about `most` bytes of text and at most `rows` rows, at least one.
+    After the last, the worker, which later tasks may use again, gives unused memory back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,6 +90,7 @@ def text_slices(
             stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def space_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.common import mixed, runs_of, small, space_words, text_key, text_slices, whole_runs, word_hashes
+from boutline.llm.common import inner_names, mixed, runs_of, small, space_words, text_key, text_slices, whole_runs, word_hashes
 from boutline.llm.components import components
 from boutline.session import materialise
 
@@ -270,13 +270,16 @@ def jaccard_join(docs: DataFrame, words_in: int = 5, percent: int = 80) -> DataF
     return found.select("doc", "doc_id", "n_shingles", own.alias("component_id"), "class", F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"))
 
 
+@inner_names("__doc")
 def keep_one(docs: DataFrame, words_in: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without all but one row of every group: the one with the smallest id (and, of equal
-    ids, the smallest content key) stays. Rows without shingles or id all stay."""
+    ids, the smallest content key) stays. Rows without shingles or id, such as NULL and empty texts, all
+    stay; of repeated rows one stays; an empty table gives an empty result."""
     keyed = docs.withColumn("__doc", text_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     found = materialise(jaccard_join(docs, words_in, percent).where("`group` IS NOT NULL").select("doc", "doc_id", "group"), "groups")
-    stays = found.groupBy("group").agg(F.min(F.struct("doc_id", "doc")).alias("m")).select("group", F.col("m.doc").alias("stay"))
-    gone = materialise(found.join(stays, "group").where("doc <> stay").select(F.col("doc").alias("__doc")).distinct(), "near_copies")
+    stays = materialise(found.groupBy("group").agg(F.min(F.struct("doc_id", "doc")).alias("m")).select(F.col("m.doc").alias("doc")), "stays")
+    # A row's content belongs to one group: rows meet those that stay by content, so that no group meets in one task.
+    gone = materialise(found.select("doc").distinct().join(stays, "doc", "left_anti").select(F.col("doc").alias("__doc")), "near_copies")
     kept = keyed.join(small(gone), "__doc", "left_anti")
     # Repeated rows have one key: they are reduced apart, so that no other text is shuffled.
     repeated = materialise(found.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc").alias("__doc")), "repeated_rows")

@@ -8,6 +8,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutline.llm.common import inner_names
+
 # Each pattern reads a text once. `access` and `hex` ask for their least length outright: a run is
 # matched from its start to its end either way.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -159,9 +161,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return _spans_added(rows).select("doc_id", F.col("__spans").alias("spans"))
 
 
+@inner_names("__text", "__assign", "__access", "__hex", "__candidates", "__base", "__spans")
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """`docs` with `mark` in place of every span; overlapping spans get one mark. NULL texts and
-    texts without secrets stay as they are; `n_chars`, if there, follows the text."""
+    texts without secrets stay as they are, repeated rows are treated alike, an empty table gives an empty
+    result; `n_chars`, if there, follows the text."""
     original = docs.withColumn("__text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
 
     def step(acc: Column, x: Column) -> Column:
