@@ -7,12 +7,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.common import NOT_LATIN, lower_ascii, small, split_words, text_key
+from boutline.llm.common import NOT_LATIN, inner_names, lower_ascii, small, split_words, text_key
 from boutline.session import materialise
 
 WINDOW = 10  # consecutive words of an item
 SLACK = 3  # words by which a proximity match may be off
 BUCKET = 16  # positions are joined by stretches of so many words
+STRETCH = 256  # words of a document that verification reads at once, besides those of one window
 
 
 def _words(text: Column) -> Column:
@@ -36,20 +37,26 @@ def document_terms(docs: DataFrame) -> DataFrame:
     return each.select("doc", "doc_id", "n_words", "pos", F.xxhash64("word").alias("term"))
 
 
-def choose_anchors(terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, a_at, a_term, b_at, b_term): the two rarest words of each window of each item, by
-    occurrences in the corpus. Windows that share both give one row."""
+def item_windows(terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, item_id, s, a_at, a_term, b_at, b_term, phrase): the different windows of each item, where
+    each stands first, its words, and its two rarest words by occurrences in the corpus (ties: by word,
+    then place)."""
     counted = terms.join(counts, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     line = counted.groupBy("item").agg(
-        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "c", "term"))).alias("line")
+        F.first("item_id").alias("item_id"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "c", "word", "term"))).alias("line")
     )
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))
-    by_window = line.select("item", "line", F.explode(starts).alias("s"))
-    rare = F.array_sort(F.transform(F.slice("line", F.col("s") + 1, window), lambda x: F.struct(x["c"], x["term"], x["at"])))
-    picked = by_window.select("item", rare[0].alias("a"), F.coalesce(F.get(rare, F.lit(1)), rare[0]).alias("b"))
-    return picked.select(
-        "item", F.col("a.at").alias("a_at"), F.col("a.term").alias("a_term"), F.col("b.at").alias("b_at"), F.col("b.term").alias("b_term")
-    ).distinct()
+    parts = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("line", s + 1, window).alias("part")))
+    cut = line.select("item", "item_id", F.explode(parts).alias("w")).select("item", "item_id", "w.s", "w.part")
+    rare = F.array_sort(F.transform("part", lambda x: F.struct(x["c"], x["word"], x["at"], x["term"])))
+    place = lambda x, name: F.struct(x["at"].alias("at"), x["term"].alias("term")).alias(name)
+    ranked = cut.select("item", "item_id", "s", F.transform("part", lambda x: x["word"]).alias("phrase"), rare.alias("rare"))
+    picked = ranked.select("item", "item_id", "phrase", "s", place(F.col("rare")[0], "a"), place(F.coalesce(F.get("rare", F.lit(1)), F.col("rare")[0]), "b"))
+    # A window that an item repeats is sought once: every place where it stands is found by its first.
+    first = picked.groupBy("item", "item_id", "phrase").agg(F.min(F.struct("s", "a", "b")).alias("m"))
+    return first.select(
+        "item", "item_id", "m.s", F.col("m.a.at").alias("a_at"), F.col("m.a.term").alias("a_term"), F.col("m.b.at").alias("b_at"), F.col("m.b.term").alias("b_term"), "phrase"
+    )
 
 
 def positional_index(docs: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -62,44 +69,42 @@ def positional_index(docs: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def aligned(index: DataFrame, anchors: DataFrame, slack: int = SLACK) -> DataFrame:
-    """(doc, item, shift, off): places where the rarest word of a window stands in a document, and
-    the second rarest `off` words away from where it should (0: in its place).
+    """(doc, item, a_at, b_at, shift, off): places where the rarest word of a window stands in a
+    document, and the second rarest `off` words away from where it should (0: in its place).
 
     The rarest word's postings, moved by its offset in the item, are intersected with those of the
     second rarest by document, word and stretch of positions."""
     postings = index.where("term IS NOT NULL").select("doc", "term", "pos").distinct()
     first = postings.join(small(anchors), F.col("term") == F.col("a_term")).select(
-        "doc", "item", (F.col("pos") - F.col("a_at")).alias("shift"), (F.col("pos") - F.col("a_at") + F.col("b_at")).alias("due"), "b_term"
+        "doc", "item", "a_at", "b_at", (F.col("pos") - F.col("a_at")).alias("shift"), (F.col("pos") - F.col("a_at") + F.col("b_at")).alias("due"), "b_term"
     )
     stretches = F.array_distinct(F.array(*[F.floor((F.col("due") + d) / BUCKET) for d in (-slack, slack)]))
     asked = first.withColumn("stretch", F.explode(stretches))
     there = postings.select(F.col("doc").alias("d"), F.col("term").alias("t"), "pos", F.floor(F.col("pos") / BUCKET).alias("p"))
     met = asked.join(there, (F.col("doc") == F.col("d")) & (F.col("b_term") == F.col("t")) & (F.col("stretch") == F.col("p")))
     off = F.abs(F.col("pos") - F.col("due"))
-    return met.where(off <= slack).select("doc", "item", "shift", off.alias("off"))
+    return met.where(off <= slack).select("doc", "item", "a_at", "b_at", "shift", off.alias("off"))
 
 
-def phrases(docs: DataFrame, terms: DataFrame, candidates: DataFrame, window: int = WINDOW) -> DataFrame:
+def phrases(docs: DataFrame, windows: DataFrame, candidates: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, item_id, start, length): windows of items that stand in a document word by word.
 
-    Only documents with a candidate are read again; a document and its candidates meet by a
-    shuffle of those documents."""
-    lists = materialise(candidates.groupBy("doc").agg(F.collect_set(F.struct("item", "shift")).alias("found")), "candidates")
+    `candidates` has doc, item, a_at, b_at and shift. Only documents with a candidate are read again,
+    in stretches; a candidate meets the one stretch in which it starts, so that the work follows the
+    length of a document and the number of its candidates, not their product."""
+    tried = candidates.join(windows, ["item", "a_at", "b_at"]).select("doc", "item_id", (F.col("shift") + F.col("s")).alias("start"), "phrase")
+    tried = tried.where("start >= 0").withColumn("stretch", F.floor(F.col("start") / STRETCH).cast("int"))
+    listed = materialise(candidates.select("doc").distinct(), "candidate_documents")
     keyed = docs.select(text_key("doc_id", "text").alias("doc"), "text")
-    chosen = keyed.join(small(lists.select("doc")), "doc", "left_semi").dropDuplicates(["doc"])
-    lines = terms.groupBy("item").agg(
-        F.first("item_id").alias("item_id"),
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("line"),
+    chosen = keyed.join(small(listed), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", _words(F.col("text")).alias("words"))
+    last = F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / STRETCH).cast("int")
+    parts = F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("stretch"), F.slice("words", i * STRETCH + 1, STRETCH + window).alias("part"))
     )
-    pairs = chosen.join(lists, "doc").select("doc", _words(F.col("text")).alias("words"), F.explode("found").alias("f"))
-    tried = pairs.select("doc", "words", F.col("f.item").alias("item"), F.col("f.shift").alias("shift")).join(lines, "item")
-    length = F.least(F.size("line"), F.lit(window))
-    starts = F.sequence(F.lit(0), F.size("line") - length)
-    placed = tried.select("doc", "item_id", "words", "line", "shift", length.alias("length"), F.explode(starts).alias("s"))
-    start = F.col("shift") + F.col("s")
-    inside = placed.where((start >= 0) & (start + F.col("length") <= F.size("words")))
-    equal = F.slice("words", start + 1, F.col("length")) == F.slice("line", F.col("s") + 1, F.col("length"))
-    return inside.where(equal).select("doc", "item_id", start.alias("start"), "length")
+    stretches = chosen.select("doc", F.explode(parts).alias("x")).select("doc", "x.stretch", "x.part")
+    length = F.size("phrase")
+    equal = F.slice("part", F.col("start") - F.col("stretch") * STRETCH + 1, length) == F.col("phrase")
+    return tried.join(stretches, ["doc", "stretch"]).where(equal).select("doc", "item_id", "start", length.alias("length"))
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK) -> tuple[DataFrame, DataFrame]:
@@ -115,12 +120,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
     vocabulary = materialise(terms.select(F.col("term").alias("t")).distinct(), "benchmark_vocabulary")
     spoken = document_terms(docs).where("pos IS NOT NULL").join(small(vocabulary), F.col("term") == F.col("t"))
     counts = spoken.groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    anchors = materialise(choose_anchors(terms, counts, window), "anchors")
+    windows = materialise(item_windows(terms, counts, window), "item_windows")
+    anchors = materialise(windows.select("item", "a_at", "a_term", "b_at", "b_term").distinct(), "anchors")
     index = positional_index(docs, anchors)
-    places = materialise(aligned(index, anchors, slack).groupBy("doc", "item", "shift").agg(F.min("off").alias("off")), "aligned")
-    exact = materialise(phrases(docs, terms, places.where("off = 0"), window).distinct(), "phrases")
+    places = materialise(aligned(index, anchors, slack).groupBy("doc", "item", "a_at", "b_at", "shift").agg(F.min("off").alias("off")), "aligned")
+    exact = materialise(phrases(docs, windows, places.where("off = 0"), window).distinct(), "phrases")
     ids = terms.select("item", "item_id").distinct()
-    near = places.join(ids, "item").join(
+    near = places.select("doc", "item", "shift").distinct().join(ids, "item").join(
         exact.select("doc", "item_id").distinct(), ["doc", "item_id"], "left_anti"
     ).select("doc", "item_id", F.lit("near").alias("kind"), F.col("shift").alias("start"), F.lit(None).cast("int").alias("length"))
     return index, exact.select("doc", "item_id", F.lit("phrase").alias("kind"), "start", "length").unionByName(near)
@@ -153,8 +159,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
 
 
+@inner_names("__doc")
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` without the rows in which a window of an item stands word by word."""
+    """`docs` without the rows in which a window of an item stands word by word. NULL and empty texts
+    stay; repeated rows go or stay alike; empty tables give an empty result or all of `docs`."""
     _, matches = find_matches(docs, benchmark, window)
     found = materialise(matches.where("kind = 'phrase'").select(F.col("doc").alias("__doc")).distinct(), "contaminated")
     keyed = docs.withColumn("__doc", text_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
