@@ -23,8 +23,9 @@ from boutline.session import materialise
 WINDOW = 50  # words
 GRAM = 8  # words of a minimiser's m-gram
 MOST_WINDOWS = 256  # of one packed string; longer runs (a repeated word) are cut
-HOT_WINDOWS = 2_000_000  # windows (44 bytes each) of a bucket beyond which they are dealt by content
+HOT_WINDOWS = 2_000_000  # windows (about 120 bytes each while sorted) of a bucket beyond which they are dealt by content
 SORTED_AT_ONCE = 200_000  # windows of small buckets sorted together
+PACKED_BYTES = 1 << 20  # of packed strings whose windows are digested at once
 
 
 def minimisers(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -105,17 +106,17 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
-def _windows(packed: str, window: int) -> list[str]:
-    """The windows of a packed string, each as a part of it."""
-    ends = list(accumulate(len(w) + 1 for w in packed.split(" ")))
-    return [packed[start : end - 1] for start, end in zip([0, *ends], ends[window - 1 :])]
+def _windows(packed: bytes, window: int) -> Iterator[bytes]:
+    """The windows of a packed string, one after the other."""
+    ends = list(accumulate(len(w) + 1 for w in packed.split(b" ")))
+    return (packed[start : end - 1] for start, end in zip([0, *ends], ends[window - 1 :]))
 
 
-def _contents(packed: list[str], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit digests of all windows of packed strings (two columns), and windows per string."""
-    windows = [_windows(p, window) for p in packed]
-    digests = b"".join(xxhash.xxh3_128_digest(w) for ws in windows for w in ws)
-    return np.frombuffer(digests, np.uint64).reshape(-1, 2), np.fromiter(map(len, windows), np.int64, len(windows))
+def _contents(packed: pa.Array, window: int) -> np.ndarray:
+    """128-bit digests of all windows of packed strings (two columns), one after the other."""
+    strings = packed.cast(pa.binary()).to_pylist()
+    digests = b"".join(xxhash.xxh3_128_digest(w) for p in strings for w in _windows(p, window))
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)
 
 
 def first_owners(strings: DataFrame, window: int, hot: int = HOT_WINDOWS) -> DataFrame:
@@ -125,44 +126,55 @@ def first_owners(strings: DataFrame, window: int, hot: int = HOT_WINDOWS) -> Dat
     `strings` has one row per distinct string: string (its key), minimiser, packed, last (its
     windows less one) and first (its smallest document id). Each bucket is sorted by the digests
     of its windows, so that equal windows are neighbours. A bucket of more than `hot` windows is
-    dealt out by content instead; its smallest ids are found per task before the shuffle, so that
-    neither such a bucket nor one of its windows meets in one task."""
+    dealt out by content instead: smallest ids are found per task before the shuffle, and where one
+    window's many places meet its id, adaptive execution splits them."""
     sizes = strings.groupBy("minimiser").agg(F.sum(F.col("last") + 1).alias("windows"))
     too_large = materialise(sizes.where(F.col("windows") > hot).select("minimiser"), "hot_buckets")
 
-    def sorted_owners(packed: list[str], string: list[int], first: list[int]) -> pa.RecordBatch:
-        content, sizes = _contents(packed, window)
-        of = np.repeat(np.arange(len(packed)), sizes)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = np.array(first, np.int64)[of]
+    def sorted_owners(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """`parts`: per slice the digests of its windows, and per string its key, first and windows."""
+        if not parts:
+            return _batch(schema, [])
+        content, string, first, sizes = (np.concatenate(x) for x in zip(*parts))
+        of = np.repeat(np.arange(len(string)), sizes)
+        ids = first[of]
         order = np.lexsort((ids, content[:, 1], content[:, 0]))
         content, ids = content[order], ids[order]
         new = np.ones(len(order), bool)
         new[1:] = (content[1:] != content[:-1]).any(axis=1)
-        owner = ids[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else ids
+        owner = ids[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         taken = np.flatnonzero(owner < ids)
         at = order[taken]
-        columns = [pa.array(np.array(string, np.int64)[of[at]]), pa.array(nth[at]), pa.array(owner[taken])]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+        nth = at - (np.cumsum(sizes) - sizes)[of[at]]
+        return pa.RecordBatch.from_arrays([pa.array(string[of[at]]), pa.array(nth), pa.array(owner[taken])], schema=schema)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; small buckets are sorted together, none is cut."""
+        """Rows come sorted by bucket; small buckets are sorted together, none is cut. Of what has come
+        only digests, keys and ids are held."""
         last, n = None, 0
-        packed, string, first = [], [], []
-        for batch in batches:
-            for bucket, s, f, p, more in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "string", "first", "packed", "last"))):
-                if bucket != last and n > SORTED_AT_ONCE:
-                    yield sorted_owners(packed, string, first)
-                    packed, string, first, n = [], [], [], 0
-                packed.append(p)
-                string.append(s)
-                first.append(f)
-                last, n = bucket, n + more + 1
-        yield sorted_owners(packed, string, first)
+        held: list[tuple[np.ndarray, ...]] = []
+        for part in text_slices(batches, "packed", PACKED_BYTES):
+            content = _contents(part.column("packed"), window)
+            bucket, string, first, more = (part.column(c).to_numpy() for c in ("minimiser", "string", "first", "last"))
+            sizes = more + 1
+            ends = np.cumsum(sizes)
+            # Where buckets begin, and where those held are sorted first.
+            opens = np.flatnonzero(np.concatenate([[last is None or bucket[0] != last], bucket[1:] != bucket[:-1]]))
+            begin = 0
+            for at in opens.tolist():
+                before = int(ends[at - 1] - (ends[begin - 1] if begin else 0)) if at else 0
+                if n + before > SORTED_AT_ONCE:
+                    held.append((content[ends[begin - 1] if begin else 0 : ends[at - 1] if at else 0], string[begin:at], first[begin:at], sizes[begin:at]))
+                    yield sorted_owners(held)
+                    held, n, begin = [], 0, at
+            rest = int(ends[begin - 1]) if begin else 0
+            held.append((content[rest:].copy(), string[begin:].copy(), first[begin:].copy(), sizes[begin:].copy()))
+            n, last = n + len(content) - rest, bucket[-1]
+        yield sorted_owners(held)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "packed", 1 << 20):
-            content, sizes = _contents(part.column("packed").to_pylist(), window)
+        for part in text_slices(batches, "packed", PACKED_BYTES):
+            content, sizes = _contents(part.column("packed"), window), part.column("last").to_numpy() + 1
             of = np.repeat(np.arange(part.num_rows), sizes)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             rows = pa.array(of)
@@ -176,8 +188,8 @@ def first_owners(strings: DataFrame, window: int, hot: int = HOT_WINDOWS) -> Dat
     usual = strings.join(small(too_large), "minimiser", "left_anti").select("minimiser", "string", "first", "packed", "last")
     usual = usual.repartition("minimiser").sortWithinPartitions("minimiser")
     settled = usual.mapInArrow(settle, "string long, nth long, owner long")
-    dealt = strings.join(small(too_large), "minimiser", "left_semi").select("string", "first", "packed")
-    dealt = dealt.mapInArrow(deal, "string long, nth long, first long, high long, low long")
+    dealt = strings.join(small(too_large), "minimiser", "left_semi").select("string", "first", "last", "packed")
+    dealt = materialise(dealt.mapInArrow(deal, "string long, nth long, first long, high long, low long"), "dealt_windows")
     owners = dealt.groupBy("high", "low").agg(F.min("first").alias("owner"))
     return settled.unionByName(dealt.join(owners, ["high", "low"]).where("owner < first").select("string", "nth", "owner"))
 
