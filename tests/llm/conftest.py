@@ -6,6 +6,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that the operators use inside: tables may carry columns of these names.
 CLASHING = ["doc", "row", "words", "pos", "term", "found", "score", "size", "target", "rate", "class", "group", "spans", "kept", "n_words"]
+CLASHING += ["__doc", "__text", "__spans", "__base", "__source", "__rate", "__copies"]
 
 
 @pytest.fixture(scope="session")

@@ -114,6 +114,27 @@ def test_decontamination_repeated_words(spark):
     assert [r.n_hit for r in decontaminate.contamination(frame(spark, [(1, text)]), empty).collect()] == [0]
 
 
+def test_decontamination_against_every_window(spark):
+    """Few different words, so that windows repeat inside items and texts, also across stretches."""
+    rng = random.Random(17)
+    draw = lambda n, words: [rng.choice(words) for _ in range(n)]
+    items = [["na"] * 14, ["a", "b"] * 9, draw(30, "ab"), draw(4, "xyz"), draw(12, "pqrs") * 2]
+    rows = [["na"] * 700, ["b", "a"] * 300, draw(900, "ab"), draw(40, "xyz"), draw(250, "pqrs") + items[4][3:20] + draw(20, "pqrs"), []]
+    want = {}
+    for i, w in enumerate(rows):
+        hit, found = set(), set()
+        for k, item in enumerate(items):
+            n = min(10, len(item))
+            phrases = {tuple(item[s : s + n]) for s in range(len(item) - n + 1)}
+            at = [s for s in range(len(w) - n + 1) if tuple(w[s : s + n]) in phrases]
+            hit |= {p for s in at for p in range(s, s + n)}
+            found |= {k} if at else set()
+        want[i] = (len(w), len(hit), len(found))
+    benchmark = frame(spark, [(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = decontaminate.contamination(frame(spark, [(i, " ".join(w)) for i, w in enumerate(rows)]), benchmark).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in got} == want
+
+
 # ------------------------------------------------------------------ repeated passages
 
 
