@@ -54,20 +54,29 @@ def build_features(
     """Model features per game, final or scheduled; nothing from the game's own date or later
     enters. `rated` takes ratings computed elsewhere (incrementally, or read back)."""
     prepared = prepare_games(games, arenas, relocations, shared)
+    wide = wide_form(prepared, stats)
+    return join_features(prepared, rate_games(prepared) if rated is None else rated, wide)
+
+
+def wide_form(prepared: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row per prepared game: form and schedule load of both sides."""
     per_team = [f for f in TEAM_FEATURES if f != "elo_pre"]
     narrow = prepared.select(
         "game_id", "season", "game_date", "status", "site_lat", "site_lon",
         "home_team_id", "away_team_id", "home_score", "away_score",
     )
     sides = team_features(narrow, stats).select("game_id", "is_home", *per_team)
-    wide = sides.groupBy("game_id").agg(
+    return sides.groupBy("game_id").agg(
         *[
             F.expr(f"max(CASE WHEN is_home = {home} THEN {f} END) AS {side}_{f}")
             for side, home in (("home", "true"), ("away", "false"))
             for f in per_team
         ]
     )
-    rated = rate_games(prepared) if rated is None else rated
+
+
+def join_features(prepared: DataFrame, rated: DataFrame, wide: DataFrame) -> DataFrame:
+    """Feature rows of prepared games from their ratings and form."""
     out = (
         prepared.select(*GAME_COLUMNS, *[F.col(f).cast("double").alias(f) for f in GAME_FEATURES])
         .join(rated, "game_id")
@@ -89,10 +98,10 @@ def labelled(features: DataFrame, first_season: int) -> DataFrame:
     return features.where((F.col("status") == "final") & (F.col("season") >= first_season))
 
 
-def features_as_json(features: DataFrame, version: str = FEATURE_VERSION) -> DataFrame:
-    """Feature columns as one JSON document per game; NULLs stay as JSON nulls."""
+def features_as_json(features: DataFrame, version: str = FEATURE_VERSION, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Feature columns as one JSON document per game, beside columns to `keep`; NULLs stay as JSON nulls."""
     document = F.to_json(F.struct(*MODEL_FEATURES), {"ignoreNullFields": "false"})
-    return features.select("game_id", F.lit(version).alias("feature_version"), document.alias("features"))
+    return features.select("game_id", F.lit(version).alias("feature_version"), document.alias("features"), *keep)
 
 
 def features_from_json(documents: DataFrame) -> DataFrame:

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.functions.calendar import EASTERN
+from boutline.operators import incremental
 from boutline.operators.evaluation import reliability
-from boutline.operators.features import build_features, features_as_json, features_from_json
+from boutline.operators.features import FEATURE_VERSION, build_features, features_as_json, features_from_json
 from boutline.operators.latest import latest_by
 from boutline.operators.ratings import first_change, rate_since, rating_inputs, rating_rows
 from boutline.operators.retention import prune
@@ -31,12 +32,13 @@ from boutline.operators.upsert import final_stays_final, mark_tasks, request_key
 from boutline.plans import backtest, ingame, ingest, monitor, registry, rules, scoring
 from boutline.session import local_session, materialise
 from boutline.sources import board_feed, dimensions, documents, stats_feed
-from boutline.sources.tables import PUBLISHED, Tables
+from boutline.sources.tables import PUBLISHED, TABLES, Tables
 from boutline.streaming import live
 
 DETAIL_CHARS = 2000
 MINTED_PREFIX = "ext-"
 LANDED = ("schedule", "gamelog", "pbp", "board", "summary")
+RESPONSES, LOADED = "raw.api_responses", "raw.loaded_documents"
 
 
 def eastern_day(now: datetime) -> date:
@@ -92,12 +94,48 @@ class Deployment:
         write("success", None if result is None else str(result), self.now())
         return result
 
+    def _stored(self, kind: str, parts: list[str]) -> DataFrame:
+        """Stored documents of the wanted partitions (seasons or days) of one landing folder."""
+        slots = [f"{kind}-{p.replace('=', '-')}" for p in parts]
+        return self.tables.read(RESPONSES).where(F.col("slot").isin(slots)).withColumnRenamed("fetched_at", "fetched")
+
+    def _unloaded(self, kind: str, parts: list[str]) -> DataFrame:
+        """(slot, subject, document, fetched) of stored documents that no ingestion has loaded yet."""
+        stored = self._stored(kind, parts).select("slot", "subject", "document", "fetched")
+        slots = [f"{kind}-{p.replace('=', '-')}" for p in parts]
+        loaded = self.tables.read(LOADED).where(F.col("slot").isin(slots)).select("document", F.col("fetched_at").alias("fetched"))
+        return stored.join(loaded, ["document", "fetched"], "left_anti")
+
     def _documents(self, kind: str, parts: list[str], schema: str) -> DataFrame | None:
-        """Documents of the wanted partitions (seasons or days) of one landing folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.landing).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = [f"{self.landing}/{kind}/{p}" for p in parts if fs.exists(path(f"{self.landing}/{kind}/{p}"))]
-        return documents.read_documents(self.spark, found, schema) if found else None
+        """All stored documents of the partitions, parsed; None without any."""
+        stored = self._stored(kind, parts)
+        return None if not parts or stored.isEmpty() else documents.parse_texts(stored, schema)
+
+    def _changed(self, kind: str, parts: list[str], force: bool = False) -> list[str]:
+        """The partitions with a document that no ingestion has loaded yet; all, if forced."""
+        if force:
+            return parts
+        slots = {r[0] for r in self._unloaded(kind, parts).select("slot").distinct().collect()}  # seasons or days asked for
+        return [p for p in parts if f"{kind}-{p.replace('=', '-')}" in slots]
+
+    def _loaded(self, docs: DataFrame) -> None:
+        """Note documents (document, fetched) as loaded, after their rows and marks are written."""
+        known = self.tables.read(LOADED).select("slot", "document", "fetched_at")
+        found = docs.select(documents.slot_of(F.col("document")).alias("slot"), "document", F.col("fetched").alias("fetched_at"))
+        fresh = found.distinct().join(known, known.columns, "left_anti")
+        self.tables.append(LOADED, fresh.withColumn("loaded_at", F.lit(self.now())))
+
+    def _mark_again(self, keys: DataFrame) -> DataFrame:
+        """Record one more attempt of tasks whose documents are those already loaded, with the same outcome."""
+        ledger = self.tables.read("raw.ingestion_runs").join(keys.select("task_key").distinct(), "task_key", "left_semi")
+        again = ledger.select("task_key", "status", "rows", "error", F.lit(self.now()).alias("updated_at"))
+        again = materialise(again, f"marks/{uuid.uuid4()}")
+        if not again.isEmpty():
+            self.tables.rewrite("raw.ingestion_runs", lambda old: mark_tasks(old, again))
+        return again
+
+    def _keys(self, keys: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(k,) for k in keys], "task_key string")
 
     def _mark(self, marks: DataFrame) -> DataFrame:
         """Record one mark per task: it failed if any of its documents failed."""
@@ -122,31 +160,43 @@ class Deployment:
 
     # ------------------------------------------------------------ ingestion
 
-    def land(self, kinds: tuple[str, ...] = LANDED) -> int:
-        """Copy landed documents into the table of raw responses, the newest of each request. The
-        request is the document's folder and name up to the first dot or @."""
+    def land(self, kinds: tuple[str, ...] = LANDED, parts: list[str] | None = None) -> int:
+        """Store landed documents (of `parts` such as `season=2030`, or all) that are not stored as they are
+        now: told by path, time and size from a listing, so that only new ones are opened. A request is the
+        document's folder and name up to the first dot or @; every version stays, and what is loaded once
+        is never read from the landing folder again. Returns the number of requests stored."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = path(self.landing).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = [f"{self.landing}/{kind}" for kind in kinds if fs.exists(path(f"{self.landing}/{kind}"))]
-        if not found:
-            return 0
-        texts = self.spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(found)
-        named = texts.select(
-            F.regexp_extract("_metadata.file_path", r"([^/]+)/(\w+=\w+)/([^/@.]+)[^/]*$", 1).alias("endpoint"),
-            F.regexp_extract("_metadata.file_path", r"([^/]+)/(\w+=\w+)/([^/@.]+)[^/]*$", 2).alias("part"),
-            F.regexp_extract("_metadata.file_path", r"([^/]+)/(\w+=\w+)/([^/@.]+)[^/]*$", 3).alias("name"),
-            F.col("_metadata.file_modification_time").alias("fetched_at"),
-            F.col("_metadata.file_path").alias("document"),
-            F.col("value").alias("payload"),
-        )
-        params = F.create_map(F.lit("part"), F.col("part"), F.lit("name"), F.col("name"))
-        keyed = named.select(
-            request_key(F.lit("landing"), F.col("endpoint"), params).alias("request_key"),
-            F.lit("landing").alias("source"), "endpoint", params.alias("params"), "fetched_at", "document", "payload",
-        )
-        newest = latest_by(keyed, ["request_key"], ["fetched_at", "document"]).drop("document")
-        self.tables.upsert("raw.api_responses", newest)
-        return self.tables.read("raw.api_responses").count()
+        folders = [f"{self.landing}/{kind}{'' if p is None else '/' + p}" for kind in kinds for p in (parts or [None])]
+        found = [f for f in folders if fs.exists(path(f))]
+        if found:
+            self._store_new(found)
+        return self.tables.read(RESPONSES).select("request_key").distinct().count()
+
+    def _store_new(self, folders: list[str]) -> None:
+        known = self.tables.read(RESPONSES).select("document", F.col("fetched_at").alias("fetched"), "bytes")
+        fresh = documents.list_files(self.spark, folders).join(known, ["document", "fetched", "bytes"], "left_anti")
+        fresh = materialise(fresh.where(documents.slot_of(F.col("document")) != ""), f"fresh/{uuid.uuid4()}")
+        oldest = fresh.agg(F.min(F.unix_micros("fetched"))).first()[0]
+        if oldest is None:
+            return
+        # Only folders with something new, and there no file older than the oldest new one.
+        place = [F.regexp_extract("document", documents.PLACE, i).alias(n) for i, n in ((1, "k"), (2, "n"), (3, "v"))]
+        changed = fresh.select(*place).distinct().collect()  # kinds by seasons or days
+        texts = documents.read_texts(self.spark, [f"{self.landing}/{r['k']}/{r['n']}={r['v']}" for r in changed], oldest)
+        texts = texts.join(fresh.select("document"), "document", "left_semi")
+        endpoint, part = (F.regexp_extract("document", documents.PLACE, i) for i in (1, 2))
+        part = F.concat_ws("=", part, F.regexp_extract("document", documents.PLACE, 3))
+        name = documents.name_of(F.col("document"))
+        params = F.create_map(F.lit("part"), part, F.lit("name"), name)
+        # A feed of events says itself which game it is of.
+        named = F.when(endpoint == "pbp", F.get_json_object("payload", "$.game.gameId"))
+        self.tables.append(RESPONSES, texts.select(
+            request_key(F.lit("landing"), endpoint, params).alias("request_key"),
+            F.lit("landing").alias("source"), endpoint.alias("endpoint"), params.alias("params"),
+            F.coalesce(named, name).alias("subject"), "document", F.col("fetched").alias("fetched_at"), "bytes",
+            F.sha2("payload", 256).alias("checksum"), "payload", documents.slot_of(F.col("document")).alias("slot"),
+        ))
 
     def seed_teams(self) -> None:
         self.tables.upsert("core.teams", dimensions.teams(self.spark))
@@ -171,20 +221,29 @@ class Deployment:
         self.seed_teams()
         current = season_of_day(today)
         seasons = list(range(first, last + 1))
+        kinds = ("schedule", *(("gamelog",) if logs else ()), *(("pbp",) if events else ()))
+        self.land(kinds, [f"season={s}" for s in seasons])
         marks = []
         season_key = F.regexp_extract("document", r"season=(\d+)", 1)
 
-        wanted = self._pending("schedule", seasons, lambda s: not force and s < current)
-        docs = self._documents("schedule", [f"season={s}" for s in wanted], stats_feed.SCHEDULE)
+        wanted = [f"season={s}" for s in self._pending("schedule", seasons, lambda s: not force and s < current)]
+        scheduled = self._changed("schedule", wanted, force)
+        same = [f"schedule:{p[7:]}" for p in wanted if p not in scheduled]
+        docs = self._documents("schedule", scheduled, stats_feed.SCHEDULE)
         if docs is not None:
             self.tables.upsert("core.games", stats_feed.parse_schedule(docs), guard=final_stays_final)
             size = F.size("leagueSchedule.gameDates")
             marks.append(self._mark(documents.outcomes(docs, "leagueSchedule", F.concat(F.lit("schedule:"), season_key), size)))
+            self._loaded(docs)
 
-        wanted = self._pending("gamelog", seasons, lambda s: not force and s < current) if logs else []
-        docs = self._documents("gamelog", [f"season={s}" for s in wanted], stats_feed.GAME_LOG)
+        wanted = [f"season={s}" for s in self._pending("gamelog", seasons, lambda s: not force and s < current)] if logs else []
+        # A log is read again with a new schedule too: that may name the home side of more games.
+        logged = sorted({*self._changed("gamelog", wanted, force), *(p for p in scheduled if p in wanted)})
+        same += [f"gamelog:{p[7:]}" for p in wanted if p not in logged]
+        docs = self._documents("gamelog", logged, stats_feed.GAME_LOG)
         if docs is not None:
-            known = self.tables.read("core.games").where(F.col("season").isin(wanted)).select("game_id", "home_team_id")
+            of = [int(p[7:]) for p in logged]
+            known = self.tables.read("core.games").where(F.col("season").isin(of)).select("game_id", "home_team_id")
             games, stats, rejects = stats_feed.parse_game_logs(docs, known)
             # Written once, then merged twice.
             games = materialise(games, f"gamelog/{uuid.uuid4()}")
@@ -194,39 +253,54 @@ class Deployment:
             self._reject("game log", rejects.select(F.col("game_id").alias("subject"), "reason"))
             size = F.size(F.col("resultSets")[0]["rowSet"])
             marks.append(self._mark(documents.outcomes(docs, "resultSets", F.concat(F.lit("gamelog:"), season_key), size)))
+            self._loaded(docs)
 
+        if same:
+            marks.append(self._mark_again(self._keys(same)))
         if events:
-            docs = self._documents("pbp", [f"season={s}" for s in seasons], stats_feed.PLAY_BY_PLAY)
-            if docs is not None:
-                marks.append(self._load_events(docs, first, last, force))
+            marks.append(self._load_events(seasons, force))
         out = marks[0] if marks else self.tables.read("raw.ingestion_runs").limit(0)
         for more in marks[1:]:
-            out = out.unionByName(more)
+            out = out.unionByName(more, allowMissingColumns=True)
         return out
 
     def ingest_games(self, game_ids: list[str]) -> DataFrame:
         """Play-by-play of the named games, loaded again if they have it already."""
         games = self.tables.read("core.games").where(F.col("game_id").isin(game_ids))
         seasons = [r[0] for r in games.select("season").distinct().collect()]  # of the games named
-        docs = self._documents("pbp", [f"season={s}" for s in seasons], stats_feed.PLAY_BY_PLAY)
-        if docs is None:
+        if not seasons:
             return self.tables.read("raw.ingestion_runs").limit(0)
-        return self._load_events(docs, min(seasons), max(seasons), True, game_ids)
+        self.land(("pbp",), [f"season={s}" for s in seasons])
+        return self._load_events(seasons, True, game_ids)
 
-    def _load_events(self, docs: DataFrame, first: int, last: int, force: bool, only: list[str] | None = None) -> DataFrame:
+    def _load_events(self, seasons: list[int], force: bool, only: list[str] | None = None) -> DataFrame:
+        """Events of finished games that have none yet (all, if forced) and of which a document came
+        in; failed tasks without a new document are marked again as they were."""
+        first, last = min(seasons), max(seasons)
         games = self.tables.read("core.games").where("status = 'final'").where(F.col("season").between(first, last))
         if only is not None:
             games = games.where(F.col("game_id").isin(only))
         wanted = games if force else ingest.games_missing_events(games, self.tables.read("raw.ingestion_runs"), first, last)
-        named = docs.withColumn("__game", F.coalesce("game.gameId", F.regexp_extract("document", r"/([^/.@]+)[^/]*$", 1)))
-        chosen = documents.newest_documents(
-            named.join(wanted.select(F.col("game_id").alias("__game"), "season"), "__game").drop("season"), F.col("__game")
-        )
-        marks = documents.outcomes(chosen, "game", F.concat(F.lit("pbp:"), "__game"), F.size("game.actions"))
+        parts = [f"season={s}" for s in seasons]
+        stored = self._stored("pbp", parts)
+        have = stored.select("subject", "document", "fetched").join(wanted.select(F.col("game_id").alias("subject")), "subject", "left_semi")
+        fresh = have if force else have.join(self._unloaded("pbp", parts).select("subject"), "subject", "left_semi")
+        newest = materialise(documents.newest_documents(fresh, F.col("subject")), f"wanted/{uuid.uuid4()}")
+        old = have.join(newest.select("subject"), "subject", "left_anti")
+        again = self._mark_again(old.select(F.concat(F.lit("pbp:"), "subject").alias("task_key")))
+        if newest.isEmpty():
+            return again
+        texts = stored.join(newest.select("document", "fetched"), ["document", "fetched"], "left_semi")
+        docs = documents.parse_texts(texts, stats_feed.PLAY_BY_PLAY)
+        docs = docs.join(newest.select("document", "fetched", F.col("subject").alias("__game")), ["document", "fetched"])
+        marks = documents.outcomes(docs, "game", F.concat(F.lit("pbp:"), "__game"), F.size("game.actions"))
         marks = materialise(marks, f"marks/{uuid.uuid4()}")
-        rows = stats_feed.parse_play_by_play(chosen).join(games.select("game_id", "season"), "game_id")
+        rows = stats_feed.parse_play_by_play(docs).join(games.select("game_id", "season"), "game_id")
         self.tables.upsert("core.pbp_events", rows)
-        return self._mark(marks)
+        marks = self._mark(marks)
+        # Older versions of a game's document are settled with its newest.
+        self._loaded(stored.join(newest.select("subject"), "subject", "left_semi"))
+        return marks.unionByName(again)
 
     def ingest_board(self, today: date, events: bool = True) -> DataFrame:
         """Second provider's daily run: recent and stale days, then boxes and plays of finished
@@ -244,22 +318,36 @@ class Deployment:
     def _load_days(self, days: list[date]) -> None:
         self.seed_teams()
         games = self.tables.read("core.games")
-        docs = self._documents("board", [f"day={d:%Y%m%d}" for d in days], board_feed.SCOREBOARD)
+        parts = [f"day={d:%Y%m%d}" for d in days]
+        if not parts:
+            return
+        self.land(("board",), parts)
+        changed = self._changed("board", parts)
+        self._mark_again(self._keys([f"day:{p[4:]}" for p in parts if p not in changed]))
+        docs = self._documents("board", changed, board_feed.SCOREBOARD)
         if docs is not None:
             feed = board_feed.parse_scoreboard(docs)
             rows = resolve_ids(feed, games, MINTED_PREFIX).drop("document", "period", "clock")
             self.tables.upsert("core.games", materialise(rows, f"board/{uuid.uuid4()}"), guard=final_stays_final)
             day_key = F.regexp_extract("document", r"day=(\d+)", 1)
             self._mark(documents.outcomes(docs, "events", F.concat(F.lit("day:"), day_key), F.size("events")))
+            self._loaded(docs)
 
     def ingest_summaries(self, season: int, events: bool = True) -> DataFrame:
         missing = ingest.games_missing_box(self.tables.read("core.games"), self.tables.read("core.team_game_stats"), season)
-        docs = self._documents("summary", [f"season={season}"], board_feed.SUMMARY)
-        if docs is None:
-            return self.tables.read("raw.ingestion_runs").limit(0)
-        named = docs.withColumn("game_id", F.regexp_extract("document", r"/([^/.@]+)[^/]*$", 1))
-        named = documents.newest_documents(named, F.col("game_id"))
-        chosen = named.join(missing.select("game_id"), "game_id", "left_semi")
+        part = [f"season={season}"]
+        self.land(("summary",), part)
+        stored = self._stored("summary", part)
+        have = stored.select("subject", "document", "fetched").join(missing.select(F.col("game_id").alias("subject")), "subject", "left_semi")
+        fresh = have.join(self._unloaded("summary", part).select("subject"), "subject", "left_semi")
+        newest = materialise(documents.newest_documents(fresh, F.col("subject")), f"wanted/{uuid.uuid4()}")
+        old = have.join(newest.select("subject"), "subject", "left_anti")
+        again = self._mark_again(old.select(F.concat(F.lit("game:"), "subject").alias("task_key")))
+        if newest.isEmpty():
+            return again
+        texts = stored.join(newest.select("document", "fetched"), ["document", "fetched"], "left_semi")
+        chosen = documents.parse_texts(texts, board_feed.SUMMARY)
+        chosen = chosen.join(newest.select("document", "fetched", F.col("subject").alias("game_id")), ["document", "fetched"])
         marks = materialise(
             documents.outcomes(chosen, "boxscore", F.concat(F.lit("game:"), "game_id"), F.size("boxscore.teams")),
             f"marks/{uuid.uuid4()}",
@@ -271,7 +359,9 @@ class Deployment:
             plays = board_feed.parse_plays(chosen).drop("document").withColumn("season", F.lit(season))
             self.tables.upsert("core.pbp_events", plays)
         self.tables.upsert("core.team_game_stats", box)
-        return self._mark(marks)
+        marks = self._mark(marks)
+        self._loaded(stored.join(newest.select("subject"), "subject", "left_semi"))
+        return marks.unionByName(again)
 
     # ------------------------------------------------------------ features
 
@@ -279,19 +369,65 @@ class Deployment:
         """Features and ratings of every game from the core tables, replacing the stored ones."""
         games, stats = self.tables.read("core.games"), self.tables.read("core.team_game_stats")
         arenas, moved = dimensions.arenas(self.spark), dimensions.relocations(self.spark)
-        # All teams of a deployment may meet: one pool.
-        prepared = prepare_games(games, arenas, moved, dimensions.SHARED_SITE).withColumn("pool", F.lit("league"))
-        # Only games from the earliest changed one on are rated again.
-        stored, inputs = self.tables.read("features.elo_ratings"), materialise(rating_inputs(prepared), f"rating_inputs/{uuid.uuid4()}")
-        day = first_change(inputs, self.tables.read("features.rating_inputs"))
-        rated = materialise(rate_since(prepared, stored, day), f"rated/{uuid.uuid4()}")
+        prepared = self._prepared()
+        rated, inputs, day = self._rated(prepared)
         built = build_features(games, stats, arenas, moved, dimensions.SHARED_SITE, rated)
         features = materialise(built, f"features/{uuid.uuid4()}")
         if save:
+            self.tables.replace("features.game_features", features_as_json(features, keep=("season",)))
             self._save_ratings(games, rated, inputs, day)
-            self.tables.replace("features.game_features", features_as_json(features))
+            self.tables.replace("features.feature_inputs", incremental.feature_inputs(prepared, stats))
         return features
 
+    def _prepared(self) -> DataFrame:
+        """Games with their sites. All teams of a deployment may meet: one pool."""
+        arenas, moved = dimensions.arenas(self.spark), dimensions.relocations(self.spark)
+        games = self.tables.read("core.games")
+        return prepare_games(games, arenas, moved, dimensions.SHARED_SITE).withColumn("pool", F.lit("league"))
+
+    def _rated(self, prepared: DataFrame) -> tuple[DataFrame, DataFrame, date | None]:
+        """Ratings of all games, of which only those from the earliest changed one on are folded again."""
+        stored, inputs = self.tables.read("features.elo_ratings"), materialise(rating_inputs(prepared), f"rating_inputs/{uuid.uuid4()}")
+        day = first_change(inputs, self.tables.read("features.rating_inputs"))
+        return materialise(rate_since(prepared, stored, day), f"rated/{uuid.uuid4()}"), inputs, day
+
+    def update_features(self) -> int:
+        """Bring stored features and ratings up to what `build_features` would store, computing form
+        only for games that a changed game touches and writing only seasons in which a row moves. All
+        is built where nothing is stored, another version is, a season is gone or a team's seasons
+        overlap. Returns the number of games computed."""
+        games, stats = self.tables.read("core.games"), self.tables.read("core.team_game_stats")
+        before, stored = self.tables.read("features.feature_inputs"), self.tables.read("features.game_features")
+        prepared = self._prepared()
+        inputs = materialise(incremental.feature_inputs(prepared, stats), f"feature_inputs/{uuid.uuid4()}")
+        whole = before.isEmpty() or not stored.where(~F.col("feature_version").eqNullSafe(F.lit(FEATURE_VERSION))).isEmpty()
+        whole = whole or not before.join(inputs.select("season"), "season", "left_anti").isEmpty()
+        if whole or not incremental.seasons_in_order(inputs, before):
+            return self.build_features().count()
+        changed = materialise(incremental.changed_games(inputs, before), f"changed/{uuid.uuid4()}")
+        rated, rating_in, day = self._rated(prepared)
+        if day is None and changed.isEmpty():
+            return 0
+        touched = materialise(incremental.touched_games(inputs, changed), f"touched/{uuid.uuid4()}")
+        # Seasons to write: of touched games, of games that were there, of games whose rating moved.
+        seasons = touched.select("season").unionByName(changed.where("was IS NOT NULL").select("was.season"))
+        if day is not None:
+            old = self.tables.read("features.elo_ratings").select("game_id", "team_id", F.col("elo_pre").alias("was"))
+            now = rating_rows(games, rated).where(F.col("game_date") >= F.lit(day)).join(old, ["game_id", "team_id"], "left")
+            seasons = seasons.unionByName(now.where(~F.col("elo_pre").eqNullSafe(F.col("was"))).select("season"))
+        written = [r[0] for r in seasons.distinct().collect()]  # bounded by the number of seasons
+        if written:
+            fresh = incremental.touched_features(prepared, stats, rated, touched)
+            kept = stored.where(F.col("season").isin(written)).join(touched.select("game_id"), "game_id", "left_anti")
+            kept = incremental.with_ratings(features_from_json(kept), rated)
+            rows = features_as_json(fresh, keep=("season",)).unionByName(features_as_json(kept, keep=("season",)))
+            self.tables.replace_partitions("features.game_features", rows)
+        self._save_ratings(games, rated, rating_in, day)
+        # Last, so that an update that did not end is done again.
+        moved = changed.select(F.explode(F.array("now.season", "was.season")).alias("season")).where("season IS NOT NULL").distinct()
+        self.tables.replace_partitions("features.feature_inputs", inputs.join(moved, "season", "left_semi"))
+        return touched.count()
+
     def _save_ratings(self, games: DataFrame, rated: DataFrame, inputs: DataFrame, day: date | None) -> None:
         """Rewrite the seasons in which ratings may have moved; all, if games are gone."""
         if day is None:
@@ -375,7 +511,7 @@ class Deployment:
         def wanted() -> DataFrame:
             return scoring.target_games(
                 self.tables.read("core.games"),
-                self.tables.read("features.game_features"),
+                self.tables.read("features.game_features").drop("season"),
                 start,
                 start + timedelta(days=days - 1),
                 only_scheduled,
@@ -384,7 +520,7 @@ class Deployment:
 
         rows = wanted()
         if not rows.where("stale").isEmpty():
-            self.build_features()
+            self.update_features()
             rows = wanted()
         frame = features_from_json(rows.select("game_id", "game_date", "features"))
         history = self.tables.read("serving.predictions").join(rows.select("game_id"), "game_id", "left_semi")
@@ -421,18 +557,22 @@ class Deployment:
         )
 
     def daily(self, today: date, board: bool = False) -> str:
-        """Nightly: ingest, rebuild features, score the coming week, monitor; thin and drop
+        """Nightly: ingest, bring features up to date, score the coming week, monitor; thin and drop
         old live history only where the deployment says how much to keep."""
         season = season_of_day(today)
         marks = self.ingest_board(today) if board else self.ingest_seasons(season, season, today)
         tasks = marks.select(F.lit("daily").alias("job"), "task_key", F.col("status").alias("outcome"))
         summary = ingest.run_summary(tasks, ["job"]).first()
-        self.build_features()
+        self.update_features()
         if registry.production_version(self.tables, registry.PREGAME) is not None:
             self.predict()
         self.monitor(today)
-        for name in ("core.games", "core.team_game_stats", "core.pbp_events", "raw.ingestion_runs"):
-            self.tables.vacuum(name)
+        for name in (RESPONSES, LOADED):
+            self.tables.compact(name)
+        # The live job may be reading its points; they are cleaned by the pruning that follows.
+        for name in TABLES:
+            if name != "serving.live_wp_snapshots":
+                self.tables.vacuum(name)
         if self.keep_points or self.keep_seasons:
             self.prune_history(today)
         if summary is None:
@@ -508,7 +648,7 @@ class Deployment:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="boutline")
     parser.add_argument("job", choices=[
-        "land", "backfill", "schedule", "games", "board-season", "daily", "features", "train", "train-ingame", "retrain",
+        "land", "backfill", "schedule", "games", "board-season", "daily", "features", "update-features", "train", "train-ingame", "retrain",
         "predict", "monitor", "live", "replay", "publish",
     ])
     parser.add_argument("--root", required=True)
@@ -538,6 +678,7 @@ def main(argv: list[str] | None = None) -> None:
         "board-season": lambda: at.ingest_board_season(args.first, not args.no_events).count(),
         "daily": lambda: at.daily(today, args.board),
         "features": lambda: at.build_features().count(),
+        "update-features": at.update_features,
         "train": lambda: at.train_pregame(today),
         "train-ingame": at.train_ingame,
         "retrain": lambda: at.retrain(today),

@@ -25,6 +25,50 @@ def stream_documents(spark: SparkSession, path: str, schema: str, files_per_batc
     return docs.select("*", F.col("_metadata.file_path").alias("document"), F.col("_metadata.file_modification_time").alias("fetched"))
 
 
+# kind/part=value/name: the folder and the name up to the first dot or @ tell what a document answers.
+PLACE = r"([^/]+)/(\w+)=(\w+)/([^/@.]+)[^/]*$"
+
+
+def slot_of(document: F.Column) -> F.Column:
+    """Kind and part of a landed document as one word (`pbp-season-2029`); empty off the layout."""
+    place = [F.regexp_extract(document, PLACE, i) for i in (1, 2, 3)]
+    return F.when(place[0] == "", "").otherwise(F.concat_ws("-", *place))
+
+
+def name_of(document: F.Column) -> F.Column:
+    return F.regexp_extract(document, PLACE, 4)
+
+
+def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(document, fetched, bytes) of the files under `paths`; no file is opened, since no content is asked for."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return files.select(
+        F.col("_metadata.file_path").alias("document"),
+        F.col("_metadata.file_modification_time").alias("fetched"),
+        F.col("_metadata.file_size").alias("bytes"),
+    )
+
+
+def read_texts(spark: SparkSession, paths: list[str], since: int) -> DataFrame:
+    """Whole texts (plain or gzip) of the files under `paths` changed at or after `since` (microseconds);
+    older files are left out when the scan is planned."""
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(paths)
+    texts = texts.where(F.col("_metadata.file_modification_time") >= F.timestamp_micros(F.lit(since)))
+    return texts.select(
+        F.col("_metadata.file_path").alias("document"),
+        F.col("_metadata.file_modification_time").alias("fetched"),
+        F.col("_metadata.file_size").alias("bytes"),
+        F.col("value").alias("payload"),
+    )
+
+
+def parse_texts(texts: DataFrame, schema: str) -> DataFrame:
+    """Stored texts (document, fetched, payload) in the form `read_documents` gives files."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json("payload", f"{schema}, {CORRUPT} string", options)
+    return texts.select(parsed.alias("__doc"), "document", "fetched").select("__doc.*", "document", "fetched")
+
+
 # A thing landed more than once counts as its newest document has it; files of one moment go by name.
 ARRIVAL = ["fetched", "document"]
 

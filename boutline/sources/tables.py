@@ -14,9 +14,15 @@ from boutline.session import materialise
 # Table name -> (columns, key, partition columns).
 TABLES: dict[str, tuple[str, list[str], list[str]]] = {
     "raw.api_responses": (
-        "request_key string, source string, endpoint string, params map<string,string>, fetched_at timestamp, payload string",
-        ["request_key"],
-        [],
+        "request_key string, source string, endpoint string, params map<string,string>, subject string, document string, "
+        "fetched_at timestamp, bytes long, checksum string, payload string, slot string",
+        ["document", "fetched_at"],
+        ["slot"],
+    ),
+    "raw.loaded_documents": (
+        "document string, fetched_at timestamp, loaded_at timestamp, slot string",
+        ["document", "fetched_at"],
+        ["slot"],
     ),
     "raw.ingestion_runs": (
         "task_key string, status string, attempts int, rows long, error string, updated_at timestamp",
@@ -53,9 +59,14 @@ TABLES: dict[str, tuple[str, list[str], list[str]]] = {
         ["season"],
     ),
     "features.game_features": (
-        "game_id string, feature_version string, features string",
+        "game_id string, feature_version string, features string, season int",
         ["game_id"],
-        [],
+        ["season"],
+    ),
+    "features.feature_inputs": (
+        "game_id string, game_date date, home_team_id long, away_team_id long, digest string, season int",
+        ["game_id"],
+        ["season"],
     ),
     "features.elo_ratings": (
         "game_id string, game_date date, team_id long, elo_pre double, elo_post double, season int",
@@ -234,10 +245,12 @@ class Tables:
         self._commit(name, upsert(old, new, keys + partitions, guard, update), "part")
 
     def compact(self, name: str, most: int = 64) -> bool:
-        """Put a partitioned table of more than `most` commits into one, a file or few a partition."""
+        """Put a partitioned table of more than `most` commits into one, a file or few a partition; a
+        large partition is split over tasks."""
         if len(self._commits(name)) <= most:
             return False
-        self.replace(name, self.read(name).repartition(*TABLES[name][2]))
+        spread = f"SELECT /*+ REBALANCE({', '.join(TABLES[name][2])}) */ * FROM {{t}}"
+        self.replace(name, self.spark.sql(spread, t=self.read(name)))
         return True
 
     def rewrite(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
