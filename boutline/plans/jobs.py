@@ -569,6 +569,8 @@ class Deployment:
         self.monitor(today)
         for name in (RESPONSES, LOADED):
             self.tables.compact(name)
+        for name in ("core.games", "core.team_game_stats", "core.pbp_events"):
+            self.tables.compact_partitions(name)
         # The live job may be reading its points; they are cleaned by the pruning that follows.
         for name in TABLES:
             if name != "serving.live_wp_snapshots":
@@ -630,12 +632,18 @@ class Deployment:
         return job.recorded().count()
 
     def publish(self, target_root: str) -> dict[str, int]:
-        """Copy what readers need into another root, with the production models."""
+        """Copy what readers need into another root, with the production models, and release it there:
+        readers of `Tables(...).released()` see the tables all as before or all as now. What the release
+        before last held is deleted at the next publishing, so its readers have until then to end."""
         target = Tables(self.spark, target_root)
+        if target.newest_release() is not None:
+            for name in PUBLISHED:
+                target.vacuum(name)
         counts = self.tables.copy_to(target, PUBLISHED)
         for name in (registry.PREGAME, registry.INGAME):
             if registry.production_version(self.tables, name) is not None:
                 registry.copy_production(self.tables, target, name)
+        target.make_release()
         return counts
 
     def calibration_curve(self, model: str = registry.PREGAME) -> DataFrame:

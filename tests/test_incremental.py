@@ -6,12 +6,9 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from boutline.operators import incremental
-from boutline.operators.features import build_features
 from boutline.plans.jobs import Deployment
-from boutline.sources import dimensions, documents
+from boutline.sources import documents
 from boutline.sources.tables import Tables
 
 GAME = (
@@ -174,3 +171,98 @@ def test_a_night_without_news_reads_and_writes_no_season(spark, tmp_path):
     assert run() == {"schedule:2029": "success", "pbp:0022900001": "success"}
     assert run() == {"schedule:2029": "success"}
     assert run(force=True) == {"schedule:2029": "success", "pbp:0022900001": "success"}
+
+
+def test_a_merge_rewrites_only_files_that_hold_a_key(spark, tmp_path):
+    tables, name = Tables(spark, str(tmp_path)), "core.pbp_events"
+    tables.small_partition = 0
+    make = lambda rows: spark.createDataFrame(rows, "game_id string, action_id long, description string, season int")
+    want = {}
+
+    def merge(rows):
+        want.update({(g, a, s): d for g, a, d, s in rows})
+        tables.upsert(name, make(rows))
+        assert {(r["game_id"], r["action_id"], r["season"]): r["description"] for r in tables.read(name).collect()} == want
+        assert tables.read(name).count() == len(want)
+
+    def files():
+        out = set()
+        for path in tables._current_paths(name):
+            out |= {path} if path.endswith(".parquet") else {f"{path}/{f}" for f in os.listdir(path) if f.endswith(".parquet")}
+        return out
+
+    for day in range(5):  # a day's games a night, in two seasons
+        merge([(f"g{day}{i}", a, "new", 2000 + i) for i in range(2) for a in range(50)])
+    merge([(f"g9{i}", 1, None, 2000) for i in range(3)])
+    before = files()
+    merge([("g21", 7, "corrected", 2001), ("g21", 99, "late", 2001), ("h", 1, "other", 2002)])
+    gone = before - files()
+    assert gone and all("season=2001" in f for f in gone) and len(gone) < sum("season=2001" in f for f in before)
+    # Rows of new keys alone replace no file; the same rows again change nothing.
+    before = files()
+    merge([("k", 1, "x", 2000)])
+    assert before < files()
+    merge([("k", 1, "x", 2000)])
+    # A reader that has planned before goes on reading its version until a vacuum.
+    old = tables.read(name)
+    n = old.count()
+    merge([("g00", 3, "again", 2000)])
+    assert old.count() == n
+    tables.vacuum(name)
+    assert tables.read(name).count() == len(want)
+    merge([("g00", 3, "after vacuum", 2000), ("g33", 1, "z", 2001)])
+    assert tables.compact_partitions(name, 3) == ["season=2000", "season=2001"]
+    merge([("g00", 4, "after compaction", 2000)])
+    tables.vacuum(name)
+    merge([("g00", 5, "end", 2000)])
+    tables.replace(name, tables.read(name))
+    tables.vacuum(name)
+    assert not [e for e in os.listdir(tables._folder(name)) if e.startswith("removed-")]
+    merge([("g00", 6, "after all", 2000)])
+
+
+def test_a_merge_that_did_not_end_is_not_seen(spark, tmp_path):
+    tables, name = Tables(spark, str(tmp_path)), "core.games"
+    tables.small_partition = 0
+    rows = lambda status: spark.createDataFrame([("a", status, 2000), ("b", status, 2001)], "game_id string, status string, season int")
+    tables.upsert(name, rows("scheduled"))
+    number = tables.version(name) + 1
+    listed = [p[len(tables._folder(name)) + 1 :] for p in tables._current_paths(name)]
+    with open(tables._removed_list(name, number), "w") as out:
+        out.write("\n".join(listed))
+    os.makedirs(tables._commit_folder(name, number, "merge") + "/season=2000")
+    assert tables.read(name).count() == 2
+    tables.upsert(name, rows("final"))
+    assert {r["status"] for r in tables.read(name).collect()} == {"final"} and tables.read(name).count() == 2
+    tables.vacuum(name)
+    assert tables.read(name).count() == 2
+
+
+def test_a_release_shows_all_tables_of_one_time(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    make = lambda n: spark.createDataFrame([("a", n, 2000)], "game_id string, home_score int, season int")
+    ratings = lambda n: spark.createDataFrame([("a", 1, float(n), 2000)], "game_id string, team_id long, elo_pre double, season int")
+
+    def seen():
+        at = tables.released()
+        return at.read("core.games").first()["home_score"], at.read("features.elo_ratings").first()["elo_pre"]
+
+    tables.replace("core.games", make(1))
+    tables.replace("features.elo_ratings", ratings(1))
+    assert seen() == (1, 1.0) and tables.make_release() == 1
+    reader = tables.released()
+    # Half of the next version is there: readers of the release see none of it, and a vacuum leaves them theirs.
+    tables.upsert("core.games", make(2))
+    tables.vacuum("core.games")
+    assert seen() == (1, 1.0) and tables.read("core.games").first()["home_score"] == 2
+    tables.replace("features.elo_ratings", ratings(2))
+    assert seen() == (1, 1.0) and tables.make_release() == 2
+    assert seen() == (2, 2.0) and reader.read("core.games").first()["home_score"] == 1
+    with pytest.raises(RuntimeError, match="cannot be written"):
+        reader.append("core.games", make(3))
+    for name in ("core.games", "features.elo_ratings"):
+        tables.vacuum(name)
+    assert seen() == (2, 2.0)
+    # A release of which only the pending file is there does not count.
+    (tmp_path / "releases" / "pending-00000003").write_text("{")
+    assert seen() == (2, 2.0) and tables.make_release() == 3
