@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from boutline.fixtures import League, league
 from boutline.oracle import with_views
+from boutline.session import COMPILED_BYTES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +36,8 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 
     def register(build: Callable[[League], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            for key, value in {"spark.sql.session.timeZone": "UTC", **COMPILED_BYTES}.items():
+                spark.conf.set(key, value)
             return settled(build(league(spark, sf_dir)))
 
         QUERIES[name] = run

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The JVM interprets methods of more bytes than this for good, ten times as slowly. Generated code of a
+# wide plan that has one gives way to code by operator, which is cut into small methods.
+COMPILED_BYTES = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 # Settings that only shape plans; a cluster's own values win.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,6 +18,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    **COMPILED_BYTES,
 }
 
 

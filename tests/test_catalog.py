@@ -83,3 +83,12 @@ def test_worker_functions_travel_by_value():
 
     blob = cloudpickle.dumps(_fold_pools)
     assert b"boutline.operators" not in blob or pickle.loads(blob).__code__.co_code == _fold_pools.__code__.co_code
+
+
+def test_queries_run_with_code_that_the_jvm_compiles(spark):
+    """A log's cells are read by a method of more than 8,000 bytes, which the JVM would interpret for good."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(key, "65535")
+    rows = QUERIES["s1_game_log_box"](spark, SF)
+    assert int(spark.conf.get(key)) <= 8000
+    assert rows.count() > 0
