@@ -5,11 +5,13 @@ import random
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from boutline.fixtures import SHARED_SITE
-from boutline.operators import ratings
+from boutline.functions import elo
+from boutline.operators import features, ratings
 from boutline.operators.asof import asof_backward
 from boutline.operators.features import MODEL_FEATURES, build_features
 from boutline.operators.retention import thin
@@ -111,6 +113,25 @@ def test_rating_is_zero_sum_and_resumes(spark):
     assert_rated(later, {k: v for k, v in brute_elo(rows).items() if k in ids})
 
 
+def test_the_fold_reads_columns_and_needs_no_date():
+    """Rows out of order of season, an unplayed game and a start rating, over two batches."""
+    names = ratings.FOLDED
+    rows = [
+        ("1", "a", 2009, "x", "y", True, False, 5.0, 1600.0, 2008, np.nan, 0),
+        ("1", "b", 2009, "y", "x", False, False, 0.0, np.nan, 0, np.nan, 0),
+        ("1", "c", 2010, "x", "z", True, True, -3.0, 1600.0, 2008, np.nan, 0),
+        ("2", "d", 2010, "x", "y", True, False, 2.0, np.nan, 0, np.nan, 0),
+    ]
+    batches = [pd.DataFrame(rows[:2], columns=names), pd.DataFrame(rows[2:], columns=names)]
+    out = pd.concat(ratings._fold_pools(iter(batches))).set_index("game_id")
+    carried = elo.SEASON_CARRYOVER * 1600 + (1 - elo.SEASON_CARRYOVER) * elo.SEASON_MEAN
+    assert out.loc["a", "home_elo_pre"] == carried and out.loc["a", "away_elo_pre"] == elo.INITIAL
+    assert out.loc["b", "home_elo_pre"] == out.loc["a", "away_elo_post"] and out.loc["b", "away_elo_pre"] == out.loc["a", "home_elo_post"]
+    assert np.isnan(out.loc["b", "home_elo_post"]) and np.isnan(out.loc["b", "away_elo_post"])
+    assert out.loc["c", "home_elo_pre"] == elo.SEASON_CARRYOVER * out.loc["a", "home_elo_post"] + (1 - elo.SEASON_CARRYOVER) * elo.SEASON_MEAN
+    assert out.loc["d", "home_elo_pre"] == elo.INITIAL
+
+
 def box_rows(rows):
     out = []
     for r in rows:
@@ -133,6 +154,20 @@ def features_of(spark, rows):
     return {r["game_id"]: r for r in build_features(games, stats, arenas, moved, SHARED_SITE).collect()}
 
 
+def test_tasks_of_features_follow_the_games(spark, monkeypatch):
+    """More games give more tasks than the session's shuffle partitions, and the same features."""
+    rows, _ = small_league(spark, days=20)
+    expected = features_of(spark, rows)
+    monkeypatch.setattr(features, "TASK_GAMES", 4)
+    tasks = -(-len(rows) // 4)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = []
+    windows = features.by_team
+    monkeypatch.setattr(features, "by_team", lambda *args: counts.append(windows(*args)) or counts[-1])
+    assert features_of(spark, rows) == expected
+    assert [c.rdd.getNumPartitions() for c in counts] == [tasks]
+
+
 def test_features_do_not_see_the_future(spark):
     """Rewrite every result from a date on: earlier features stay, later ones move."""
     rows, _ = small_league(spark, days=40)
