@@ -11,7 +11,7 @@ from boutline.functions import elo
 from boutline.functions.box import COMPONENTS, rates
 from boutline.operators import ratings as rate
 from boutline.operators.asof import asof_backward
-from boutline.operators.features import DIFF_FEATURES, MODEL_FEATURES, build_features, team_features
+from boutline.operators.features import DIFF_FEATURES, MODEL_FEATURES, build_features, tasks_of, team_features
 from boutline.operators.form import attach_state, by_team, post_game_state, previous_season, schedule_load
 from boutline.operators.retention import drop_old, thin
 from boutline.operators.running import cut_by_range, running
@@ -28,7 +28,8 @@ def _rows(L: League) -> DataFrame:
         "game_id", "season", "game_date", "status", "site_lat", "site_lon", "home_team_id", "away_team_id",
         "home_score", "away_score",
     )
-    return by_team(team_games_with_box(narrow, L.stats()))
+    tasks = tasks_of(L.games())
+    return by_team(team_games_with_box(narrow, L.stats(), tasks), tasks)
 
 
 def _state(L: League, wanted: dict[str, list[str]] | None = None) -> DataFrame:
@@ -142,17 +143,17 @@ def a15_season_end(L: League) -> DataFrame:
 
 @query("w5_rest", "SELECT game_id, team_id, rest_days, b2b FROM load", "rest_days b2b")
 def w5_rest(L: League) -> DataFrame:
-    return schedule_load(by_team(team_games(L.prepared()))).select("game_id", "team_id", "rest_days", "b2b")
+    return schedule_load(by_team(team_games(L.prepared()), tasks_of(L.games()))).select("game_id", "team_id", "rest_days", "b2b")
 
 
 @query("w6_games_last7", "SELECT game_id, team_id, games_last7 FROM load7", "games_last7")
 def w6_games_last7(L: League) -> DataFrame:
-    return schedule_load(by_team(team_games(L.prepared()))).select("game_id", "team_id", "games_last7")
+    return schedule_load(by_team(team_games(L.prepared()), tasks_of(L.games()))).select("game_id", "team_id", "games_last7")
 
 
 @query("w7_travel", "SELECT game_id, team_id, travel_km FROM load", "travel_km")
 def w7_travel(L: League) -> DataFrame:
-    return schedule_load(by_team(team_games(L.prepared()))).select("game_id", "team_id", "travel_km")
+    return schedule_load(by_team(team_games(L.prepared()), tasks_of(L.games()))).select("game_id", "team_id", "travel_km")
 
 
 @query(
@@ -162,7 +163,7 @@ def w7_travel(L: League) -> DataFrame:
 )
 def team_form(L: League) -> DataFrame:
     narrow = L.prepared().drop("ok", "pool", "season_type", "provider_id", "tip_time_utc", "is_neutral", "is_playoffs")
-    return team_features(narrow, L.stats()).select("game_id", "team_id", "is_home", *PER_TEAM)
+    return team_features(narrow, L.stats(), tasks_of(L.games())).select("game_id", "team_id", "is_home", *PER_TEAM)
 
 
 @query(

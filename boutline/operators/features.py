@@ -38,6 +38,11 @@ GAME_COLUMNS = [
 ]
 
 
+def tasks_of(games: DataFrame) -> int | None:
+    """How many tasks form over `games` needs, a stored table that is counted by its files' footers."""
+    return tasks_for(games.sparkSession, games.count(), TASK_GAMES)
+
+
 def team_features(games: DataFrame, stats: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per (game, team): form before the game and schedule load. Three shuffles: games
     and box scores by game, team rows by team (shared by every window); over `tasks` if given."""
@@ -56,7 +61,7 @@ def build_features(
     """Model features per game, final or scheduled; nothing from the game's own date or later
     enters. `rated` takes ratings computed elsewhere (incrementally, or read back)."""
     prepared = prepare_games(games, arenas, relocations, shared)
-    tasks = tasks_for(games.sparkSession, games.count(), TASK_GAMES)
+    tasks = tasks_of(games)
     wide = wide_form(prepared, stats, tasks)
     return join_features(prepared, rate_games(prepared) if rated is None else rated, wide, tasks)
 

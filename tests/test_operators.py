@@ -3,6 +3,7 @@
 import math
 import random
 from datetime import date, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -168,6 +169,22 @@ def test_tasks_of_features_follow_the_games(spark, monkeypatch):
     assert [c.rdd.getNumPartitions() for c in counts] == [tasks]
 
 
+def test_tasks_of_form_queries_follow_the_games(spark, monkeypatch):
+    from boutline.catalog import sequences
+
+    rows, _ = small_league(spark, days=20)
+    games = one_pool(spark.createDataFrame(rows, GAME))
+    prepared = games.withColumn("site_lat", F.lit(30.0)).withColumn("site_lon", F.lit(-100.0))
+    box = spark.createDataFrame(box_rows(rows), BOX)
+    league = SimpleNamespace(games=lambda: games, prepared=lambda: prepared, stats=lambda: box)
+    expected = sorted(map(tuple, sequences.j2_played_with_box(league).collect()))
+    monkeypatch.setattr(features, "TASK_GAMES", 4)
+    tasks = -(-len(rows) // 4)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) and len(expected) > 0
+    assert sequences._rows(league).rdd.getNumPartitions() == tasks
+    assert sorted(map(tuple, sequences.j2_played_with_box(league).collect())) == expected
+
+
 def test_features_do_not_see_the_future(spark):
     """Rewrite every result from a date on: earlier features stay, later ones move."""
     rows, _ = small_league(spark, days=40)
