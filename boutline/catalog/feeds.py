@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 from boutline.catalog.base import query
 from boutline.fixtures import League
 from boutline.functions.calendar import lookup
+from boutline.operators.features import tasks_of
 from boutline.operators.latest import latest_by
-from boutline.session import fresh_path
+from boutline.session import dealt, fresh_path
 from boutline.sources import board_feed, dimensions, documents, stats_feed
 
 BASE_ID = 1610612737  # team 0 of the league under the first provider's numbering
+FILE_DOCUMENTS = 20_000
 
 
 def _landed(L: League, name: str, rows: DataFrame, schema: str) -> DataFrame:
-    """Write one JSON document per row and read them back the way a landing folder is read."""
+    """Write one JSON document per row and read them back the way a landing folder is read. A gzip
+    file is read by one task, so none holds more than `FILE_DOCUMENTS`."""
     path = fresh_path(L.spark, f"landing/{name}")
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+    landed = rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite")
+    landed.option("compression", "gzip").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
     return documents.read_documents(L.spark, path, schema, per_line=True)
 
 
@@ -194,31 +198,35 @@ def s4_scoreboard(L: League) -> DataFrame:
 def s5_summary_box(L: League) -> DataFrame:
     """Every 37th summary lacks a statistic and is rejected as a whole."""
     ok = F.col("ok")
-    final = L.games().where("status = 'final'")
-    stats = L.stats().join(final.select("game_id", "ok", "home_team_id", "away_team_id"), "game_id")
-    place = F.when(F.col("is_home"), F.expr(_HOME_PLACE)).otherwise(F.expr(_AWAY_PLACE))
-
-    def pair(made: str, attempted: str) -> F.Column:
-        return F.concat_ws("-", made, attempted)
-
-    values = {
-        board_feed.PAIRS["fg"]: pair("fgm", "fga"),
-        board_feed.PAIRS["fg3"]: pair("fg3m", "fg3a"),
-        board_feed.PAIRS["ft"]: pair("ftm", "fta"),
-        **{name: F.lit("7") for name in board_feed.COUNTS.values()},
-        "offensiveRebounds": F.when((ok % 37 != 0) | F.col("is_home"), F.col("oreb").cast("string")).otherwise("-"),
-        "turnovers": F.lit("3"),
-        "totalTurnovers": F.col("tov").cast("string"),
-    }
-    listed = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("displayValue")) for n, v in values.items()])
-    team = F.struct(F.struct(_code(place).alias("id")).alias("team"), listed.alias("statistics"))
-    # Two teams per summary.
-    packed = stats.groupBy("game_id").agg(F.collect_list(team).alias("teams"))
+    tasks = tasks_of(L.games())
+    final = dealt(L.games().where("status = 'final'").select("game_id", "ok", "home_team_id", "away_team_id", "home_score", "away_score"), tasks, "game_id")
+    lines = dealt(L.stats().select("game_id", "is_home", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "tov"), tasks, "game_id")
+    stats = lines.join(final.select("game_id", "ok", F.expr(_HOME_PLACE).alias("home_place"), F.expr(_AWAY_PLACE).alias("away_place")), "game_id")
+
+    def team(t: F.Column) -> F.Column:
+        def pair(made: str, attempted: str) -> F.Column:
+            return F.concat_ws("-", t[made], t[attempted])
+
+        values = {
+            board_feed.PAIRS["fg"]: pair("fgm", "fga"),
+            board_feed.PAIRS["fg3"]: pair("fg3m", "fg3a"),
+            board_feed.PAIRS["ft"]: pair("ftm", "fta"),
+            **{name: F.lit("7") for name in board_feed.COUNTS.values()},
+            "offensiveRebounds": F.when((t["ok"] % 37 != 0) | t["is_home"], t["oreb"].cast("string")).otherwise("-"),
+            "turnovers": F.lit("3"),
+            "totalTurnovers": t["tov"].cast("string"),
+        }
+        listed = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("displayValue")) for n, v in values.items()])
+        place = F.when(t["is_home"], t["home_place"]).otherwise(t["away_place"])
+        return F.struct(F.struct(_code(place).alias("id")).alias("team"), listed.alias("statistics"))
+
+    # Two teams per summary. Numbers are gathered and sorted; a summary's text is made as it is written.
+    packed = stats.groupBy("game_id").agg(F.collect_list(F.struct(*[c for c in stats.columns if c != "game_id"])).alias("lines"))
     play = F.struct(F.struct(F.when(ok % 16 == 0, 5).otherwise(4).alias("number")).alias("period"))
     rows = final.join(packed, "game_id").select(
         "game_id",
         F.struct(F.array(F.struct(_competitors().alias("competitors"))).alias("competitions")).alias("header"),
-        F.struct("teams").alias("boxscore"),
+        F.struct(F.transform("lines", team).alias("teams")).alias("boxscore"),
         F.array(play).alias("plays"),
     )
     docs = _landed(L, "s5", rows, f"game_id string, {board_feed.SUMMARY}")

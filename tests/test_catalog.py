@@ -1,11 +1,12 @@
 """Every registered query against its SQL statement in another engine, and its physical plan."""
 
+import os
 import re
 
 import duckdb
 import pytest
 
-from boutline.catalog import ORACLES, QUERIES
+from boutline.catalog import ORACLES, QUERIES, feeds
 from tests.conftest import SF
 
 TABLES = (
@@ -74,6 +75,23 @@ def test_scans_read_only_what_is_used(spark):
     assert "PushedFilters: [" in text and "GreaterThanOrEqual(game_date" in text
 
 
+def test_summaries_are_gathered_as_numbers_and_land_compressed(spark, monkeypatch, tmp_path):
+    """Text made before the sort by game is sorted and spilled; a gzip file is read by one task, so it is cut."""
+    gathered, land = [], feeds._landed
+
+    def landed(L, name, rows, schema):
+        gathered.extend(line for line in plan(rows).splitlines() if "collect_list" in line)
+        return land(L, name, rows, schema)
+
+    monkeypatch.setattr(feeds, "_landed", landed)
+    monkeypatch.setattr(feeds, "FILE_DOCUMENTS", 100)
+    monkeypatch.setattr(feeds, "fresh_path", lambda _, name: f"{tmp_path}/{name}")
+    assert QUERIES["s5_summary_box"](spark, SF).count() > 2000
+    assert gathered and not any("displayValue" in line for line in gathered)
+    files = [f for f in os.listdir(tmp_path / "landing/s5") if f.startswith("part-")]
+    assert len(files) >= 10 and all(f.endswith(".gz") for f in files)
+
+
 def test_worker_functions_travel_by_value():
     import pickle
 
