@@ -9,11 +9,12 @@ from boutline.catalog.base import DIGITS, NUDGE, query
 from boutline.fixtures import League
 from boutline.functions import box, calendar, clock, display, elo, prob
 from boutline.operators import upsert as merge
-from boutline.operators.features import features_as_json, features_from_json, labelled
+from boutline.operators.features import features_as_json, features_from_json, labelled, tasks_of
 from boutline.operators.latest import latest_by
 from boutline.operators.states import is_kept, prune_descriptions
 from boutline.oracle import eastern_sql
 from boutline.plans import serving
+from boutline.session import dealt
 
 # ---------------------------------------------------------------- scans and sinks
 
@@ -412,8 +413,12 @@ def p25_made_before_tip(L: League) -> DataFrame:
 )
 def p26_feature_label(L: League) -> DataFrame:
     named = serving.with_teams(L.games(), L.teams()).select("game_id", "home", "away")
-    exploded = L.predictions().select("id", "game_id", F.posexplode("factors").alias("i", "f")).join(named, "game_id")
-    label = display.feature_label(F.col("f.feature"), F.col("home"), F.col("away"))
+    # Joined as predictions, so that a game's names meet one row of a prediction and not one of each factor.
+    tasks = tasks_of(L.games())
+    listed = dealt(L.predictions().select("id", "game_id", F.col("factors.feature").alias("features")), tasks, "game_id")
+    listed = listed.join(dealt(named, tasks, "game_id"), "game_id")
+    exploded = listed.select("id", "home", "away", F.posexplode("features").alias("i", "feature"))
+    label = display.feature_label(F.col("feature"), F.col("home"), F.col("away"))
     return exploded.select("id", "i", label.alias("label"))
 
 

@@ -92,6 +92,11 @@ def test_summaries_are_gathered_as_numbers_and_land_compressed(spark, monkeypatc
     assert len(files) >= 10 and all(f.endswith(".gz") for f in files)
 
 
+def test_factors_meet_names_before_they_are_exploded(spark):
+    text = plan(QUERIES["p26_feature_label"](spark, SF))
+    assert 0 < text.index("posexplode") < text.index("Join")
+
+
 def test_worker_functions_travel_by_value():
     import pickle
 
