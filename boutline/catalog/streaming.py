@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from boutline.catalog.base import query
 from boutline.fixtures import League
 from boutline.functions.prob import settle
-from boutline.session import fresh_path
-from boutline.streaming.live import LiveJob, ModelPointer, read_feed
+from boutline.session import fresh_path, shuffles_of, tasks_for
+from boutline.streaming.live import TASK_ROWS, LiveJob, ModelPointer, read_feed
 
 POLLS = 3
 _LOGISTIC = "1/(1+exp(-(0.15::DOUBLE*(score_home-score_away) + ln(q/(1-q))*seconds_remaining/2880)))"
@@ -62,10 +62,12 @@ def x2_live_points(L: League) -> DataFrame:
     run = job(L, "x2")
     feed = feed_polls(L)
     # One write per poll, so polls arrive in order; a file holds whole games, a batch about a poll.
-    files = int(L.spark.conf.get("spark.sql.shuffle.partitions"))
-    for poll in range(1, POLLS + 1):
-        sent = feed.where(F.col("arrival") == poll).repartition(files, "game_id")
-        sent.write.mode("append").parquet(f"{run.root}/feed")
+    tasks = tasks_for(L.spark, L.events().count(), TASK_ROWS)
+    files = tasks or int(L.spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_of(tasks, L.spark):
+        for poll in range(1, POLLS + 1):
+            sent = feed.where(F.col("arrival") == poll).repartition(files, "game_id")
+            sent.write.mode("append").parquet(f"{run.root}/feed")
     stream = read_feed(L.spark, f"{run.root}/feed", files_per_batch=files)
     running = run.start(stream, f"{run.root}/checkpoint", available_now=True)
     running.awaitTermination()

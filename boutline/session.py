@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +83,20 @@ def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
     return df if tasks is None else df.repartition(tasks, *keys)
 
 
+@contextmanager
+def shuffles_of(tasks: int | None, *sessions: SparkSession) -> Iterator[None]:
+    """Shuffles that run inside are dealt to `tasks` partitions; as the sessions say if None."""
+    key = "spark.sql.shuffle.partitions"
+    before = [s.conf.get(key) for s in sessions]
+    try:
+        for s in sessions if tasks else ():
+            s.conf.set(key, str(tasks))
+        yield
+    finally:
+        for s, value in zip(sessions, before):
+            s.conf.set(key, value)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: later reads get column pruning,
     pushed filters and statistics, and a lost executor costs no recomputation."""

@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from boutline.operators.latest import latest_by
 from boutline.operators.states import STATE_COLUMNS, game_states, tip_off, with_times
 from boutline.operators.upsert import update_from_scoreboard
-from boutline.session import materialise
+from boutline.session import dealt, materialise, shuffles_of, tasks_for
 from boutline.sources import stats_feed
 from boutline.sources.tables import Tables
 from boutline.streaming import changes
@@ -39,6 +39,7 @@ MODEL_CHECK_SECONDS = 600
 PENDING_WITHIN = timedelta(hours=6)
 SNAPSHOTS = "serving.live_wp_snapshots"
 SHARDS = 256  # of the snapshot table, per source: a batch rewrites those of its games only
+TASK_ROWS = 250_000  # feed rows or points of a task: about 30 MB as they are shuffled
 KEPT_BATCHES = 3  # of recorded points, progress and waiting feeds
 
 FEED = (
@@ -185,13 +186,16 @@ class LiveJob:
         # A feed holds a game's whole list: the newest one replaces what waited.
         older = self.waiting(before=batch_id).join(batch.select("game_id").distinct(), "game_id", "left_anti")
         events = batch.select(*columns).unionByName(older.select(*columns)).persist()
+        tasks = tasks_for(self.spark, events.count(), TASK_ROWS)
         tracked = self.tracked(events, progress).persist()
         try:
-            emitted = self.points(events, tracked, predict)
-            self._write_points(emitted, batch_id, version, tracked.select("game_id", "sent"))
-            scheduled = self.games().where("status = 'scheduled'").select("game_id")
-            self._save_version(f"waiting/{self.source}", events.join(scheduled, "game_id", "left_semi").select(*columns), batch_id)
-            return materialise(self._advance(tracked, progress, batch_id), f"live/{self.source}")
+            # The batch's plans belong to the stream's own session, the progress table's to ours.
+            with shuffles_of(tasks, batch.sparkSession, self.spark):
+                emitted = self.points(events, tracked, predict)
+                self._write_points(emitted, batch_id, version, tracked.select("game_id", "sent"))
+                scheduled = self.games().where("status = 'scheduled'").select("game_id")
+                self._save_version(f"waiting/{self.source}", events.join(scheduled, "game_id", "left_semi").select(*columns), batch_id)
+                return materialise(self._advance(tracked, progress, batch_id), f"live/{self.source}")
         finally:
             tracked.unpersist()
             events.unpersist()
@@ -349,7 +353,8 @@ class LiveJob:
         if not fs.exists(path(folder)):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
-        return latest_by(rows, ["game_id", "action_id"], ["id"])
+        tasks = tasks_for(self.spark, rows.count(), TASK_ROWS)
+        return latest_by(dealt(rows, tasks, "game_id", "action_id"), ["game_id", "action_id"], ["id"])
 
     def messages(self) -> DataFrame:
         """The change log so far: see `changes`."""
@@ -386,7 +391,8 @@ class LiveJob:
         )
         told = self.reset(games)
         batch_id = max([*self._versions(f"points/source={self.source}"), -1]) + 1
-        self._write_points(self.points(feed, tracked, predict), batch_id, version, games.withColumn("sent", F.lit(told)))
+        with shuffles_of(tasks_for(self.spark, feed.count(), TASK_ROWS), feed.sparkSession, self.spark):
+            self._write_points(self.points(feed, tracked, predict), batch_id, version, games.withColumn("sent", F.lit(told)))
         return self.recorded()
 
     def reset(self, games: DataFrame) -> int:

@@ -68,6 +68,27 @@ def test_only_new_states_are_emitted(job):
     assert sum(t.count('"action_id"') for t in texts) == 6
 
 
+def test_tasks_of_a_batch_follow_its_rows(job, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "TASK_ROWS", 4)
+    key, seen, scored = "spark.sql.shuffle.partitions", [], job.model.load()[0]
+
+    def predict(states):
+        seen.append((states.sparkSession.conf.get(key), spark.conf.get(key)))
+        return scored(states)
+
+    job.model.load = lambda: (predict, "1")
+    before = spark.conf.get(key)
+    rows = [event(i, i, 0) for i in range(1, 81)]
+    spark.createDataFrame(rows, FEED).coalesce(1).write.parquet(f"{tmp_path}/feed")
+    job.start(live.read_feed(spark, f"{tmp_path}/feed"), f"{tmp_path}/checkpoint", available_now=True).awaitTermination()
+    assert seen == [("20", "20")] and spark.conf.get(key) == before
+    assert job.recorded().count() == 81
+    assert "REPARTITION_BY_NUM" in job.recorded()._jdf.queryExecution().executedPlan().toString()
+    # A batch of few rows keeps the session's number.
+    send(job, [event(90, 2, 0)], 7)
+    assert seen[-1] == (before, before)
+
+
 def test_a_late_event_is_not_emitted_but_counts(job):
     send(job, [event(1, 0, 0), event(5, 0, 0, kind="Foul", loc="v")], 0)
     assert job.recorded().where("action_id = 5").first()["possession"] == 1
