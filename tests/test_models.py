@@ -77,6 +77,16 @@ def test_registered_queries_fit_with_production_parameters(spark, league, monkey
     assert fits == [(n, production) for n in (5, 4, 1, 1, 1, 1)]
 
 
+def test_walk_forward_writes_no_copy_of_its_rows_and_calibration_scores_once(league, monkeypatch):
+    written = []
+    for module in (backtest, pregame):
+        real = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name, real=real: written.append(name) or real(df, name))
+    data = league.features().where("status = 'final' AND season >= 1995")
+    backtest.walk_forward(data, [1999], {"trees": 2, "least_rows": 20}, "t-once")
+    assert sorted(written) == ["calibration", "t-once/metrics", "t-once/predictions"]
+
+
 def rows_of_ids(df):
     return sorted(r["game_id"] for r in df.select("game_id").collect())
 
