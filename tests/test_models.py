@@ -87,6 +87,17 @@ def test_walk_forward_writes_no_copy_of_its_rows_and_calibration_scores_once(lea
     assert sorted(written) == ["calibration", "t-once/metrics", "t-once/predictions"]
 
 
+def test_ingame_scores_read_states_that_are_written_once(league, monkeypatch):
+    from boutline.catalog import modelling
+
+    written, real = [], modelling.materialise
+    monkeypatch.setattr(modelling, "materialise", lambda df, name: written.append(name) or real(df, name))
+    fit = ingame.fit
+    monkeypatch.setattr(ingame, "fit", lambda frame: fit(frame, {"trees": 1, "least_rows": 20}))
+    scored = modelling.m10_ingame_scores(league)
+    assert written == ["m10/states"] and scored.count() == modelling._frame(league).count()
+
+
 def rows_of_ids(df):
     return sorted(r["game_id"] for r in df.select("game_id").collect())
 
